@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.hunks import change_lines, has_deletion, line_changes, original_lines
 from folioflow.functions.paths import backup_path
@@ -180,7 +181,7 @@ def prune_backups(backup_rows: DataFrame, now_s: int, days: int) -> DataFrame:
     return backup_rows.withColumn("pruned", F.col("mtime_s") < now_s - days * 86400)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     def diff(old: str | None, new: str | None) -> list[str] | None:
         if old is None or new is None:

@@ -8,6 +8,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.hunks import diff_text_changes, line_changes
 from folioflow.functions.paths import resolve_path
@@ -48,7 +49,7 @@ def json_segment(text: Column) -> Column:
     return F.when(text.rlike(FENCED_JSON), strip(F.regexp_extract(text, FENCED_JSON, 1))).otherwise(whole)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _reprint_json(texts: pd.Series) -> pd.Series:
     """JSON that only a lenient reader accepts (repeated keys), printed plainly; null if unreadable."""
 
@@ -162,7 +163,10 @@ def with_format(responses: DataFrame) -> DataFrame:
     ).drop("_segment", "_strict", "_reprinted")
 
 
-@F.pandas_udf("struct<error:string,pieces:array<struct<kind:string,file:string,body:string>>>")
+_PIECES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "file", "body")]))
+
+
+@F.pandas_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("pieces", _PIECES)]))
 def _xml_pieces(texts: pd.Series) -> pd.DataFrame:
     """Tagged bodies of an XML response, in document order, or the parse error."""
 
@@ -199,9 +203,6 @@ def markdown_pieces(text: Column) -> Column:
     return F.concat(blocks("diff", MARKDOWN_DIFF), blocks("proposed", MARKDOWN_PROPOSED))
 
 
-_PIECES = "array<struct<kind:string,file:string,body:string>>"
-
-
 def pair_diff_proposed(pieces: DataFrame) -> DataFrame:
     """Diff and proposed content of one path as one suggestion; the last of each wins.
 
