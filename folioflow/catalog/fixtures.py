@@ -16,18 +16,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a file of the project named by its source."""
     return table(spark, folder, "documents").selectExpr(
-        "source AS project_id", "doc_id", "text AS content", "n_chars AS size",
+        "source AS project_id", "doc_id", "lang", "text AS content", "n_chars AS size",
         "1704067200 + doc_id * 3600 AS mtime_s", f"{REL_PATH} AS rel_path",
     )
 
 
 def ticked_files(spark: SparkSession, folder: str) -> DataFrame:
-    return files(spark, folder).withColumn("checked", F.col("doc_id") % 3 == 0)
+    return files(spark, folder).withColumn("checked", F.col("lang") == "en")
 
 
 _KEY = ["project_id", "rel_path"]
 
 
+def rows_of(names: list[str], *rows: tuple) -> Column:
+    """An array of structs with the given field names, to be inlined as rows."""
+    return F.array(*[
+        F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(names, row)]) for row in rows
+    ])
+
+
 def _neighbours(at: Column) -> dict[str, Column]:
     lines, none = F.col("_lines"), F.array().cast("array<string>")
     return {

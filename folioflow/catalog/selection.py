@@ -141,7 +141,7 @@ def collect_files(spark: SparkSession, folder: str) -> DataFrame:
     return S.collect_files(files, ["*.md", "src/pkg", "tests", "docs/d1*"], ["d*[05].*", "pkg"]).select(*_PATHS)
 
 
-_TICKED = f"{q.FILES}, ticked AS (SELECT *, doc_id % 3 = 0 AS checked FROM files)"
+_TICKED = f"{q.FILES}, ticked AS (SELECT *, lang = 'en' AS checked FROM files)"
 _NODES = f"nodes AS (SELECT DISTINCT project_id, unnest({q.prefixes('rel_path')}) AS path FROM files)"
 
 
@@ -215,9 +215,9 @@ def tree_order_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("tokens_on_nodes", f"""WITH {_TICKED},
-nodes AS (SELECT project_id, path, bool_or(path <> rel_path) AS is_dir, any_value(doc_id) AS doc_id, any_value(content) AS content FROM (
+nodes AS (SELECT project_id, path, bool_or(path <> rel_path) AS is_dir, any_value(doc_id) AS doc_id, any_value(lang) AS lang, any_value(content) AS content FROM (
   SELECT *, unnest({q.prefixes('rel_path')}) AS path FROM files) GROUP BY project_id, path)
-SELECT project_id, path, CASE WHEN is_dir THEN '' WHEN doc_id % 3 <> 0 THEN '-'
+SELECT project_id, path, CASE WHEN is_dir THEN '' WHEN lang <> 'en' THEN '-'
   ELSE format('{{:,}}', {q.tokens('content')}) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' (error)' END END AS token_text FROM nodes""")
 def tokens_on_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Ticked files are measured; every second one stands for a read error."""
@@ -256,20 +256,16 @@ def path_order_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return S.path_order(fx.files(spark, folder), max_group_rows=0)
 
 
-# Files form chains of four within a project; the first tickets each seed one chain.
-_EDGES = """edges AS (SELECT a.project_id, a.rel_path AS src, b.rel_path AS dst FROM files a JOIN files b
-  ON a.project_id = b.project_id AND b.doc_id = a.doc_id - 20 WHERE FLOOR(a.doc_id / 20) % 4 <> 0)"""
-
-
 @query("related_files", f"""WITH {q.FILES},
-chains AS (SELECT project_id, rel_path, FLOOR(doc_id / 80) AS chain, doc_id % 60 = 0 AS seed FROM files)
-SELECT project_id, rel_path FROM chains WHERE (project_id, chain) IN (SELECT project_id, chain FROM chains WHERE seed)""")
+turns AS (SELECT *, CASE WHEN lang = lag(lang) OVER (PARTITION BY project_id ORDER BY doc_id) THEN 0 ELSE 1 END AS turn FROM files),
+chains AS (SELECT *, sum(turn) OVER (PARTITION BY project_id ORDER BY doc_id) AS chain FROM turns)
+SELECT project_id, rel_path FROM chains WHERE (project_id, chain) IN (SELECT project_id, chain FROM chains WHERE size > 3000)""")
 def related_files_query(spark: SparkSession, folder: str) -> DataFrame:
+    """A file depends on the one before it in its project when both are in one language; large files are the seeds."""
     files = fx.files(spark, folder)
-    linked = F.floor(F.col("doc_id") / 20) % 4 != 0
-    earlier = files.select("project_id", F.col("rel_path").alias("dst"), (F.col("doc_id") + 20).alias("doc_id"))
-    edges = files.filter(linked).select("project_id", F.col("rel_path").alias("src"), "doc_id").join(earlier, ["project_id", "doc_id"])
-    return related_files(edges.select("project_id", "src", "dst"), files.filter(F.col("doc_id") % 60 == 0).select(*_PATHS))
+    earlier = files.select("project_id", "lang", F.col("rel_path").alias("dst"), (F.col("doc_id") + 20).alias("doc_id"))
+    edges = files.select("project_id", "lang", F.col("rel_path").alias("src"), "doc_id").join(earlier, ["project_id", "lang", "doc_id"])
+    return related_files(edges.select("project_id", "src", "dst"), files.filter("size > 3000").select(*_PATHS))
 
 
 @query("import_edges", f"""WITH {q.FILES},

@@ -17,7 +17,7 @@ REL_PATH = """concat(
     END)"""
 
 FILES = f"""files AS (
-SELECT source AS project_id, doc_id, text AS content, n_chars AS size,
+SELECT source AS project_id, doc_id, lang, text AS content, n_chars AS size,
   1704067200 + doc_id * 3600 AS mtime_s, {REL_PATH} AS rel_path
 FROM documents)"""
 
