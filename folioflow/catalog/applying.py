@@ -13,6 +13,7 @@ from folioflow.operators import applying as A
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.locating import locate_hunks
 from folioflow.plans import edit_files
+from folioflow.session import checkpointed
 from folioflow.sources.tables import snapshot
 
 _KEY = ["project_id", "rel_path"]
@@ -20,7 +21,7 @@ _ID = ["response_id", "hunk_pos"]
 
 
 def _located(spark: SparkSession, folder: str) -> DataFrame:
-    return locate_hunks(fx.many_hunks(spark, folder), fx.files(spark, folder))
+    return checkpointed(locate_hunks(fx.many_hunks(spark, folder), fx.files(spark, folder)))
 
 
 _MATCHED = f"""WITH {q.MANY_HUNKS}, {q.LOCATED},
@@ -50,23 +51,24 @@ def hunk_offsets_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return A.hunk_offsets(_located(spark, folder), max_group_rows=0).select(*_ID, "first_target_line", "shift")
 
 
-_OVERLAPS = """overlaps AS (SELECT DISTINCT project_id, rel_path FROM (
+_OVERLAPS = """clashes AS (SELECT DISTINCT project_id, rel_path FROM (
   SELECT *, lead(first_target_line) OVER (PARTITION BY project_id, rel_path ORDER BY first_target_line, hunk_pos) AS next FROM matched) WHERE next < first_target_line + m)"""
 
 
-@query("overlap_check", f"{_MATCHED}, {_OVERLAPS} SELECT project_id, rel_path FROM overlaps")
+@query("overlap_check", f"{_MATCHED}, {_OVERLAPS} SELECT project_id, rel_path FROM clashes")
 def overlap_check(spark: SparkSession, folder: str) -> DataFrame:
     return A.overlap_check(_located(spark, folder))
 
 
 @query("overlap_check_shifted", f"""{_MATCHED},
-shifted AS (SELECT *, first_target_line + coalesce(sum(1) OVER (PARTITION BY project_id, rel_path ORDER BY first_target_line, hunk_pos
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM matched)
-SELECT DISTINCT project_id, rel_path FROM (SELECT *, lead(at) OVER (PARTITION BY project_id, rel_path ORDER BY first_target_line, hunk_pos) AS next FROM shifted)
-WHERE next < at + m""")
+shifted AS (SELECT *, first_target_line - coalesce(sum(1) OVER (PARTITION BY project_id, rel_path ORDER BY first_target_line, hunk_pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM matched)
+SELECT DISTINCT project_id, rel_path FROM (SELECT *, lead(spot) OVER (PARTITION BY project_id, rel_path ORDER BY first_target_line, hunk_pos) AS next FROM shifted)
+WHERE next < spot + m""")
 def overlap_check_shifted(spark: SparkSession, folder: str) -> DataFrame:
-    """Shifted starts against unshifted lengths, as an option."""
-    return A.overlap_check(_located(spark, folder), "shifted")
+    """Shifted starts against unshifted lengths, as an option. Here every hunk only deletes its line."""
+    deletions = _located(spark, folder).withColumn("hunk_lines", F.slice("hunk_lines", 1, 1))
+    return A.overlap_check(deletions, "shifted")
 
 
 # Since the hunks were located, the files of one language have changed.
@@ -87,9 +89,9 @@ def external_change_check(spark: SparkSession, folder: str) -> DataFrame:
 
 _REPORTS = f"""{_MATCHED}, {_OVERLAPS}, {_NOW},
 outcomes AS (SELECT l.project_id, l.rel_path, count(*) FILTER (l.status = 'unmatched') AS n_unmatched, CAST(count(*) * 3 AS BIGINT) AS changed_lines,
-  any_value(o.rel_path) IS NOT NULL AS overlap, any_value(l.content) <> any_value(n.content) AS changed
-  FROM located l JOIN now n USING (project_id, rel_path) LEFT JOIN overlaps o USING (project_id, rel_path) GROUP BY l.project_id, l.rel_path),
-reports AS (SELECT *, CASE WHEN n_unmatched > 0 THEN 'skipped_unmatched' WHEN overlap THEN 'skipped_overlap' WHEN changed THEN 'skipped_external_change' ELSE 'ok' END AS status FROM outcomes)"""
+  any_value(o.rel_path) IS NOT NULL AS clash, any_value(l.content) <> any_value(n.content) AS changed
+  FROM located l JOIN now n USING (project_id, rel_path) LEFT JOIN clashes o USING (project_id, rel_path) GROUP BY l.project_id, l.rel_path),
+reports AS (SELECT *, CASE WHEN n_unmatched > 0 THEN 'skipped_unmatched' WHEN clash THEN 'skipped_overlap' WHEN changed THEN 'skipped_external_change' ELSE 'ok' END AS status FROM outcomes)"""
 
 
 def _reports(spark: SparkSession, folder: str) -> DataFrame:

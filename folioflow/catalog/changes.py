@@ -33,7 +33,7 @@ SELECT response_id, CASE response_id % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'json' W
   WHEN 4 THEN CASE WHEN response_id % 12 = 4 THEN 'unknown' ELSE 'xml' END ELSE 'unknown' END AS format FROM hunks""")
 def response_formats(spark: SparkSession, folder: str) -> DataFrame:
     """The format each response is read in, after JSON without valid items has fallen through."""
-    return E.extract_changes(fx.responses(spark, folder)).formats.select("response_id", "format")
+    return E.with_format(fx.responses(spark, folder)).select("response_id", "format")
 
 
 @query("responses", "SELECT conv_id, turn, text FROM conversations WHERE lang_blank = FALSE".replace("lang_blank = FALSE", f"{q.strip('text')} <> ''")
@@ -108,9 +108,8 @@ FROM hunks WHERE response_id % 6 IN ({kinds})"""
 
 
 def _suggestions(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
-    found = E.extract_changes(fx.responses(spark, folder))
-    mine = found.formats.filter(F.col("format") == fmt).select("response_id")
-    return found.suggestions.join(mine, "response_id", "left_semi")
+    records = E.change_records(fx.responses(spark, folder)).filter(F.col("format") == fmt)
+    return E.Extracted(records).suggestions
 
 
 @query("extract_xml_changes", _paired("2"))

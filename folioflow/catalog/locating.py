@@ -38,7 +38,7 @@ def hunks_with_file_salted(spark: SparkSession, folder: str) -> DataFrame:
 SELECT response_id, CAST(unnest(starts) AS BIGINT) AS start FROM starts""")
 def candidate_starts(spark: SparkSession, folder: str) -> DataFrame:
     found = L.candidate_starts(L.with_needle(L.hunks_with_file(fx.hunks(spark, folder), fx.files(spark, folder))))
-    return found.select("response_id", F.explode("_starts").cast("long").alias("start"))
+    return found.select("response_id", F.explode(F.col("_starts").cast("array<long>")).alias("start"))
 
 
 @query("best_match", f"""WITH {q.HUNKS}, {q.LOCATED}

@@ -105,14 +105,14 @@ def change_label(spark: SparkSession, folder: str) -> DataFrame:
 
 # The preview as rows: lines before, the hunk, and lines after it; or a note.
 _PREVIEW = f"""WITH {q.HUNKS}, {q.LOCATED},
-at AS (SELECT *, start + len(cb) AS body FROM located),
+placed AS (SELECT *, start + len(cb) AS body FROM located),
 rows AS (SELECT response_id, CASE WHEN start IS NULL THEN
     [{{'label': 'error-message', 'text': 'Hunk could not be located in the file.'}}, {{'label': 'error-message', 'text': 'The file content might have changed significantly.'}},
      {{'label': 'error-message', 'text': 'Applying this change is disabled.'}}]
   ELSE list_concat(
     list_transform(L[1:start], lambda x: {{'label': 'file-context', 'text': x}}), list_transform(L[start + 1:body], lambda x: {{'label': 'hunk-context-before', 'text': x}}),
     [{{'label': 'hunk-deleted', 'text': hunk_lines[1][2:]}}, {{'label': 'hunk-added', 'text': hunk_lines[2][2:]}}],
-    list_transform(L[body + 2:body + 1 + len(ca)], lambda x: {{'label': 'hunk-context-after', 'text': x}}), list_transform(L[body + 2 + len(ca):], lambda x: {{'label': 'file-context', 'text': x}})) END AS rows FROM at)"""
+    list_transform(L[body + 2:body + 1 + len(ca)], lambda x: {{'label': 'hunk-context-after', 'text': x}}), list_transform(L[body + 2 + len(ca):], lambda x: {{'label': 'file-context', 'text': x}})) END AS rows FROM placed)"""
 _TEXT = f"CASE WHEN r.text = '' THEN ' ' ELSE {q.escape_all('r.text')} END"
 
 
@@ -120,14 +120,14 @@ _TEXT = f"CASE WHEN r.text = '' THEN ' ' ELSE {q.escape_all('r.text')} END"
 SELECT response_id, line_no, r.label AS label, {_TEXT} AS text FROM (SELECT response_id, unnest(rows) AS r, CAST(unnest(range(0, len(rows))) AS BIGINT) AS line_no FROM rows)""")
 def annotate_hunk(spark: SparkSession, folder: str) -> DataFrame:
     located = locate_hunks(fx.hunks(spark, folder), fx.files(spark, folder))
-    return R.annotate_hunk(located).select("response_id", "line_no", "label", "text")
+    return R.annotate_hunk(located, fx.files(spark, folder)).select("response_id", "line_no", "label", "text")
 
 
 @query("hunk_html", f"""{_PREVIEW}
 SELECT response_id, '<pre>' || chr(10) || array_to_string(list_transform(rows, lambda r: '<span class="' || r.label || '">' || {_TEXT} || '</span>'), chr(10)) || chr(10) || '</pre>' AS html FROM rows""")
 def hunk_html(spark: SparkSession, folder: str) -> DataFrame:
     located = locate_hunks(fx.hunks(spark, folder), fx.files(spark, folder))
-    return R.hunk_html(located).select("response_id", "html")
+    return R.hunk_html(located, fx.files(spark, folder)).select("response_id", "html")
 
 
 _DIFF = """CASE WHEN doc_id % 7 = 3 THEN '@@ no newline @@' ELSE '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '@@ -1 +1 @@' || chr(10) || 'python' || chr(10) || '+' || replace(text, chr(10), chr(10) || '-') END"""

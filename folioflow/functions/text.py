@@ -21,6 +21,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(value: Column) -> Column:
+    """Have an expensive expression evaluated where it is written.
+
+    The optimizer copies a column's expression into every filter above it that
+    names the column. It does not do so with a value that could vary, which the
+    (always true) condition makes it look like; unused columns are still pruned.
+    """
+    return F.when(F.rand(0) >= 0, value)
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final line break opens no further line."""
     return let(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.defaults import MAX_CONTEXT_TOKENS, READ_NOT_FOUND, READ_OK, READ_SCRUBBED, SECRET_PATTERNS
 from folioflow.functions.paths import base_name, components, module_label
-from folioflow.functions.text import escape_attr, escape_content, redact_secrets
+from folioflow.functions.text import escape_attr, escape_content, once, redact_secrets
 from folioflow.functions.tokens import estimate_tokens
 from folioflow.operators.selection import KEY
 from folioflow.operators.skew import running_total
@@ -29,7 +29,7 @@ def read_files(
     counter: Callable[[Column], Column] = estimate_tokens,
 ) -> DataFrame:
     """Redact and count: adds `tokens` and `status`, replaces `content`."""
-    clean = files.withColumn("_clean", redact_secrets(F.col("content"), patterns))
+    clean = files.withColumn("_clean", once(redact_secrets(F.col("content"), patterns)))
     return (
         clean.withColumn("content", F.col("_clean.content"))
         .withColumn("status", F.when(F.col("_clean.scrubbed"), READ_SCRUBBED).otherwise(READ_OK))
@@ -60,18 +60,19 @@ def apply_budget(
     By default everything is included and the budget only reported against.
     With `enforce`, the longest run of files in path order whose tokens fit is
     included and the rest get the status `skipped_budget`. Only paths and counts
-    are ordered; contents join back afterwards by their unique key.
+    are ordered; contents, if the table has them, join back by their unique key.
     """
     if not enforce:
         return context_files
     key = [prompt, "rel_path"]
-    narrow = context_files.select(*key, "tokens", components(F.col("rel_path")).alias("_parts"))
-    running = running_total(narrow, [prompt], ["_parts"], {"running_tokens": "tokens"}, max_group_rows)
+    wide = "content" in context_files.columns
+    narrow = context_files.select(*key, "tokens") if wide else context_files
+    ordered = narrow.withColumn("_parts", components(F.col("rel_path")))
+    running = running_total(ordered, [prompt], ["_parts"], {"running_tokens": "tokens"}, max_group_rows).drop("_parts")
+    if wide:
+        running = context_files.join(running.drop("tokens"), key)
     over = F.col("running_tokens") > max_tokens
-    return (
-        context_files.join(running.select(*key, "running_tokens"), key)
-        .withColumn("status", F.when(over, "skipped_budget").otherwise(F.col("status")))
-    )
+    return running.withColumn("status", F.when(over, "skipped_budget").otherwise(F.col("status")))
 
 
 def file_record(files: DataFrame) -> DataFrame:
@@ -117,18 +118,25 @@ def assemble_context(
     escape: str = "minimal",
     max_part_chars: int = MAX_PART_CHARS,
     max_group_rows: int | None = None,
+    max_chars: int | None = None,
+    prompts: DataFrame | None = None,
 ) -> DataFrame:
     """One `<context>` document per prompt, files in path order.
 
     A document is one row while its files hold at most `max_part_chars`
-    characters, which the columns `size` and key alone decide. Larger ones
-    become several rows, numbered by `part_no`, that concatenate to the
-    document; so no task gathers more than a part and nothing is left out.
+    characters; the columns `size` and key alone decide, unless the caller knows
+    a bound `max_chars`. Larger documents become several rows, numbered by
+    `part_no`, that concatenate to them; so no task gathers more than a part and
+    nothing is left out. `prompts` names prompts that may have no file.
     """
     kept = context_files.filter(~F.col("status").startswith("skipped"))
     chars = F.col("size") if "size" in context_files.columns else F.length("content")
-    largest = kept.groupBy(prompt).agg(F.sum(chars).alias("n")).agg(F.max("n")).first()[0] or 0
-    last = context_files.groupBy(prompt).agg(F.lit(0).cast("long").alias("_last"))
+    largest = max_chars
+    if largest is None:
+        # Over all files, the skipped ones too: an upper bound that needs no content.
+        largest = context_files.groupBy(prompt).agg(F.sum(chars).alias("n")).agg(F.max("n")).first()[0] or 0
+    everyone = context_files if prompts is None else prompts
+    last = everyone.groupBy(prompt).agg(F.lit(0).cast("long").alias("_last"))
     if largest <= max_part_chars:
         numbered = kept.withColumn("part_no", F.lit(0).cast("long"))
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from folioflow.functions.hunks import diff_text_changes, line_changes
 from folioflow.functions.paths import resolve_path
-from folioflow.functions.text import is_blank, let, strip
+from folioflow.functions.text import is_blank, let, once, strip
 
 FENCED_JSON = r"(?iU)```json\s*([\s\S]*?)\s*```"
 MARKDOWN_DIFF = r"(?dmU)^```diff\s+file=([\"'])(.*?)\1\s*?\n([\s\S]*?)\n```"
@@ -152,13 +153,10 @@ def detect_format(text: Column) -> Column:
 def with_format(responses: DataFrame) -> DataFrame:
     """Adds `format` and the JSON `items`; JSON without a valid item falls through to the older formats."""
     segment = F.when(looks_like_json(F.col("text")), json_segment(F.col("text")))
-    parsed = (
-        responses.withColumn("_segment", segment)
-        .withColumn("_strict", F.try_parse_json("_segment"))
-        .withColumn("_reprinted", _reprint_json(F.when(F.col("_strict").isNull(), F.col("_segment"))))
-        .withColumn("items", json_items(F.coalesce(F.col("_strict"), F.try_parse_json("_reprinted"))))
-    )
-    return parsed.withColumn(
+    parsed = responses.withColumn("_segment", once(segment)).withColumn("_strict", once(F.try_parse_json("_segment")))
+    parsed = parsed.withColumn("_reprinted", _reprint_json(F.when(F.col("_strict").isNull(), F.col("_segment"))))
+    items = json_items(F.coalesce(F.col("_strict"), F.try_parse_json("_reprinted")))
+    return parsed.withColumn("items", once(items)).withColumn(
         "format", F.when(F.size("items") > 0, "json").otherwise(legacy_format(F.col("text")))
     ).drop("_segment", "_strict", "_reprinted")
 
@@ -240,46 +238,70 @@ def path_ok(changes: DataFrame) -> DataFrame:
     return changes.filter(F.col("path_problem").isNull())
 
 
+def _record(kind: str | Column, file: Column, **fields: Column) -> Column:
+    strings = F.lit(None).cast("array<string>")
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.struct(
+        kind.alias("kind"), file.alias("file"),
+        *[fields.get(name, strings).alias(name) for name in ("hunk_lines", "context_before", "context_after")],
+        fields.get("body", F.lit(None).cast("string")).alias("body"),
+    )
+
+
+def _item_records(item: Column) -> Column:
+    """A hunk, or the diff and the content of a whole-file suggestion."""
+    arrays = {name: item[name] for name in ("hunk_lines", "context_before", "context_after")}
+    pieces = F.array(
+        _record("diff", item["file"], body=strip(item["diff_text"])),
+        _record("proposed", item["file"], body=item["proposed_content"]),
+    )
+    return F.when(item["is_hunk"], F.array(_record("hunk", item["file"], **arrays))).otherwise(
+        F.filter(pieces, lambda p: p["body"].isNotNull())
+    )
+
+
+def change_records(responses: DataFrame) -> DataFrame:
+    """Everything the responses hold, in one pass and one flat table.
+
+    One row per hunk, diff, proposed content or parse error (`kind`), with its
+    place in the response, its safe `rel_path`, and `path_problem` if the path
+    leaves the project.
+    """
+    read = with_format(live_responses(responses))
+    read = read.withColumn("_xml", _xml_pieces(F.when(F.col("format") == "xml", F.col("text"))))
+    pieces = F.when(F.col("format") == "xml", F.col("_xml.pieces")).when(
+        F.col("format") == "markdown", markdown_pieces(F.col("text"))
+    )
+    named = F.filter(pieces, lambda p: p["file"] != "")
+    error = F.when(F.col("_xml.error").isNotNull(), F.array(_record("error", F.lit(None).cast("string"), body=F.col("_xml.error"))))
+    numbered_items = F.flatten(F.transform(
+        F.col("items"),
+        lambda item, i: F.transform(_item_records(item), lambda r: F.struct(i.alias("pos"), r.alias("record"))),
+    ))
+    numbered_pieces = F.transform(
+        F.coalesce(error, F.transform(named, lambda p: _record(p["kind"], p["file"], body=p["body"]))),
+        lambda r, i: F.struct(i.alias("pos"), r.alias("record")),
+    )
+    rows = F.when(F.col("format") == "json", numbered_items).otherwise(numbered_pieces)
+    flat = read.select("response_id", "project_id", "format", F.explode(once(rows)).alias("_row"))
+    flat = flat.select("response_id", "project_id", "format", F.col("_row.pos").cast("long").alias("pos"), "_row.record.*")
+    return resolve_paths(flat)
+
+
 class Extracted:
-    """What a table of responses holds: hunks, suggestions, rejects and parse errors."""
-
-    def __init__(self, responses: DataFrame):
-        read = with_format(live_responses(responses))
-        xml = _xml_pieces(F.when(F.col("format") == "xml", F.col("text")))
-        self.formats = read.select("response_id", "project_id", "format")
-        self._read = read
-        with_xml = read.withColumn("_xml", xml)
-        self.errors = with_xml.filter(F.col("_xml.error").isNotNull()).select(
-            "response_id", "project_id", F.col("_xml.error").alias("parse_error")
-        )
-        key = ["response_id", "project_id"]
-        items = read.select(*key, F.posexplode("items").alias("pos", "item")).select(*key, "pos", "item.*")
-        items = resolve_paths(items)
-        json_pieces = items.filter(~F.col("is_hunk")).select(
-            *key, "file", "rel_path", "path_problem", F.col("pos").cast("long").alias("pos"),
-            F.inline(F.filter(
-                F.array(
-                    F.struct(F.lit("diff").alias("kind"), strip(F.col("diff_text")).alias("body")),
-                    F.struct(F.lit("proposed").alias("kind"), F.col("proposed_content").alias("body")),
-                ),
-                lambda p: p["body"].isNotNull(),
-            )),
-        )
-        fenced = F.when(F.col("format") == "xml", F.col("_xml.pieces")).when(
-            F.col("format") == "markdown", markdown_pieces(F.col("text"))
-        ).otherwise(F.array().cast(_PIECES))
-        blocks = with_xml.select(*key, F.posexplode(fenced).alias("pos", "piece")).select(
-            *key, F.col("pos").cast("long").alias("pos"), "piece.*"
-        )
-        blocks = resolve_paths(blocks.filter(F.col("file") != ""))
-        self._items = items
-        self.pieces = blocks.unionByName(json_pieces)
+    """Hunks, suggestions, rejects and parse errors as views of one table of change records."""
+
+    def __init__(self, records: DataFrame):
+        self.records = records
+
+    def _pieces(self) -> DataFrame:
+        return path_ok(self.records.filter(F.col("kind").isin("diff", "proposed")))
 
     @property
     def hunks(self) -> DataFrame:
         """Hunks with a safe path, numbered by their place in the response."""
         counts = line_changes(F.col("hunk_lines"))
-        return path_ok(self._items.filter("is_hunk")).select(
+        return path_ok(self.records.filter(F.col("kind") == "hunk")).select(
             "response_id", F.col("pos").alias("hunk_pos"), "project_id", "rel_path",
             "hunk_lines", "context_before", "context_after",
             counts["added"].alias("lines_added"), counts["deleted"].alias("lines_deleted"),
@@ -287,20 +309,28 @@ class Extracted:
 
     @property
     def suggestions(self) -> DataFrame:
-        paired = pair_diff_proposed(path_ok(self.pieces))
         counts = diff_text_changes(F.col("diff_text"))
-        return paired.withColumns({"lines_added": counts["added"], "lines_deleted": counts["deleted"]})
+        return pair_diff_proposed(self._pieces()).withColumns(
+            {"lines_added": counts["added"], "lines_deleted": counts["deleted"]}
+        )
 
     @property
     def rejects(self) -> DataFrame:
-        columns = ["response_id", "project_id", "file", "path_problem"]
-        bad = F.col("path_problem").isNotNull()
-        hunks = self._items.filter(F.col("is_hunk") & bad).select(*columns)
-        return hunks.union(self.pieces.filter(bad).select(*columns))
+        """Changes with an unsafe path, and why."""
+        bad = self.records.filter(F.col("path_problem").isNotNull() & (F.col("kind") != "error"))
+        return bad.select("response_id", "project_id", "file", "path_problem")
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.records.filter(F.col("kind") == "error").select(
+            "response_id", "project_id", F.col("body").alias("parse_error")
+        )
 
 
-def extract_changes(responses: DataFrame) -> Extracted:
-    return Extracted(responses)
+def extract_changes(responses: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> Extracted:
+    """Change records of responses. `keep` (a checkpoint, say) saves reading them again for each view."""
+    records = change_records(responses)
+    return Extracted(keep(records) if keep else records)
 
 
 def union_changes(hunks: DataFrame, suggestions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.defaults import MAX_DISTANCE, RATIO_EPSILON
 from folioflow.functions.hunks import original_lines, pure_addition
-from folioflow.functions.text import is_blank, let, normalize_line, sha1_content, split_lines, strip
+from folioflow.functions.text import is_blank, let, normalize_line, once, sha1_content, split_lines, strip
 from folioflow.operators.selection import KEY
 from folioflow.operators.skew import skew_join
 
@@ -29,7 +29,9 @@ def hunks_with_file(hunks: DataFrame, files: DataFrame) -> DataFrame:
 def with_needle(targets: DataFrame) -> DataFrame:
     """Adds the file's `_lines`, and `_needle`: the lines the hunk expects to find."""
     needle = original_lines(F.col("context_before"), F.col("hunk_lines"), F.col("context_after"))
-    return targets.withColumns({"_lines": split_lines(F.coalesce("content", F.lit(""))), "_needle": needle})
+    return targets.withColumns({
+        "_lines": once(split_lines(F.coalesce("content", F.lit("")))), "_needle": once(needle),
+    })
 
 
 def _at(array: Column, index: Column) -> Column:
@@ -60,7 +62,7 @@ def candidate_starts(targets: DataFrame) -> DataFrame:
     )
     every = F.sequence(F.lit(0), F.greatest(n - m, F.lit(0)))
     starts = F.when(fits, let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(every)))
-    return targets.withColumn("_starts", F.coalesce(starts, F.array().cast("array<int>")))
+    return targets.withColumn("_starts", once(F.coalesce(starts, F.array().cast("array<int>"))))
 
 
 def exact_starts() -> Column:
@@ -125,7 +127,7 @@ def best_match(candidates: DataFrame, max_distance: float = MAX_DISTANCE) -> Dat
     lines the tolerance leaves only agreement of every line: an array
     comparison. Longer hunks that agree nowhere are scored in Python.
     """
-    exact = candidates.withColumn("_exact", exact_starts())
+    exact = candidates.withColumn("_exact", once(exact_starts()))
     long_enough = F.size("_needle") * (max_distance + RATIO_EPSILON) >= 1
     fuzzy = long_enough & (F.size("_exact") == 0) & (F.size("_starts") > 0)
     scored = exact.withColumn(
@@ -145,14 +147,17 @@ def best_match(candidates: DataFrame, max_distance: float = MAX_DISTANCE) -> Dat
         .when(n_exact == 0, F.col("_fuzzy.start"))
     )
     return scored.withColumns({
-        "first_target_line": start.cast("long"),
+        "first_target_line": once(start.cast("long")),
         "match_ratio": F.when(opens_empty_file | (n_exact > 0), F.lit(1.0)).otherwise(F.col("_fuzzy.ratio")),
         "n_best": F.when(opens_empty_file, F.lit(1)).when(n_exact > 0, n_exact).otherwise(F.col("_fuzzy.n_best")).cast("long"),
     }).drop("_exact", "_fuzzy")
 
 
 def locate_hunks(hunks: DataFrame, files: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """Hunks with `status` matched or unmatched and their 0-based `first_target_line`."""
+    """Hunks with `status` matched or unmatched and their 0-based `first_target_line`.
+
+    The file's content takes part in the search only and is not carried on.
+    """
     found = best_match(candidate_starts(with_needle(hunks_with_file(hunks, files))), max_distance)
     status = F.when(F.col("first_target_line").isNotNull(), "matched").otherwise("unmatched")
-    return found.withColumn("status", status).drop("_lines", "_needle", "_starts")
+    return found.withColumn("status", status).drop("_lines", "_needle", "_starts", "content")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from folioflow.defaults import IGNORE_GLOBS, MAX_CONTEXT_TOKENS, MAX_DISTANCE, SECRET_PATTERNS
 from folioflow.functions.tokens import estimate_tokens
@@ -13,7 +14,8 @@ from folioflow.operators.applying import apply_hunk_lines, apply_proposed, apply
 from folioflow.operators.context import apply_budget, assemble_context, final_prompts, read_files
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.locating import locate_hunks
-from folioflow.operators.selection import collect_files, drop_empty_init, drop_env_dirs, drop_ignored, drop_system
+from folioflow.operators.selection import KEY, collect_files, drop_empty_init, drop_env_dirs, drop_ignored, drop_system
+from folioflow.session import checkpointed
 
 
 def build_prompts(
@@ -39,9 +41,17 @@ def build_prompts(
     chosen = drop_system(chosen) if hide_system else chosen
     chosen = collect_files(drop_ignored(chosen, ignore), include, exclude)
     chosen = drop_empty_init(chosen) if skip_empty_init else chosen
-    read = read_files(chosen, secret_patterns, counter)
-    kept = apply_budget(read, max_tokens, enforce_budget)
-    return final_prompts(assemble_context(kept, escape=escape), instructions)
+    if not enforce_budget:
+        return final_prompts(assemble_context(read_files(chosen, secret_patterns, counter), escape=escape), instructions)
+
+    # Count every file, but carry content only for those that fit.
+    counted = read_files(chosen, secret_patterns, counter).select(*KEY, "tokens", "status")
+    fitting = apply_budget(counted, max_tokens, enforce=True).filter(F.col("running_tokens") <= max_tokens).select(*KEY)
+    read = read_files(chosen.join(fitting, KEY, "left_semi"), secret_patterns, counter)
+    # The native count gives at most seven characters a token.
+    bound = 7 * max_tokens if counter is estimate_tokens else None
+    contexts = assemble_context(read, escape=escape, max_chars=bound, prompts=chosen.select("project_id"))
+    return final_prompts(contexts, instructions)
 
 
 @dataclass
@@ -55,9 +65,13 @@ class EditResult:
 
 
 def edit_files(responses: DataFrame, files: DataFrame, max_distance: float = MAX_DISTANCE) -> EditResult:
-    """Extract, locate, check and apply: new contents and one report per file."""
-    found = extract_changes(responses)
-    located = locate_hunks(found.hunks, files, max_distance)
+    """Extract, locate, check and apply: new contents and one report per file.
+
+    The change records and their places are kept in reliable storage, because
+    several results read them; they hold no file contents.
+    """
+    found = extract_changes(responses, keep=checkpointed)
+    located = checkpointed(locate_hunks(found.hunks, files, max_distance))
     reports = apply_reports(located, files)
     return EditResult(
         located=located,

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.functions.text import sha1_content
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.selection import KEY
+from folioflow.session import checkpointed
 from folioflow.sources.tables import snapshot
 
 
@@ -26,6 +28,14 @@ def debounce_stream(events: DataFrame, key: str, ts: str, payload: str, gap: str
     return settled.select(key, f"_last.{ts}", f"_last.{payload}", "n_events")
 
 
+def _micros(events: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch, by the clock of the column, whatever the session's zone."""
+    zoned = isinstance(events.schema[ts].dataType, T.TimestampType)
+    epoch = F.expr("timestamp_ltz'1970-01-01 00:00:00Z'" if zoned else "timestamp_ntz'1970-01-01 00:00:00'")
+    seconds = (F.col(ts) - epoch).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("long")
+
+
 def debounce(events: DataFrame, key: str, ts: str, payload: str, gap_us: int) -> DataFrame:
     """The same over a finished table, for keys with any number of events.
 
@@ -33,7 +43,7 @@ def debounce(events: DataFrame, key: str, ts: str, payload: str, gap_us: int) ->
     end a burst, and only the next cell can hold an event soon enough to go on
     with it; so each cell is summed up in the aggregate and meets one neighbour.
     """
-    micros = F.unix_micros(ts)
+    micros = _micros(events, ts)
     cell = F.floor(micros / F.lit(gap_us)).cast("long")
     cells = events.select(key, ts, payload, cell.alias("_cell"), micros.alias("_us")).groupBy(key, "_cell").agg(
         F.max(F.struct(ts, payload)).alias("_last"), F.max("_us").alias("_latest"), F.min("_us").alias("_earliest")
@@ -77,7 +87,7 @@ def stream_extract(responses: DataFrame, path: str, checkpoint: str) -> Streamin
     """Extract changes from each micro-batch of responses into `path`/hunks and `path`/suggestions."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        found = extract_changes(batch)
+        found = extract_changes(batch, keep=checkpointed)
         for name, rows in [("hunks", found.hunks), ("suggestions", found.suggestions)]:
             rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic"
