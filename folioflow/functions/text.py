@@ -28,7 +28,7 @@ def once(value: Column) -> Column:
     names the column. It does not do so with a value that could vary, which the
     (always true) condition makes it look like; unused columns are still pruned.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def split_lines(text: Column) -> Column:
