@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.defaults import ARTIFACT_LABELS, BUILTINS, KEYWORDS, REDACTED
+from folioflow.defaults import ARTIFACT_LABELS, BUILTINS, KEYWORDS, REDACTED, SECRET_HINTS
 
 # Every line boundary: CRLF, or one of LF CR VT FF FS GS RS NEL LS PS.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -90,22 +92,44 @@ def secret_regex(pattern: str) -> str:
     return "(?iuU)" + named.replace(r"\Z", r"\z")
 
 
-def redact_secrets(text: Column, patterns: Sequence[str]) -> Column:
+# Letters that a case-blind search takes for s, i or k, but that lower() leaves apart.
+_FOLDED_TWINS = ["\u017f", "\u0131", "\u0130", "\u212a"]
+# Syntax whose outcome in a line may differ from its outcome in the whole text.
+_SEES_LINE_ENDS = re.compile(r"[\^$]|\\[ABGZz0-9]|\(\?[^:]|[*+?}]\+")
+
+
+def may_hold_secret(text: Column, patterns: Sequence[str], hints: Mapping[str, str]) -> Column | None:
+    """A cheap test that no text with a match fails; None if a pattern allows none."""
+    hinted = {hints[p] for p in patterns if p in hints}
+    others = [p for p in patterns if p not in hints]
+    if any(_SEES_LINE_ENDS.search(p.replace("[^", "[")) for p in others):
+        return None
+    tests = [text.rlike(secret_regex(p)) for p in others]
+    if hinted:
+        tests += [text.contains(twin) for twin in _FOLDED_TWINS]
+        tests.append(let(F.lower(text), lambda low: reduce(or_, [low.contains(h) for h in sorted(hinted)])))
+    return reduce(or_, tests)
+
+
+def redact_secrets(text: Column, patterns: Sequence[str], hints: Mapping[str, str] = SECRET_HINTS) -> Column:
     """Struct (content, scrubbed): every match in every line replaced.
 
     Lines are joined again only where something matched, so an untouched text
-    keeps its final newline and its own separators.
+    keeps its final newline and its own separators. Texts that cannot hold a
+    match are not cut into lines at all.
     """
+    untouched = F.struct(text.alias("content"), F.lit(False).alias("scrubbed"))
     if not patterns:
-        return F.struct(text.alias("content"), F.lit(False).alias("scrubbed"))
+        return untouched
     regexes = [secret_regex(p) for p in patterns]
+    suspicious = may_hold_secret(text, patterns, hints)
 
     def scrub(line: Column) -> Column:
         for regex in regexes:
             line = F.regexp_replace(line, regex, REDACTED)
         return line
 
-    return let(
+    searched = let(
         split_lines(text),
         lambda lines: let(
             F.transform(lines, scrub),
@@ -115,6 +139,7 @@ def redact_secrets(text: Column, patterns: Sequence[str]) -> Column:
             ),
         ),
     )
+    return searched if suspicious is None else F.when(suspicious, searched).otherwise(untouched)
 
 
 def sha1_content(text: Column) -> Column:

@@ -129,12 +129,12 @@ def json_items(document: Column) -> Column:
 
 
 def looks_like_json(text: Column) -> Column:
-    bare = strip(text)
-    return (
-        (bare.startswith("{") & bare.endswith("}"))
-        | (bare.startswith("[") & bare.endswith("]"))
-        | text.contains("```json")
-    )
+    space = r"[\s\x1c-\x1f]*"
+
+    def enclosed(opening: str, closing: str) -> Column:
+        return text.rlike(rf"(?U)\A{space}\{opening}") & text.rlike(rf"(?U)\{closing}{space}\z")
+
+    return enclosed("{", "}") | enclosed("[", "]") | text.contains("```json")
 
 
 def legacy_format(text: Column) -> Column:

@@ -22,7 +22,7 @@ HUNK_ID = ["response_id", "hunk_pos"]
 def hunks_with_file(hunks: DataFrame, files: DataFrame) -> DataFrame:
     """Each hunk with its target's content and checksum; both null when there is no such file."""
     target = files.select(*KEY, "content", sha1_content(F.col("content")).alias("base_sha1"))
-    joined = skew_join(hunks, target, KEY, "left", HUNK_ID)
+    joined = skew_join(hunks, target, KEY, "left", HUNK_ID, redistribute=True)
     return joined.withColumn("file_exists", F.col("base_sha1").isNotNull())
 
 

@@ -41,11 +41,15 @@ def skew_join(
     how: str,
     spread_by: Sequence[str],
     rows_per_salt: int = ROWS_PER_SALT,
+    redistribute: bool = False,
 ) -> DataFrame:
     """Join `many` (may have hot keys) with `one` (one row per key).
 
     Rows of a hot key are spread over salts by the columns `spread_by`; the
     matching row of `one` is repeated once per salt. Other keys are untouched.
+    With `redistribute`, the rows are partitioned by key first even if the join
+    then broadcasts: for costly work per row afterwards. A shuffled join reuses
+    that partitioning.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do a {how} join")
@@ -53,6 +57,8 @@ def skew_join(
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     spread = F.pmod(F.xxhash64(*spread_by), pieces.cast("long")).cast("int")
     left = many.join(hot, list(on), "left").withColumn("_salt", spread).drop("_pieces")
+    if redistribute:
+        left = left.repartition(*on, "_salt")
     right = one.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return left.join(right.drop("_pieces"), [*on, "_salt"], how).drop("_salt")
 
