@@ -125,9 +125,12 @@ def redact_secrets(text: Column, patterns: Sequence[str], hints: Mapping[str, st
     suspicious = may_hold_secret(text, patterns, hints)
 
     def scrub(line: Column) -> Column:
+        clean = line
         for regex in regexes:
-            line = F.regexp_replace(line, regex, REDACTED)
-        return line
+            clean = F.regexp_replace(clean, regex, REDACTED)
+        if suspicious is None:
+            return clean
+        return F.when(may_hold_secret(line, patterns, hints), clean).otherwise(line)
 
     searched = let(
         split_lines(text),
