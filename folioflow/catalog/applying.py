@@ -13,7 +13,7 @@ from folioflow.operators import applying as A
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.locating import locate_hunks
 from folioflow.plans import edit_files
-from folioflow.session import checkpointed
+from folioflow.session import kept
 from folioflow.sources.tables import snapshot
 
 _KEY = ["project_id", "rel_path"]
@@ -21,7 +21,7 @@ _ID = ["response_id", "hunk_pos"]
 
 
 def _located(spark: SparkSession, folder: str) -> DataFrame:
-    return checkpointed(locate_hunks(fx.many_hunks(spark, folder), fx.files(spark, folder)))
+    return kept(locate_hunks(fx.many_hunks(spark, folder), fx.files(spark, folder)))
 
 
 _MATCHED = f"""WITH {q.MANY_HUNKS}, {q.LOCATED},

@@ -14,7 +14,7 @@ from folioflow.functions.paths import backup_path
 from folioflow.functions.text import let, sha1_content, split_lines
 from folioflow.operators.locating import HUNK_ID
 from folioflow.operators.selection import KEY
-from folioflow.operators.skew import running_rank, running_total, skew_join
+from folioflow.operators.skew import only_named, running_rank, running_total, skew_join
 
 
 def _block_length() -> Column:
@@ -67,7 +67,7 @@ def overlap_check(located: DataFrame, mode: str = "original", max_group_rows: in
 def external_change_check(located: DataFrame, files_now: DataFrame) -> DataFrame:
     """Per file with hunks: the checksum at locate time, the one now, and whether they differ."""
     base = located.groupBy(*KEY).agg(F.max("base_sha1").alias("base_sha1"))
-    now = files_now.select(*KEY, sha1_content(F.col("content")).alias("sha1_now"))
+    now = only_named(files_now, base, KEY).select(*KEY, sha1_content(F.col("content")).alias("sha1_now"))
     changed = ~F.col("base_sha1").eqNullSafe(F.col("sha1_now"))
     return base.join(now, KEY, "left").withColumn("changed", changed)
 
@@ -128,8 +128,8 @@ def apply_hunk_lines(located: DataFrame, reports: DataFrame, files: DataFrame) -
         F.col("first_target_line").alias("start"), *HUNK_ID, body_start.alias("body_start"),
         (body_start + body_length).alias("body_end"), F.col("hunk_lines").alias("hunk_lines"),
     )
-    edits = located.join(ok, KEY, "left_semi").groupBy(*KEY).agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
-    target = files.select(*KEY, "content")
+    edits = skew_join(located, ok, KEY, "left_semi", HUNK_ID).groupBy(*KEY).agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
+    target = only_named(files.select(*KEY, "content"), ok, KEY)
     rows = edits.join(target, KEY, "left").withColumn("_lines", split_lines(F.coalesce("content", F.lit(""))))
     lines, hunks = F.col("_lines"), F.col("_edits")
 
@@ -196,7 +196,7 @@ def apply_proposed(suggestions: DataFrame, files: DataFrame) -> DataFrame:
 
     A diff without proposed content is not applied.
     """
-    target = files.select(*KEY, F.col("content").alias("old_content"))
+    target = only_named(files, suggestions, KEY).select(*KEY, F.col("content").alias("old_content"))
     joined = skew_join(suggestions, target, KEY, "left", ["response_id"])
     given, exists = F.col("proposed_content").isNotNull(), F.col("old_content").isNotNull()
     has_diff = F.coalesce("diff_text", F.lit("")) != ""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.defaults import CUSTOM
 from folioflow.functions.text import let, split_lines, strip
-from folioflow.operators.skew import lookup_join
+from folioflow.operators.skew import lookup_join, skew_join
 
 _ITEM = ["category", "name"]
 
@@ -33,7 +33,8 @@ def merge_defaults(loaded: DataFrame, defaults: DataFrame, owner: Sequence[str]
     present = loaded.select(*owner, "category").distinct().withColumn("_has_category", F.lit(True))
     both = loaded.withColumn("_loaded", F.lit(True)).join(
         standard.withColumn("_default", F.lit(True)), [*owner, *_ITEM], "full"
-    ).join(present, [*owner, "category"], "left")
+    )
+    both = skew_join(both, present, [*owner, "category"], "left", ["name"])
 
     custom, has = F.col("name") == CUSTOM, F.coalesce(F.col("_has_category"), F.lit(False))
     is_loaded, is_default = F.col("_loaded").isNotNull(), F.col("_default").isNotNull()

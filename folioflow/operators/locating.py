@@ -14,14 +14,15 @@ from folioflow.defaults import MAX_DISTANCE, RATIO_EPSILON
 from folioflow.functions.hunks import original_lines, pure_addition
 from folioflow.functions.text import is_blank, let, normalize_line, once, sha1_content, split_lines, strip
 from folioflow.operators.selection import KEY
-from folioflow.operators.skew import skew_join
+from folioflow.operators.skew import only_named, skew_join
 
 HUNK_ID = ["response_id", "hunk_pos"]
 
 
 def hunks_with_file(hunks: DataFrame, files: DataFrame) -> DataFrame:
     """Each hunk with its target's content and checksum; both null when there is no such file."""
-    target = files.select(*KEY, "content", sha1_content(F.col("content")).alias("base_sha1"))
+    target = only_named(files.select(*KEY, "content"), hunks, KEY)
+    target = target.withColumn("base_sha1", sha1_content(F.col("content")))
     joined = skew_join(hunks, target, KEY, "left", HUNK_ID, redistribute=True)
     return joined.withColumn("file_exists", F.col("base_sha1").isNotNull())
 

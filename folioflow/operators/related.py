@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.skew import skew_join
-from folioflow.session import checkpointed
+from folioflow.session import kept
 
 # Import statements of Python sources.
 IMPORT = r"(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_][\w.]*)"
@@ -34,13 +34,13 @@ def connected_groups(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Edges are replaced by stars in alternating rounds: first every node hands
     its larger neighbours to its least one, then its smaller neighbours. That
     takes a logarithmic number of rounds on chains too. Each round aggregates
-    before it shuffles, spreads hub nodes over salts, and is checkpointed.
+    before it shuffles, spreads hub nodes over salts, and is kept.
     """
     both = edges.filter("src <> dst").select("project_id", "src", "dst")
-    current = checkpointed(both.union(both.select("project_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    current = kept(both.union(both.select("project_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     previous = None
     for _ in range(max_rounds):
-        current = checkpointed(_small_star(_large_star(current)))
+        current = kept(_small_star(_large_star(current)))
         seen = current.agg(F.count("*"), F.sum(F.xxhash64("project_id", "src", "dst").cast("decimal(38,0)"))).first()
         if seen == previous:
             break

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.session import checkpointed
+from folioflow.session import kept
 
 # Above this many rows a key is split; only this many keys can be split, so the
 # list of them is small enough to broadcast whatever the data. A key outside the
@@ -72,6 +72,18 @@ def lookup_join(
     return skew_join(rows, table, on, how, spread_by)
 
 
+def only_named(table: DataFrame, named: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of a wide table whose key is named, without a shuffle, if few keys are.
+
+    Where many are, the table is returned whole: the join that follows finds the
+    rows, and a second shuffle would save nothing.
+    """
+    keys = named.select(*on).distinct()
+    if keys.limit(MAX_LOOKUP_ROWS + 1).count() > MAX_LOOKUP_ROWS:
+        return table
+    return table.join(F.broadcast(keys), list(on), "left_semi")
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],
@@ -83,10 +95,10 @@ def running_total(
 
     `totals` maps each new column to the column it sums. While the largest
     group fits a window task, that is a plain window. Otherwise the rows are
-    sorted over the whole cluster and kept in reliable storage, each sorted
-    block is summed on its own, and the sums of the blocks before it are added:
-    no task sees more than one block. `order` must name each row of a group
-    uniquely, and `df` should hold narrow columns only.
+    sorted over the whole cluster and kept in reliable storage with the number
+    of their block, each block is summed on its own, and the sums of the blocks
+    before it are added: no task sees more than one block. `order` must name each
+    row of a group uniquely, and `df` should hold narrow columns only.
     """
     limit = MAX_WINDOW_ROWS if max_group_rows is None else max_group_rows
     order = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -96,7 +108,7 @@ def running_total(
         window = Window.partitionBy(*group).orderBy(*order).rowsBetween(*upto_here)
         return df.withColumns({new: F.sum(old).over(window) for new, old in totals.items()})
 
-    blocks = checkpointed(df.orderBy(*group, *order)).withColumn("_block", F.spark_partition_id())
+    blocks = kept(df.orderBy(*group, *order).withColumn("_block", F.spark_partition_id()))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocks.groupBy(*group, "_block")

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.defaults import IGNORE_GLOBS, MAX_CONTEXT_TOKENS, MAX_DISTANCE, SECRET_PATTERNS
+from folioflow.functions.paths import components
 from folioflow.functions.tokens import estimate_tokens
 from folioflow.operators.applying import apply_hunk_lines, apply_proposed, apply_reports, verify_applied
 from folioflow.operators.context import apply_budget, assemble_context, final_prompts, read_files
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.locating import locate_hunks
 from folioflow.operators.selection import KEY, collect_files, drop_empty_init, drop_env_dirs, drop_ignored, drop_system
-from folioflow.session import checkpointed
+from folioflow.operators.skew import lookup_join
+from folioflow.session import kept
 
 
 def build_prompts(
@@ -44,10 +46,14 @@ def build_prompts(
     if not enforce_budget:
         return final_prompts(assemble_context(read_files(chosen, secret_patterns, counter), escape=escape), instructions)
 
-    # Count every file, but carry content only for those that fit.
+    # Count every file, but carry content only for those that fit. What fits is the
+    # start of each project in path order, so its last path tells, and no content is shuffled to find out.
     counted = read_files(chosen, secret_patterns, counter).select(*KEY, "tokens", "status")
-    fitting = apply_budget(counted, max_tokens, enforce=True).filter(F.col("running_tokens") <= max_tokens).select(*KEY)
-    read = read_files(chosen.join(fitting, KEY, "left_semi"), secret_patterns, counter)
+    fitting = apply_budget(counted, max_tokens, enforce=True).filter(F.col("running_tokens") <= max_tokens)
+    ends = fitting.groupBy("project_id").agg(F.max(components(F.col("rel_path"))).alias("_end"))
+    within = lookup_join(chosen, kept(ends), ["project_id"], "inner", ["rel_path"])
+    within = within.filter(components(F.col("rel_path")) <= F.col("_end")).drop("_end")
+    read = read_files(within, secret_patterns, counter)
     # The native count gives at most seven characters a token.
     bound = 7 * max_tokens if counter is estimate_tokens else None
     contexts = assemble_context(read, escape=escape, max_chars=bound, prompts=chosen.select("project_id"))
@@ -70,8 +76,8 @@ def edit_files(responses: DataFrame, files: DataFrame, max_distance: float = MAX
     The change records and their places are kept in reliable storage, because
     several results read them; they hold no file contents.
     """
-    found = extract_changes(responses, keep=checkpointed)
-    located = checkpointed(locate_hunks(found.hunks, files, max_distance))
+    found = extract_changes(responses, keep=kept)
+    located = kept(locate_hunks(found.hunks, files, max_distance))
     reports = apply_reports(located, files)
     return EditResult(
         located=located,

@@ -1,8 +1,9 @@
-"""Session set-up and reliable checkpoints."""
+"""Session set-up and intermediate tables in reliable storage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def build_session(app_name: str = "folioflow", master: str | None = None, **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Merge the events of a session before they are shuffled to its key.
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -43,7 +46,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, read back from a table in the checkpoint folder.
+
+    For a result that several later steps read: it is computed once, survives
+    lost executors, and each step reads only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from folioflow.functions.text import sha1_content
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.selection import KEY
-from folioflow.session import checkpointed
+from folioflow.session import kept
 from folioflow.sources.tables import snapshot
 
 
@@ -87,7 +87,7 @@ def stream_extract(responses: DataFrame, path: str, checkpoint: str) -> Streamin
     """Extract changes from each micro-batch of responses into `path`/hunks and `path`/suggestions."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        found = extract_changes(batch, keep=checkpointed)
+        found = extract_changes(batch, keep=kept)
         for name, rows in [("hunks", found.hunks), ("suggestions", found.suggestions)]:
             rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic"
