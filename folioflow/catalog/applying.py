@@ -174,6 +174,13 @@ def backup(spark: SparkSession, folder: str) -> DataFrame:
     return A.backups(_edited(spark, folder), "20240101_000000")
 
 
+@query("backup_replaced_files", f"{_SUGGESTED} SELECT project_id, rel_path, 'backups/' || rel_path AS backup_path, content FROM suggestions WHERE kind NOT IN (3, 4)")
+def backup_replaced_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole-file replacements leave one backup per path."""
+    replaced = A.apply_proposed(fx.suggestions(spark, folder), fx.files(spark, folder)).filter("status <> 'failed'")
+    return A.backups(replaced, None)
+
+
 @query("write_snapshot", f"""WITH {q.FILES}
 SELECT project_id, rel_path, CAST(3 AS BIGINT) AS version, c AS content, sha1(c) AS sha1 FROM (
   SELECT *, CASE WHEN doc_id % 3 = 0 THEN content ELSE content || chr(10) END AS c FROM (

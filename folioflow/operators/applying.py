@@ -166,12 +166,15 @@ def lines_applied(located: DataFrame) -> DataFrame:
     )
 
 
-def backups(applied: DataFrame, stamp: str) -> DataFrame:
-    """Pre-images of changed files that existed, under their backup path."""
+def backups(applied: DataFrame, stamp: str | None) -> DataFrame:
+    """Pre-images of changed files that existed, under their backup path.
+
+    Without a stamp there is one backup per path, which a later one replaces.
+    """
+    path = F.col("rel_path")
+    target = F.concat(F.lit("backups/"), path) if stamp is None else backup_path(path, F.lit(stamp))
     existed = applied.filter(F.col("old_content").isNotNull())
-    return existed.select(
-        *KEY, backup_path(F.col("rel_path"), F.lit(stamp)).alias("backup_path"), F.col("old_content").alias("content")
-    )
+    return existed.select(*KEY, target.alias("backup_path"), F.col("old_content").alias("content"))
 
 
 def prune_backups(backup_rows: DataFrame, now_s: int, days: int) -> DataFrame:
