@@ -14,24 +14,31 @@ from folioflow.defaults import MAX_DISTANCE, RATIO_EPSILON
 from folioflow.functions.hunks import original_lines, pure_addition
 from folioflow.functions.text import is_blank, let, normalize_line, once, sha1_content, split_lines, strip
 from folioflow.operators.selection import KEY
-from folioflow.operators.skew import only_named, skew_join
+from folioflow.operators.skew import key_counts, only_named, skew_join
 
 HUNK_ID = ["response_id", "hunk_pos"]
 
 
-def hunks_with_file(hunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Each hunk with its target's content and checksum; both null when there is no such file."""
-    target = only_named(files.select(*KEY, "content"), hunks, KEY)
+def hunks_with_file(hunks: DataFrame, files: DataFrame, as_lines: bool = False) -> DataFrame:
+    """Each hunk with its target's content and checksum; both null when there is no such file.
+
+    With `as_lines`, a file is cut into `_lines` once, before its hunks meet it.
+    """
+    counts = key_counts(hunks, KEY)
+    target = only_named(files.select(*KEY, "content"), counts, KEY)
     target = target.withColumn("base_sha1", sha1_content(F.col("content")))
-    joined = skew_join(hunks, target, KEY, "left", HUNK_ID, redistribute=True)
+    if as_lines:
+        target = target.withColumn("_lines", once(split_lines(F.col("content")))).drop("content")
+    joined = skew_join(hunks, target, KEY, "left", HUNK_ID, redistribute=True, counts=counts)
     return joined.withColumn("file_exists", F.col("base_sha1").isNotNull())
 
 
 def with_needle(targets: DataFrame) -> DataFrame:
     """Adds the file's `_lines`, and `_needle`: the lines the hunk expects to find."""
     needle = original_lines(F.col("context_before"), F.col("hunk_lines"), F.col("context_after"))
+    lines = F.col("_lines") if "_lines" in targets.columns else split_lines(F.col("content"))
     return targets.withColumns({
-        "_lines": once(split_lines(F.coalesce("content", F.lit("")))), "_needle": once(needle),
+        "_lines": once(F.coalesce(lines, F.array().cast("array<string>"))), "_needle": once(needle),
     })
 
 
@@ -159,6 +166,6 @@ def locate_hunks(hunks: DataFrame, files: DataFrame, max_distance: float = MAX_D
 
     The file's content takes part in the search only and is not carried on.
     """
-    found = best_match(candidate_starts(with_needle(hunks_with_file(hunks, files))), max_distance)
+    found = best_match(candidate_starts(with_needle(hunks_with_file(hunks, files, as_lines=True))), max_distance)
     status = F.when(F.col("first_target_line").isNotNull(), "matched").otherwise("unmatched")
-    return found.withColumn("status", status).drop("_lines", "_needle", "_starts", "content")
+    return found.withColumn("status", status).drop("_lines", "_needle", "_starts")

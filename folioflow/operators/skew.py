@@ -17,17 +17,25 @@ MAX_HOT_KEYS = 512
 MAX_SALTS = 4096
 # Largest group that one window task is given.
 MAX_WINDOW_ROWS = 1_000_000
-# Largest lookup table that is broadcast, in rows.
+# Largest lookup table that is broadcast, in rows and in bytes of text.
 MAX_LOOKUP_ROWS = 50_000
+MAX_LOOKUP_BYTES = 64 * 1024 * 1024
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key, stored: for several decisions about a table that is costly to derive."""
+    return kept(df.groupBy(*keys).agg(F.count("*").alias("_rows")))
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT, counts: DataFrame | None = None
+) -> DataFrame:
     """The most frequent keys above the threshold, with the number of pieces to split each into."""
     pieces = F.least(F.ceil(F.col("_rows") / rows_per_salt), F.lit(MAX_SALTS)).cast("int")
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > rows_per_salt)
+        counts.filter(F.col("_rows") > rows_per_salt)
         .orderBy(F.desc("_rows"))
         .limit(MAX_HOT_KEYS)
         .select(*keys, pieces.alias("_pieces"))
@@ -42,6 +50,7 @@ def skew_join(
     spread_by: Sequence[str],
     rows_per_salt: int = ROWS_PER_SALT,
     redistribute: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join `many` (may have hot keys) with `one` (one row per key).
 
@@ -49,11 +58,11 @@ def skew_join(
     matching row of `one` is repeated once per salt. Other keys are untouched.
     With `redistribute`, the rows are partitioned by key first even if the join
     then broadcasts: for costly work per row afterwards. A shuffled join reuses
-    that partitioning.
+    that partitioning. `counts` are the `key_counts` of `many`, if there are any.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do a {how} join")
-    hot = F.broadcast(hot_keys(many, on, rows_per_salt))
+    hot = F.broadcast(hot_keys(many, on, rows_per_salt, counts))
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     spread = F.pmod(F.xxhash64(*spread_by), pieces.cast("long")).cast("int")
     left = many.join(hot, list(on), "left").withColumn("_salt", spread).drop("_pieces")
@@ -63,11 +72,19 @@ def skew_join(
     return left.join(right.drop("_pieces"), [*on, "_salt"], how).drop("_salt")
 
 
+def is_small(table: DataFrame) -> bool:
+    """Whether a table is measured to fit a broadcast; counting stops just above the limit."""
+    texts = [F.octet_length(F.col(c).cast("string")) for c in table.columns]
+    size = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0).cast("long"))
+    rows, measured = table.limit(MAX_LOOKUP_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= MAX_LOOKUP_ROWS and measured <= MAX_LOOKUP_BYTES
+
+
 def lookup_join(
     rows: DataFrame, table: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str]
 ) -> DataFrame:
-    """Join with a catalogue: broadcast if it is counted to be small, salted otherwise."""
-    if table.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS:
+    """Join with a catalogue: broadcast if it is measured to be small, salted otherwise."""
+    if is_small(table):
         return rows.join(F.broadcast(table), list(on), how)
     return skew_join(rows, table, on, how, spread_by)
 
@@ -79,7 +96,7 @@ def only_named(table: DataFrame, named: DataFrame, on: Sequence[str]) -> DataFra
     rows, and a second shuffle would save nothing.
     """
     keys = named.select(*on).distinct()
-    if keys.limit(MAX_LOOKUP_ROWS + 1).count() > MAX_LOOKUP_ROWS:
+    if not is_small(keys):
         return table
     return table.join(F.broadcast(keys), list(on), "left_semi")
 

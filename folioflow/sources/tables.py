@@ -54,12 +54,9 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return spark.read.schema(RESPONSES).format(fmt).load(path)
 
 
-def write_prompts(prompts: DataFrame, path: str, fmt: str = "parquet", prompt: str = "project_id") -> None:
-    """Write prompt documents sorted by prompt and part.
-
-    The range partitioning of the sort cuts a prompt of many parts over tasks.
-    """
-    prompts.orderBy(prompt, "part_no").write.mode("overwrite").format(fmt).save(path)
+def write_prompts(prompts: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write prompt documents, one row per part; `part_no` orders the parts of a prompt."""
+    prompts.write.mode("overwrite").format(fmt).save(path)
 
 
 def write_segments(segments: DataFrame, path: str, prompt: str = "project_id") -> None:

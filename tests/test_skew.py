@@ -66,6 +66,9 @@ def test_large_lookup_is_not_broadcast(spark, skewed, monkeypatch):
 
     one = spark.createDataFrame([("hot", 1), ("g1", 2)], "g string, w int")
     small = lookup_join(skewed, one, ["g"], "left", ["i"])
+    assert skew.is_small(one)
+    monkeypatch.setattr(skew, "MAX_LOOKUP_BYTES", 5)
+    assert not skew.is_small(one)
     monkeypatch.setattr(skew, "MAX_LOOKUP_ROWS", 1)
     large = lookup_join(skewed, one, ["g"], "left", ["i"])
     assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
