@@ -118,7 +118,7 @@ _EDITED = """edited AS (SELECT r.project_id, r.rel_path, f.content AS old_conten
 
 def _edited(spark: SparkSession, folder: str) -> DataFrame:
     located = _located(spark, folder)
-    reports = A.apply_reports(located, _now(spark, folder))
+    reports = kept(A.apply_reports(located, _now(spark, folder)))
     return A.apply_hunk_lines(located, reports, fx.files(spark, folder))
 
 

@@ -73,12 +73,12 @@ class EditResult:
 def edit_files(responses: DataFrame, files: DataFrame, max_distance: float = MAX_DISTANCE) -> EditResult:
     """Extract, locate, check and apply: new contents and one report per file.
 
-    The change records and their places are kept in reliable storage, because
-    several results read them; they hold no file contents.
+    The change records, their places and the reports are kept in reliable
+    storage, because several results read them; they hold no file contents.
     """
     found = extract_changes(responses, keep=kept)
     located = kept(locate_hunks(found.hunks, files, max_distance))
-    reports = apply_reports(located, files)
+    reports = kept(apply_reports(located, files))
     return EditResult(
         located=located,
         reports=reports,
