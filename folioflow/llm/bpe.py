@@ -12,7 +12,6 @@ time in proportion to its length (but for a heap inside a bucket).
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -22,89 +21,70 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folioflow.llm.rows import utf8
-
-REMEMBERED = 400_000
-WORD_BITS = 6
-
-
-class RankQueue:
-    """Positions by rank; `pop` gives the leftmost position of the lowest rank."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.top = 0
-        self.ranks = ranks
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> WORD_BITS
-            block = word >> WORD_BITS
-            self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-            self.middle[block] = self.middle.get(block, 0) | 1 << (word & 63)
-            self.top |= 1 << block
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[block]
-        word = block << WORD_BITS | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = word << WORD_BITS | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.middle[block] &= ~(1 << (word & 63))
-                if not self.middle[block]:
-                    self.top &= ~(1 << block)
-        return rank, position
+from folioflow.llm.rows import Remembered
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always the leftmost pair of the lowest rank is merged next."""
-    whole = ranks.get(piece)
+    """Ids of one pre-token: always the leftmost pair of the lowest rank is merged next.
+
+    `low`, `middle` and `top` are the levels of the bitmap (64 ranks, 64 words and
+    all blocks); `buckets` are heaps of positions.
+    """
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return [whole]
     size = len(piece)
     end = list(range(1, size + 1))  # of the symbol that starts here
     before = list(range(-1, size - 1))
-    pair = [-1] * size  # rank of this symbol with the next one, -1 if none
-    queue = RankQueue(len(ranks))
-    for i in range(size - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-    while (found := queue.pop()) is not None:
-        rank, left = found
+    pair: list[int | None] = [None] * size  # rank of this symbol with the next one
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    middle: dict[int, int] = {}
+    top = 0
+    fresh = [(rank_of(piece[i : i + 2]), i) for i in range(size - 1)]
+    while True:
+        for rank, left in fresh:
+            pair[left] = rank
+            if rank is None:
+                continue
+            if rank in buckets:
+                heappush(buckets[rank], left)
+            else:
+                buckets[rank] = [left]
+                word, block = rank >> 6, rank >> 12
+                low[word] = low.get(word, 0) | 1 << (rank & 63)
+                middle[block] = middle.get(block, 0) | 1 << (word & 63)
+                top |= 1 << block
+        if not top:
+            break
+        # Find-first-set, level by level.
+        block = (top & -top).bit_length() - 1
+        bits = middle[block]
+        word = block << 6 | (bits & -bits).bit_length() - 1
+        bits = low[word]
+        rank = word << 6 | (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        left = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            low[word] = bits = bits & bits - 1
+            if not bits:
+                middle[block] = bits = middle[block] & middle[block] - 1
+                if not bits:
+                    top &= top - 1
+        fresh = ()
         if pair[left] != rank:
             continue
         right = end[left]
         stop = end[left] = end[right]
-        pair[right] = -1
-        pair[left] = -1
+        pair[right] = pair[left] = None
+        previous = before[left]
         if stop < size:
             before[stop] = left
-            rank = ranks.get(piece[left : end[stop]])
-            if rank is not None:
-                pair[left] = rank
-                queue.push(rank, left)
-        previous = before[left]
+            fresh = ((rank_of(piece[left : end[stop]]), left),)
         if previous >= 0:
-            rank = ranks.get(piece[previous:stop])
-            pair[previous] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, previous)
+            fresh += ((rank_of(piece[previous:stop]), previous),)
     out, at = [], 0
     while at < size:
         out.append(ranks[piece[at : end[at]]])
@@ -112,7 +92,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Codec(dict):
+class Codec(Remembered):
     """Encodes and decodes with one vocabulary; remembers a bounded number of stretches of text."""
 
     def __init__(self, path: str, pattern: str):
@@ -123,9 +103,14 @@ class Codec(dict):
         self.pieces = regex.compile(pattern)
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = [i for piece in self.pieces.findall(stretch) for i in merge(piece.encode(), self.ranks)]
-        value = np.array(ids, "<u4").tobytes()
-        if len(stretch) <= 64:
+        value = self.old.get(stretch)
+        if value is None:
+            pieces = self.pieces.findall(stretch)
+            if len(pieces) == 1:
+                value = np.array(merge(stretch.encode(), self.ranks), "<u4").tobytes()
+            else:
+                value = b"".join(map(self.__getitem__, pieces))
+        if len(stretch) <= 40:
             self[stretch] = value
         return value
 
@@ -136,16 +121,14 @@ class Codec(dict):
         follows, so a text in which that holds for all spaces is cut at them, and
         equal stretches are looked up.
         """
-        if len(self) > REMEMBERED:
-            self.clear()
+        self.age()
         if not text:
             return b""
         if SPACED.search(text):
-            return self.__missing__(text)
+            return b"".join(map(self.__getitem__, self.pieces.findall(text)))
         first, *rest = text.split(" ")
-        if not first:
-            return b"".join(map(self.__getitem__, [" " + r for r in rest]))
-        return self[first] + b"".join(map(self.__getitem__, [" " + r for r in rest]))
+        rest = b"".join(map(self.__getitem__, [" " + r for r in rest]))
+        return self[first] + rest if first else rest
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -192,10 +175,3 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, data binary")
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
-__all__ = ["Codec", "RankQueue", "codec", "decode_documents", "encode_documents", "merge", "sha256", "utf8"]

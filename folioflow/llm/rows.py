@@ -15,6 +15,23 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
 REMEMBERED = 400_000
 
 
+class Remembered(dict):
+    """A dictionary of two generations: when the young one is full, it becomes the old one.
+
+    What is in use moves to the young one as it is asked for, so common keys stay
+    and the number of keys is bounded by twice `size`.
+    """
+
+    def __init__(self, size: int = 600_000):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def age(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordHashes(dict):
     """The 64-bit hash of byte strings; remembers a bounded number of them."""
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioflow.llm.rows import REMEMBERED, utf8
+from folioflow.llm.rows import Remembered, utf8
 from folioflow.session import ensure_checkpoint_dir, kept
 
 # Fixed values of the format: ids per word by selector, and bits per id.
@@ -191,11 +192,13 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and uri[6:7] != "/" else uri)
 
 
-class WordIds(dict):
-    """Ids of words by the tokenizers library; it is asked once per word, several words at a time.
+class WordIds(Remembered):
+    """Ids of words by the tokenizers library; it is asked once per word, many words at a time.
 
-    The vocabulary's text is cut at white space before anything is merged, so the
-    ids of a text are those of its words one after another.
+    The vocabulary's text is put into lower case, cut at white space, and cut again
+    where letters meet a full stop or comma, before anything is merged; so the ids
+    of a text are those of its words one after another, and of "word," those of
+    "word" and ",".
     """
 
     def __init__(self, path: str):
@@ -203,15 +206,23 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
 
+    def _learn(self, words: list[bytes]) -> None:
+        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.update(zip(words, (array("I", e.ids).tobytes() for e in found)))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        cut = [t.split() for t in texts]
-        new = list({w for words in cut for w in words if w not in self})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+        self.age()
+        cut = [t.lower().split() for t in texts]
+        new = {w for words in cut for w in words if w not in self}
+        if new:
+            old = self.old
+            self.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in old]
+            marked = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
+            ask = list({w[:-1] for w in marked if w[:-1] not in self} | {b".", b","} | set(new).difference(marked))
+            for at in range(0, len(ask), 4096):
+                self._learn(ask[at : at + 4096])
+            self.update((w, self[w[:-1]] + self[w[-1:]]) for w in marked)
         return [np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4") for words in cut]
 
 
