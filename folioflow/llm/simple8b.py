@@ -248,7 +248,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
         name, end = f"part-{part:07d}-{uuid.uuid4().hex}.ids", np.array([end_id], "<u4")
-        with store.open_output_stream(f"{root}/{name}") as sink:
+        with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
             file = IdFile(sink)
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
