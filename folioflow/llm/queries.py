@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, quality, simple8b, warc
+from folioflow.llm import bpe, phrases, quality, simple8b, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op8_repeated_phrases")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = phrases.remove_repeated_phrases(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
