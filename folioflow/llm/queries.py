@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, phrases, quality, repeats, simple8b, warc
+from folioflow.llm import bpe, jaccard, phrases, quality, repeats, simple8b, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_ngram_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 @query("op8_repeated_phrases")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = phrases.remove_repeated_phrases(_table(spark, sf_dir, "documents"))
