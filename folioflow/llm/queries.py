@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, jaccard, phrases, quality, repeats, simple8b, warc
+from folioflow.llm import bpe, decontaminate, jaccard, phrases, pii, quality, repeats, simple8b, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# The key of a deployment comes from its own secret store.
+PII_KEY = "a key of the demonstration"
+
+
 def query(name: str, sql: str | None = None):
     def add(function):
         QUERIES[name] = function
@@ -75,6 +79,41 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_decontamination", r"""
+WITH norm AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM benchmark),
+long_items AS (SELECT item_id, w, len(w) AS n FROM items WHERE len(w) >= 5),
+iq AS (SELECT item_id, n, w, unnest(range(n - 4)) AS q FROM long_items),
+ish AS (SELECT item_id, n, q, array_to_string(w[q + 1 : q + 5], ' ') AS s FROM iq),
+dp AS (SELECT doc_id, w, unnest(range(len(w) - 4)) AS p FROM norm WHERE len(w) >= 5),
+dsh AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM dp),
+pairs AS (
+  SELECT DISTINCT dsh.doc_id, ish.item_id, ish.n, dsh.p - ish.q AS start FROM dsh JOIN ish USING (s)),
+spans AS (
+  SELECT pairs.*, greatest(start, 0) AS first, least(start + pairs.n, len(norm.w)) AS stop
+  FROM pairs JOIN norm USING (doc_id)),
+ours AS (
+  SELECT spans.doc_id, spans.item_id, spans.start, dsh.s, count(*) AS n1
+  FROM spans JOIN dsh ON dsh.doc_id = spans.doc_id AND dsh.p BETWEEN spans.first AND spans.stop - 5
+  GROUP BY ALL),
+theirs AS (SELECT item_id, s, count(*) AS n2 FROM ish GROUP BY ALL),
+shared AS (
+  SELECT doc_id, item_id, start, CAST(sum(least(n1, n2)) AS BIGINT) AS b
+  FROM ours JOIN theirs USING (item_id, s) GROUP BY ALL),
+scored AS (
+  SELECT doc_id, item_id, start, b, (stop - first - 4) + (spans.n - 4) - b AS u
+  FROM shared JOIN spans USING (doc_id, item_id, start))
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(b AS DOUBLE) / u AS similarity
+FROM scored WHERE 100 * b >= 80 * u
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(b AS DOUBLE) / u DESC, start) = 1""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_warc_index")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.capture(_table(spark, sf_dir, "pages"))).select(
@@ -102,6 +141,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op9_pseudonyms")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "n_values", "text")
+
+
 @query("op10_maximal_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
