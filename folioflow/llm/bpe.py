@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folioflow.llm.rows import Remembered
 
@@ -143,35 +145,42 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, *passed: str) -> DataFrame:
     """(doc_id, ids): the token ids of every row's whole text as little-endian 32-bit numbers.
 
     A null text is empty and has no ids; doc_id is passed on as it is, null or
-    repeated; other columns are not read.
+    repeated, and so are the columns named in `passed`; others are not read.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
-                rows = batch.slice(part, 500)
-                ids = [own.encode(t or "") for t in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                piece = batch.slice(part, 500)
+                ids = [own.encode(t or "") for t in piece.column(1).to_pylist()]
+                columns = [piece.column(0), pa.array(ids, pa.binary()), *piece.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", *passed])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, _schema(rows.drop("_text"), "ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, data): the bytes that the ids stand for. Null ids give no bytes."""
+    """Adds `data`, the bytes that `ids` stand for. Null ids give no bytes; all columns are passed on."""
+    at, names = encoded.columns.index("ids"), encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
-                rows = batch.slice(part, 500)
-                data = [own.decode(np.frombuffer(i or b"", "<u4")) for i in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(data, pa.binary())], ["doc_id", "ids", "data"]
-                )
+                piece = batch.slice(part, 500)
+                data = [own.decode(np.frombuffer(i or b"", "<u4")) for i in piece.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(data, pa.binary())], [*names, "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, data binary")
+    return encoded.mapInArrow(run, encoded.withColumn("data", F.lit(b"")).schema)
+
+
+def _schema(rows: DataFrame, name: str) -> StructType:
+    """The schema of `rows` with a binary column after the first."""
+    first, *rest = rows.schema.fields
+    return StructType([first, StructField(name, BinaryType()), *rest])
