@@ -24,6 +24,7 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WIDTH = 8
 # Rows that the order of the rules is estimated on. The verdicts don't depend on it.
 SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -142,8 +143,9 @@ def _verdict(rule: Rule, text: Column) -> Column:
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by share rejected per second of work, measured on at most `sample_rows` rows."""
-    sample = stored(docs.select("text").limit(sample_rows))
+    """The rules by share rejected per second of work, measured on the first `sample_rows` rows."""
+    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).take(sample_rows)
+    sample = stored(docs.sparkSession.createDataFrame(rows, "text string"))
 
     def timed(what: Column) -> tuple[float, int]:
         began = time.perf_counter()
