@@ -4,15 +4,15 @@ Two sets are linked from a Jaccard similarity of `percent` / 100 on. A linked pa
 shares one of the few first shingles (n - ceil(n * percent / 100) + 1) of each of
 its sets in any order common to all sets; here rare shingles come first, by counts
 over all documents in a table of fixed size. Documents that share such a shingle
-are candidates; tasks connect those of a chunk first, so that a shingle that
-very many have sends one row per chunk to its key.
+and are near in size are candidates; those that share one with the same smallest
+document make a group, so a group is a shingle's documents and not a whole web.
 
-Within a connected group of candidates the links are found by T-occurrence search:
+Within a group of candidates the links are found by T-occurrence search:
 the sets' inverted lists are kept in order, a query needs T common shingles with
 any linked set, its longest L lists are put aside, the short ones are merged with
 a heap, and only ids that come T - L times are probed for in the long lists by
-binary search (DivideSkip). As components are wanted, a query stops looking in a
-component when it is linked to one of its sets. Sets that are equal are one.
+binary search (DivideSkip). As components are wanted, a query passes over sets
+that are connected with it already. Sets that are equal are one.
 
 Groups of more than `block_docs` sets are cut into blocks: blocks are searched on
 their own, then the blocks' components by one set each, and last every set that is
@@ -22,9 +22,9 @@ not in its group's largest component is a query to all blocks of its group.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import merge
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
-from folioflow.llm.rows import LocalFirsts, WordHashes, keyed, mixed, signed, utf8, window_hashes
+from folioflow.llm.rows import WordHashes, keyed, mixed, signed, utf8, window_hashes
 from folioflow.session import kept
 
-COUNTERS = 1 << 16
+COUNTERS = 1 << 18
 BLOCK_DOCS = 1000
 # Weight of a binary search against a step of the merge, for the number of long lists.
 PROBE_WEIGHT = 0.01
@@ -58,38 +58,31 @@ def overlap_needed(total: int, percent: int) -> int:
 
 
 class Inverted:
-    """Inverted lists of the sets of one component."""
+    """Inverted lists of sets, numbered in the order they come."""
 
     def __init__(self) -> None:
         self.lists: dict[int, list[int]] = {}
-        self.sizes: dict[int, int] = {}
+        self.sizes: list[int] = []
         self.least = 1 << 62
 
-    def add(self, number: int, items: list[int]) -> None:
+    def add(self, items: list[int]) -> None:
+        number = len(self.sizes)
         for item in items:
             own = self.lists.get(item)
             if own is None:
                 self.lists[item] = [number]
             else:
                 own.append(number)
-        self.sizes[number] = len(items)
+        self.sizes.append(len(items))
         self.least = min(self.least, len(items))
 
-    def absorb(self, other: Inverted) -> None:
-        for item, numbers in other.lists.items():
-            own = self.lists.get(item)
-            self.lists[item] = numbers if own is None else list(merge(own, numbers))
-        self.sizes.update(other.sizes)
-        self.least = min(self.least, other.least)
-
-    def search(self, items: list[int], percent: int) -> int | None:
-        """The first set that is linked to the query, None if none is."""
+    def search(self, items: list[int], percent: int, wanted: Callable[[int], bool]) -> Iterator[int]:
+        """Numbers of the linked sets, those that are `wanted` when they come up."""
         size = len(items)
-        smallest = max(self.least, -(-percent * size // 100))
-        need = overlap_needed(size + smallest, percent)
+        need = overlap_needed(size + max(self.least, -(-percent * size // 100)), percent)
         found = [own for item in items if (own := self.lists.get(item)) is not None]
         if len(found) < need:
-            return None
+            return
         found.sort(key=len)
         long = min(int(need / (PROBE_WEIGHT * log2(len(found[-1]) + 1) + 1)), need - 1)
         short, rest = found[: len(found) - long], found[len(found) - long :]
@@ -99,14 +92,12 @@ class Inverted:
             if number == last:
                 times += 1
                 continue
-            if times >= enough and self._linked(last, times, size, rest, percent):
-                return last
+            if times >= enough and wanted(last) and self._linked(last, times, size, rest, percent):
+                yield last
             last, times = number, 1
-        return None
 
     def _linked(self, number: int, times: int, size: int, rest: list[list[int]], percent: int) -> bool:
-        other = self.sizes[number]
-        need = overlap_needed(size + other, percent)
+        need = overlap_needed(size + self.sizes[number], percent)
         left = len(rest)
         for own in rest:
             if times >= need or times + left < need:
@@ -121,42 +112,37 @@ def search_links(sets: Iterable[tuple[bool, int, int, np.ndarray]], percent: int
     """Links that connect what is linked, from (query, id, label, set).
 
     Sets of one label are known to be connected. Every query is held against all
-    sets of other labels, those before it among them; sets that aren't queries
-    are only held against.
+    sets before it; sets that aren't queries come first and are only held against.
+    A query passes over sets that are connected with it already, and ends when all are.
     """
     links: list[tuple[int, int]] = []
-    parts: dict[int, Inverted] = {}
+    index = Inverted()
+    ids: list[int] = []
+    labels: list[int] = []
     home: dict[int, int] = {}
+    apart = 0  # components in the index
 
     def root(label: int) -> int:
-        while home.setdefault(label, label) != label:
+        while home[label] != label:
             home[label] = home[home[label]]
             label = home[label]
         return label
 
-    names: list[int] = []
-    # What isn't a query comes first, so that every query meets all of it.
     for query, doc_id, label, items in sorted(sets, key=lambda s: (s[0], s[1])):
-        listed, own = items.tolist(), root(label)
-        if query:
-            for other in list(parts):
-                if other == own:
-                    continue
-                number = parts[other].search(listed, percent)
-                if number is not None:
-                    links.append((doc_id, names[number]))
-                    home[other] = own
-                    mine, theirs = parts.get(own), parts.pop(other)
-                    if mine is not None and len(mine.sizes) > len(theirs.sizes):
-                        mine.absorb(theirs)
-                    else:
-                        if mine is not None:
-                            theirs.absorb(mine)
-                        parts[own] = theirs
-        names.append(doc_id)
-        if own not in parts:
-            parts[own] = Inverted()
-        parts[own].add(len(names) - 1, listed)
+        listed = items.tolist()
+        if label not in home:
+            home[label] = label
+            apart += 1
+        if query and apart > 1:
+            for number in index.search(listed, percent, lambda n: root(labels[n]) != root(label)):
+                links.append((doc_id, ids[number]))
+                home[root(labels[number])] = root(label)
+                apart -= 1
+                if apart == 1:
+                    break
+        index.add(listed)
+        ids.append(doc_id)
+        labels.append(label)
     return links
 
 
@@ -181,7 +167,7 @@ def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def shingle_counts(rows: DataFrame, width: int) -> np.ndarray:
-    """How many documents have a shingle, by its hash's low bits: 65,536 counters over all rows.
+    """How many documents have a shingle, by its hash's low bits: 262,144 counters over all rows.
 
     Tasks count, their tables are summed a few dozen at a time, and the driver gets those sums.
     """
@@ -193,40 +179,31 @@ def shingle_counts(rows: DataFrame, width: int) -> np.ndarray:
 def prefix(items: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of a set, rare ones first: linked sets share one of them."""
     length = len(items) - -(-percent * len(items) // 100) + 1
-    order = rarity[items & np.uint64(COUNTERS - 1)] << np.uint64(58) | mixed(items) >> np.uint64(6)
+    order = rarity[items & np.uint64(COUNTERS - 1)] << np.uint64(24) | mixed(items) >> np.uint64(40)
     return items[np.argpartition(order, length - 1)[:length]] if length < len(items) else items
 
 
 def _set_rows(width: int, percent: int, rarity: np.ndarray):
-    """Per document its size and set's digest; per prefix shingle a candidate row (kind 1), pre-aggregated (kind 2 is a link)."""
+    """Per document its size and set's digest (kind 0), and its prefix's shingles (kind 1: x), all with the size n."""
     names = ["kind", "doc_id", "x", "y", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, firsts = WordHashes(), LocalFirsts()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            (shingle, doc), within, first, _ = firsts.take(1)
-            one = within == 0
-            zero = np.zeros(int(one.sum()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (zero + 1, doc[one], signed(shingle[one]), zero, zero)], names)
-            link = ~one & (doc != first)
-            pairs = np.unique(np.stack([doc[link], first[link]]), axis=1)
-            zero = np.zeros(pairs.shape[1], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (zero + 2, pairs[0], pairs[1], zero, zero)], names)
-
+        words = WordHashes()
         for batch in batches:
-            own = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                items = shingles(words, text, width)
-                digests = [int(np.bitwise_xor.reduce(mixed(items + np.uint64(k)), initial=0).view(np.int64)) for k in (1, 2)]
-                own.append((0, doc_id, *digests, len(items)))
-                if len(items):
-                    first = prefix(items, rarity, percent)
-                    if firsts.add(first, np.full(len(first), doc_id)):
-                        yield from flush()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own)], names)
-        if firsts.rows:
-            yield from flush()
+            for part in range(0, batch.num_rows, 500):
+                rows = batch.slice(part, 500)
+                parts: list[list[np.ndarray]] = []
+                for doc_id, text in zip(rows.column(0).to_pylist(), utf8(rows.column(1))):
+                    items = shingles(words, text, width)
+                    digests = [np.bitwise_xor.reduce(mixed(items + np.uint64(k)), initial=0) for k in (1, 2)]
+                    first = prefix(items, rarity, percent) if len(items) else items
+                    kind = np.ones(len(first) + 1, np.int64)
+                    kind[0] = 0
+                    x = signed(np.append(np.uint64(digests[0]), first))
+                    y = np.zeros(len(kind), np.int64)
+                    y[0] = np.uint64(digests[1]).view(np.int64)
+                    parts.append([kind, kind * 0 + doc_id, x, y, kind * 0 + len(items)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
 
     return run
 
@@ -314,22 +291,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     """
     rows = keyed(docs, "doc_id", "text")
     counts = shingle_counts(rows, width)
-    rarity = np.floor(np.log2(counts + 1)).astype(np.uint64)
+    rarity = counts.astype(np.uint64)
     sets = kept(rows.mapInArrow(_set_rows(width, percent, rarity), "kind long, doc_id long, x long, y long, n long"))
     each = sets.filter("kind = 0").select("doc_id", "x", "y", "n")
     firsts = each.filter("n > 0").groupBy("x", "y", "n").agg(F.min("doc_id").alias("first"))
     # Documents with equal sets are linked to the smallest of them, which stands for all.
     equal = kept(each.join(firsts, ["x", "y", "n"]).select("doc_id", "first").distinct())
 
-    shared = sets.filter("kind = 1").select(F.col("x").alias("shingle"), "doc_id")
-    least = shared.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).filter("b < m")
-    candidates = shared.join(least, "shingle").select(F.col("doc_id").alias("a"), "b")
-    candidates = candidates.unionByName(sets.filter("kind = 2").select(F.col("doc_id").alias("a"), F.col("x").alias("b")))
-    # Among the sets that stand for others only.
-    stands = equal.select(F.col("doc_id").alias("a"), F.col("first").alias("fa"))
-    candidates = candidates.filter("a <> b").distinct().join(stands, "a").drop("a").withColumnRenamed("fa", "a")
-    candidates = candidates.join(stands.select(F.col("a").alias("b"), F.col("fa").alias("fb")), "b").select("a", F.col("fb").alias("b"))
-    groups = components(candidates).select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    shared = sets.filter("kind = 1").select(F.col("x").alias("shingle"), "doc_id", "n")
+    often = shared.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).filter("b < m")
+    # Linked sizes differ by less than one step of a scale: sets of a step and the next one meet.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) * 1.0001)).cast("long")
+    met = shared.join(often.select("shingle"), "shingle", "left_semi").join(equal.filter("doc_id = first").select("doc_id"), "doc_id", "left_semi")
+    met = kept(met.select("shingle", F.explode(F.array(step, step - 1)).alias("step"), "doc_id"))
+    heads = met.groupBy("shingle", "step").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("m")).filter("head < m")
+    # Whoever shares a shingle shares its smallest document: that one's sharers are a group.
+    groups = met.join(heads, ["shingle", "step"]).select(F.xxhash64("head", "step").alias("group"), "doc_id").distinct()
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block_docs).alias("blocks"))
     members = kept(groups.join(sizes, "group"))
 
