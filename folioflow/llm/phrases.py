@@ -59,21 +59,22 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, salt, doc_id, at, often, first): windows with a shared anchor, and the smallest document here that has it.
+    """(h1, h2, salt, doc_id, row, at, often, first): windows with a shared anchor, and the smallest document here that has it.
 
     A window that the document repeats is one row, at its first place, marked as often.
     """
     one, two, firsts = WordHashes(), WordHashes(1), LocalFirsts()
 
     def flush() -> pa.RecordBatch:
-        (h1, h2, doc, at, often), within, first, _ = firsts.take(2)
+        (h1, h2, doc, row, at, often), within, first, _ = firsts.take(2)
         return pa.RecordBatch.from_arrays(
-            [pa.array(signed(h1)), pa.array(signed(h2)), pa.array(within), pa.array(doc), pa.array(at), pa.array(often), pa.array(first)],
-            ["h1", "h2", "salt", "doc_id", "at", "often", "first"],
+            [pa.array(signed(h1)), pa.array(signed(h2)), pa.array(within), pa.array(doc), pa.array(row), pa.array(at), pa.array(often), pa.array(first)],
+            ["h1", "h2", "salt", "doc_id", "row", "at", "often", "first"],
         )
 
     for batch in batches:
-        for doc_id, text, shared in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+        columns = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for doc_id, text, shared, row in zip(*columns):
             cut = text.split()
             hashes = one.of(cut)
             at = np.flatnonzero(np.isin(_anchors(hashes), np.array(shared, np.int64).view(np.uint64)))
@@ -81,7 +82,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             h1, h2 = window_hashes(hashes, WIDTH)[at], window_hashes(two.of(cut), WIDTH, 2)[at]
             _, once, times = np.unique(h1 + FACTORS[1] * h2, return_index=True, return_counts=True)
-            if firsts.add(h1[once], h2[once], np.full(len(once), doc_id), at[once], times > 1):
+            if firsts.add(h1[once], h2[once], np.full(len(once), doc_id), np.full(len(once), row), at[once], times > 1):
                 yield flush()
     if firsts.rows:
         yield flush()
@@ -163,22 +164,23 @@ def remove_repeated_phrases(docs: DataFrame) -> DataFrame:
     one document in several rows, none of them earlier than the other. Texts of
     fewer than 13 words have no window. Columns other than doc_id and text are not read.
     """
-    rows = keyed(docs, "doc_id", "text")
+    # Rows that share a doc_id are told apart by their text.
+    rows = keyed(docs, "doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     same = Window.partitionBy("anchor", "salt")
     shared = (
-        rows.mapInArrow(_anchor_rows, "anchor long, salt long, doc_id long, known boolean")
+        rows.select("doc_id", "text").mapInArrow(_anchor_rows, "anchor long, salt long, doc_id long, known boolean")
         .select("anchor", "doc_id", (F.col("known") | (F.min("doc_id").over(same) < F.max("doc_id").over(same))).alias("known"))
         .filter("known").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     )
-    candidates = rows.join(shared, "doc_id").select("doc_id", "text", "shared")
+    candidates = rows.join(shared, "doc_id").select("doc_id", "text", "shared", "row")
     window = Window.partitionBy("h1", "h2", "salt")
     flagged = (
-        candidates.mapInArrow(_window_rows, "h1 long, h2 long, salt long, doc_id long, at long, often boolean, first long")
-        .select("doc_id", "at", "often", F.min("first").over(window).alias("first"))
+        candidates.mapInArrow(_window_rows, "h1 long, h2 long, salt long, doc_id long, row long, at long, often boolean, first long")
+        .select("doc_id", "row", "at", "often", F.min("first").over(window).alias("first"))
         .filter("first < doc_id")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("at", "first", "often")).alias("windows"))
+        .groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "first", "often")).alias("windows"))
     )
-    found = rows.join(flagged, "doc_id", "left").select("doc_id", "text", "windows").mapInArrow(_cleaned, RESULT)
+    found = rows.join(flagged, ["doc_id", "row"], "left").select("doc_id", "text", "windows").mapInArrow(_cleaned, RESULT)
     none = F.lit(None).cast("array<struct<at:bigint,first:bigint,often:boolean>>").alias("windows")
     unkeyed = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), "text", none)
     return found.unionByName(unkeyed.mapInArrow(_cleaned, RESULT))
