@@ -52,14 +52,21 @@ def json_segment(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _reprint_json(texts: pd.Series) -> pd.Series:
-    """JSON that only a lenient reader accepts (repeated keys), printed plainly; null if unreadable."""
+    """JSON that only a lenient reader accepts, printed plainly; null if unreadable.
+
+    The last of repeated keys wins, numbers that aren't finite become null, and
+    lone surrogates stay escapes, as Arrow can't carry them.
+    """
+
+    def nothing(_: str) -> None:
+        return None
 
     def reprint(text: str | None) -> str | None:
         if text is None:
             return None
         try:
-            return json.dumps(json.loads(text), ensure_ascii=False)
-        except ValueError:
+            return json.dumps(json.loads(text, parse_constant=nothing), allow_nan=False)
+        except (ValueError, RecursionError):
             return None
 
     return texts.map(reprint)
