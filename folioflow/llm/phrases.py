@@ -178,9 +178,11 @@ def remove_repeated_phrases(docs: DataFrame) -> DataFrame:
         candidates.mapInArrow(_window_rows, "h1 long, h2 long, salt long, doc_id long, row long, at long, often boolean, first long")
         .select("doc_id", "row", "at", "often", F.min("first").over(window).alias("first"))
         .filter("first < doc_id")
-        .groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "first", "often")).alias("windows"))
+        .groupBy("doc_id").agg(F.collect_set(F.struct("at", "first", "often", "row")).alias("windows"))
     )
-    found = rows.join(flagged, ["doc_id", "row"], "left").select("doc_id", "text", "windows").mapInArrow(_cleaned, RESULT)
+    # Joined on the same key as before, so that the texts' exchange is used again.
+    own = F.transform(F.filter("windows", lambda w: w["row"] == F.col("row")), lambda w: w.dropFields("row"))
+    found = rows.join(flagged, "doc_id", "left").select("doc_id", "text", own.alias("windows")).mapInArrow(_cleaned, RESULT)
     none = F.lit(None).cast("array<struct<at:bigint,first:bigint,often:boolean>>").alias("windows")
     unkeyed = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), "text", none)
     return found.unionByName(unkeyed.mapInArrow(_cleaned, RESULT))
