@@ -35,6 +35,8 @@ RUN_STARTS = 2000
 # Bytes of runs whose suffixes are sorted at once; different runs of an anchor that one task compares.
 SORT_BYTES = 1 << 20
 HOT_RUNS = 1000
+# Occurrences that leave a task at once.
+OUT_ROWS = 50_000
 
 RUN = "anchor long, h1 long, h2 long, id long, key long, at long, starts long, own boolean"
 REPEAT = "anchor long, h1 long, h2 long, offset long, length long, group long"
@@ -97,15 +99,15 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     are told apart up to 1,023 bytes, more than an ordinary run has.
     """
     size = len(data)
-    ranks, reach = [data.astype(np.int64)], 1
+    ranks, reach = [data.astype(np.int32)], 1
     while reach < 512:
         after = np.zeros(size, np.int64)
         after[: max(size - reach, 0)] = ranks[-1][reach:] + 1
-        pairs = ranks[-1] * (int(after.max(initial=0)) + 1) + after
+        pairs = ranks[-1].astype(np.int64) * (int(after.max(initial=0)) + 1) + after
         order = np.argsort(pairs, kind="stable")
-        new = np.concatenate([[0], np.cumsum(pairs[order][1:] != pairs[order][:-1])])
-        rank = np.empty(size, np.int64)
-        rank[order] = new
+        rank = np.zeros(size, np.int32)
+        pairs = pairs[order]
+        rank[order[1:]] = np.cumsum(pairs[1:] != pairs[:-1])
         ranks.append(rank)
         reach *= 2
     order = wanted[np.argsort(ranks[-1][wanted], kind="stable")]
@@ -121,8 +123,8 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return order, common
 
 
-def maximal_repeats(runs: list[tuple[bytes, int]], width: int = WIDTH) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, occurrences as (run, offset)) of the maximal repeats of at least `width` bytes.
+def repeat_arrays(runs: list[tuple[bytes, int]], width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, runs, offsets) of the maximal repeats of at least `width` bytes: one by one, as arrays of all occurrences.
 
     `runs` are texts with their number of starts. The byte before a run's first
     start is not known, so a repeat that begins there counts as maximal.
@@ -138,7 +140,6 @@ def maximal_repeats(runs: list[tuple[bytes, int]], width: int = WIDTH) -> list[t
     common[1:] = np.minimum(common[1:], np.minimum(rest[1:], rest[:-1]))
     offsets = order - begins[owners]
     before = np.where(offsets > 0, data[order - 1].astype(np.int64), -1 - np.arange(len(order)))
-    found = []
     # Stretches of suffixes that share `width` bytes; each is a sub-tree of the interval tree.
     deep = common >= width
     edges = np.flatnonzero(np.diff(np.concatenate([[False], deep, [False]]).astype(np.int8)))
@@ -151,33 +152,49 @@ def maximal_repeats(runs: list[tuple[bytes, int]], width: int = WIDTH) -> list[t
                 length, left = stack.pop()
                 letters = before[left : first + i]
                 if (letters != letters[0]).any():
-                    found.append((length, list(zip(owners[left : first + i].tolist(), offsets[left : first + i].tolist()))))
+                    yield length, owners[left : first + i], offsets[left : first + i]
             if value >= width and (not stack or stack[-1][0] < value):
                 stack.append((value, left))
-    return found
+
+
+def maximal_repeats(runs: list[tuple[bytes, int]], width: int = WIDTH) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(length, occurrences as (run, offset)) of the maximal repeats, all at once."""
+    return [(length, list(zip(own.tolist(), at.tolist()))) for length, own, at in repeat_arrays(runs, width)]
 
 
 def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal repeats of whole anchors (rows come sorted by anchor), several anchors at once."""
 
-    def finish(rows: list[tuple]) -> pa.RecordBatch | None:
-        out = []
-        for group, (length, places) in enumerate(maximal_repeats([(data, starts) for *_, starts, data in rows])):
-            out += [(*rows[run][:3], offset, length, group) for run, offset in places]
-        if out:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["anchor", "h1", "h2", "offset", "length", "group"])
+    names = ["anchor", "h1", "h2", "offset", "length", "group"]
+
+    def finish(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = [np.array(k, np.int64) for k in list(zip(*rows))[:3]]
+        parts: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            runs, *told = (np.concatenate(c) for c in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*(k[runs] for k in keys), *told)], names)
+
+        for group, (length, runs, offsets) in enumerate(repeat_arrays([(data, starts) for *_, starts, data in rows])):
+            parts.append((runs, offsets, np.full(len(runs), length), np.full(len(runs), group)))
+            size += len(runs)
+            if size >= OUT_ROWS:
+                yield batch()
+                parts, size = [], 0
+        if parts:
+            yield batch()
 
     rows, size = [], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if rows and size >= SORT_BYTES and row[0] != rows[-1][0]:
-                if (out := finish(rows)) is not None:
-                    yield out
+                yield from finish(rows)
                 rows, size = [], 0
             rows.append(row)
             size += len(row[-1])
-    if rows and (out := finish(rows)) is not None:
-        yield out
+    if rows:
+        yield from finish(rows)
 
 
 def _texts_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
