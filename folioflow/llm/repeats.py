@@ -17,7 +17,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,39 +162,58 @@ def maximal_repeats(runs: list[tuple[bytes, int]], width: int = WIDTH) -> list[t
     return [(length, list(zip(own.tolist(), at.tolist()))) for length, own, at in repeat_arrays(runs, width)]
 
 
-def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Maximal repeats of whole anchors (rows come sorted by anchor), several anchors at once."""
-
+def _occurrences(rows: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(run, offset, length, group) of all occurrences, some thousand at a time."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for group, (length, runs, offsets) in enumerate(repeat_arrays([(data, starts) for *_, starts, data in rows])):
+        parts.append((runs, offsets, np.full(len(runs), length), np.full(len(runs), group)))
+        size += len(runs)
+        if size >= OUT_ROWS:
+            yield tuple(np.concatenate(c) for c in zip(*parts))
+            parts, size = [], 0
+    if parts:
+        yield tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _covered(rows: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The stretches of every run that occurrences cover, as (run, offset, length, group 0): each byte once, however nested."""
+    # A place more than its bytes keeps the stretches of neighbours apart.
+    begins = np.cumsum([0, *(len(row[-1]) + 1 for row in rows)])
+    edges = np.zeros(begins[-1] + 1, np.int64)
+    for runs, offsets, lengths, _ in _occurrences(rows):
+        np.add.at(edges, begins[runs] + offsets, 1)
+        np.add.at(edges, begins[runs] + offsets + lengths, -1)
+    inside = np.cumsum(edges) > 0
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    starts, ends = turns[::2], turns[1::2]
+    if len(starts):
+        runs = np.searchsorted(begins, starts, "right") - 1
+        yield runs, starts - begins[runs], ends - starts, np.zeros(len(runs), np.int64)
+
+
+def _repeat_rows(told: Callable[[list[tuple]], Iterator[tuple[np.ndarray, ...]]]):
+    """What is `told` of whole anchors (rows come sorted by anchor), several anchors at once."""
     names = ["anchor", "h1", "h2", "offset", "length", "group"]
 
     def finish(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys = [np.array(k, np.int64) for k in list(zip(*rows))[:3]]
-        parts: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def batch() -> pa.RecordBatch:
-            runs, *told = (np.concatenate(c) for c in zip(*parts))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*(k[runs] for k in keys), *told)], names)
-
-        for group, (length, runs, offsets) in enumerate(repeat_arrays([(data, starts) for *_, starts, data in rows])):
-            parts.append((runs, offsets, np.full(len(runs), length), np.full(len(runs), group)))
-            size += len(runs)
-            if size >= OUT_ROWS:
-                yield batch()
-                parts, size = [], 0
-        if parts:
-            yield batch()
-
-    rows, size = [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and size >= SORT_BYTES and row[0] != rows[-1][0]:
-                yield from finish(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[-1])
-    if rows:
-        yield from finish(rows)
+        for runs, *columns in told(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*(k[runs] for k in keys), *columns)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and size >= SORT_BYTES and row[0] != rows[-1][0]:
+                    yield from finish(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[-1])
+        if rows:
+            yield from finish(rows)
+
+    return run
 
 
 def _texts_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +276,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(doc_id, "text").alias("key"), "text")
 
 
-def find_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS, covered: bool = False) -> tuple[DataFrame, DataFrame]:
     """The repeated runs of all rows, stored (columns of RUN), and the repeats found in them.
 
     The second table has (anchor, h1, h2, offset, length, group): in a run with
     these hashes, `length` bytes from `offset` on also occur elsewhere; rows of one
     (anchor, group) are the occurrences of one maximal repeat. Group -1: the run
-    occurs twice as a whole; group -2: strings of a hot anchor.
+    occurs twice as a whole; group -2: strings of a hot anchor. With `covered` the
+    occurrences of all groups of a run are merged to the stretches that they cover.
     """
     rows = _rows(docs)
     runs = kept(rows.select("id", "key", "text").mapInArrow(_run_rows, RUN))
@@ -284,7 +304,7 @@ def find_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame,
         )
 
     cold = texts(wanted.filter(F.col("n_runs") <= hot_runs)).repartition("anchor").sortWithinPartitions("anchor", "h1", "h2")
-    found = whole.unionByName(cold.mapInArrow(_repeat_rows, REPEAT))
+    found = whole.unionByName(cold.mapInArrow(_repeat_rows(_covered if covered else _occurrences), REPEAT))
     if not wanted.filter(F.col("n_runs") > hot_runs).isEmpty():
         same = Window.partitionBy("w1", "w2", "salt")
         strings = texts(wanted.filter(F.col("n_runs") > hot_runs)).mapInArrow(
@@ -303,7 +323,7 @@ def remove_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     with a null or repeated doc_id are texts like others: of two equal rows of 400
     bytes or more nothing stays. Columns other than doc_id and text are not read.
     """
-    runs, found = find_repeats(docs, hot_runs)
+    runs, found = find_repeats(docs, hot_runs, covered=True)
     ranges = found.groupBy("anchor", "h1", "h2").agg(F.collect_set(F.struct("offset", "length")).alias("ranges"))
     # Nested and overlapping repeats of a run become its few covered ranges.
     placed = runs.join(ranges, ["anchor", "h1", "h2"]).select("id", "key", "at", F.explode("ranges").alias("r"))
