@@ -6,6 +6,10 @@ its sets in any order common to all sets; here rare shingles come first, by coun
 over all documents in a table of fixed size. Documents that share such a shingle
 and are near in size are candidates; those that share one with the same smallest
 document make a group, so a group is a shingle's documents and not a whole web.
+A member stays in its group only if another one may be linked with it by their
+bitmaps: parities of shingles by hash, two to four bits a shingle, which differ in
+at most as many places as the sets differ in shingles. That loses no link, and
+texts travel only to groups where something may be found.
 
 Within a group of candidates the links are found by T-occurrence search:
 the sets' inverted lists are kept in order, a query needs T common shingles with
@@ -183,9 +187,40 @@ def prefix(items: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
     return items[np.argpartition(order, length - 1)[:length]] if length < len(items) else items
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """The parity of the set's shingles by their hash's low bits: a power of two of bits, twice the set's size at least."""
+    bits = max(128, 1 << (2 * len(items) - 1).bit_length()) if len(items) else 128
+    counts = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
+    """Which sets another one here may be linked with: all that are linked, and rarely one that isn't.
+
+    Larger bitmaps are folded to the size of the smallest; sets differ in at least as many shingles as bits.
+    """
+    words = min(map(len, bitmaps)) // 8
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in bitmaps])
+    near = np.zeros(len(sizes), bool)
+    for i in range(len(sizes) - 1):
+        others = np.arange(i + 1, len(sizes))
+        if near[i]:
+            others = others[~near[i + 1 :]]
+        if len(others):
+            totals = sizes[others] + sizes[i]
+            apart = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1, dtype=np.int64)
+            found = others[apart <= totals - 2 * -(-percent * totals // (100 + percent))]
+            near[found] = True
+            near[i] |= len(found) > 0
+    return near
+
+
+SETS = "kind long, doc_id long, x long, y long, n long, bitmap binary"
+
+
 def _set_rows(width: int, percent: int, rarity: np.ndarray):
-    """Per document its size and set's digest (kind 0), and its prefix's shingles (kind 1: x), all with the size n."""
-    names = ["kind", "doc_id", "x", "y", "n"]
+    """Per document its size, set's digest and bitmap (kind 0), and its prefix's shingles (kind 1: x), all with the size n."""
+    names = ["kind", "doc_id", "x", "y", "n", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -193,6 +228,7 @@ def _set_rows(width: int, percent: int, rarity: np.ndarray):
             for part in range(0, batch.num_rows, 500):
                 rows = batch.slice(part, 500)
                 parts: list[list[np.ndarray]] = []
+                bitmaps: list[bytes | None] = []
                 for doc_id, text in zip(rows.column(0).to_pylist(), utf8(rows.column(1))):
                     items = shingles(words, text, width)
                     digests = [np.bitwise_xor.reduce(mixed(items + np.uint64(k)), initial=0) for k in (1, 2)]
@@ -203,7 +239,40 @@ def _set_rows(width: int, percent: int, rarity: np.ndarray):
                     y = np.zeros(len(kind), np.int64)
                     y[0] = np.uint64(digests[1]).view(np.int64)
                     parts.append([kind, kind * 0 + doc_id, x, y, kind * 0 + len(items)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
+                    bitmaps += [bitmap(items), *[None] * len(first)]
+                columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bitmaps, pa.binary())], names)
+
+    return run
+
+
+def _near_rows(percent: int):
+    """(group, doc_id) of the members that may be linked within their group; rows (group, doc_id, n, bitmap) come sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, rows = None, []
+
+        def finish(found: list[tuple[int, int]]) -> None:
+            if len(rows) > 1:
+                ids, sizes, bitmaps = zip(*rows)
+                near = may_link(np.array(sizes, np.int64), list(bitmaps), percent)
+                found.extend((place, i) for i in sorted({i for i, n in zip(ids, near.tolist()) if n}))
+
+        def told(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["group", "doc_id"])
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for group, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != place:
+                    finish(found)
+                    place, rows = group, []
+                rows.append(row)
+            yield from told(found)
+        found = []
+        finish(found)
+        yield from told(found)
 
     return run
 
@@ -292,7 +361,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     rows = keyed(docs, "doc_id", "text")
     counts = shingle_counts(rows, width)
     rarity = counts.astype(np.uint64)
-    sets = kept(rows.mapInArrow(_set_rows(width, percent, rarity), "kind long, doc_id long, x long, y long, n long"))
+    sets = kept(rows.mapInArrow(_set_rows(width, percent, rarity), SETS))
     each = sets.filter("kind = 0").select("doc_id", "x", "y", "n")
     firsts = each.filter("n > 0").groupBy("x", "y", "n").agg(F.min("doc_id").alias("first"))
     # Documents with equal sets are linked to the smallest of them, which stands for all.
@@ -310,13 +379,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block_docs).alias("blocks"))
     members = kept(groups.join(sizes, "group"))
 
-    links = _links(_members(members.filter("blocks = 1"), F.lit(0)), rows, width, percent)
+    bitmaps = sets.filter("kind = 0 and n > 0").select("doc_id", "n", "bitmap")
+    small = members.filter("blocks = 1").join(bitmaps, "doc_id").select("group", "doc_id", "n", "bitmap")
+    near = small.repartition("group").sortWithinPartitions("group").mapInArrow(_near_rows(percent), "group long, doc_id long")
+    links = _links(_members(near, F.lit(0)), rows, width, percent)
     if not members.filter("blocks > 1").isEmpty():
         links = links.unionByName(_large_groups(members.filter("blocks > 1"), rows, width, percent, block_docs))
     found = components(links).select(F.col("id").alias("first"), "component")
     placed = equal.join(found, "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("component"))
     told = each.join(placed, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     unkeyed = docs.filter(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text")
-    sizes = unkeyed.mapInArrow(_set_rows(width, percent, rarity), "kind long, doc_id long, x long, y long, n long").filter("kind = 0")
+    sizes = unkeyed.mapInArrow(_set_rows(width, percent, rarity), SETS).filter("kind = 0")
     none = F.lit(None).cast("long")
     return told.unionByName(sizes.select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id")))

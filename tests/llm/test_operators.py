@@ -266,3 +266,18 @@ def test_pipeline(spark, tmp_path, odd_rows):
 def test_crc_matches(spark):
     data = np.arange(5, dtype="<u4").tobytes()
     assert spark.createDataFrame([(bytearray(data),)], "ids binary").selectExpr("crc32(ids)").first()[0] == zlib.crc32(data)
+
+
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 600), dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.append(base[rng.random(len(base)) > 0.07], base[:1])), np.unique(base[: len(base) // 2 + 1])]
+    near = jaccard.may_link(np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets], 85)
+    for i, one in enumerate(sets):
+        shared = [len(np.intersect1d(one, other)) for other in sets]
+        linked = any(100 * n >= 85 * (len(one) + len(o) - n) for j, (n, o) in enumerate(zip(shared, sets)) if j != i)
+        assert near[i] or not linked
+    alone = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(30)]
+    assert not jaccard.may_link(np.full(30, 300), [jaccard.bitmap(s) for s in alone], 85).any()
