@@ -368,7 +368,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     equal = kept(each.join(firsts, ["x", "y", "n"]).select("doc_id", "first").distinct())
 
     shared = sets.filter("kind = 1").select(F.col("x").alias("shingle"), "doc_id", "n")
-    often = shared.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).filter("b < m")
+    often = shared.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
     # Linked sizes differ by less than one step of a scale: sets of a step and the next one meet.
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) * 1.0001)).cast("long")
     met = shared.join(often.select("shingle"), "shingle", "left_semi").join(equal.filter("doc_id = first").select("doc_id"), "doc_id", "left_semi")
