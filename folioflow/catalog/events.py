@@ -107,7 +107,7 @@ def incremental_scan_query(spark: SparkSession, folder: str) -> DataFrame:
     seen = fx.files(spark, folder).select("project_id", "rel_path", "content", F.timestamp_seconds("mtime_s").alias("seen_at"))
     stream = _as_stream(seen.union(seen), place, 2)
     incremental_scan(stream, f"{place}/out", f"{place}/state").awaitTermination()
-    return read_latest(spark, f"{place}/out").select("project_id", "rel_path", "content", "sha1")
+    return read_latest(spark, f"{place}/out", "seen_at").select("project_id", "rel_path", "content", "sha1")
 
 
 @query("stream_extract", f"""WITH {q.HUNKS}

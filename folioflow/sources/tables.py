@@ -64,12 +64,12 @@ def write_segments(segments: DataFrame, path: str, prompt: str = "project_id") -
     segments.orderBy(prompt, "seq", "parts").write.mode("overwrite").parquet(path)
 
 
-def snapshot(new_files: DataFrame, version: int | Column) -> DataFrame:
-    """File rows of one version, with checksum; a final newline is ensured."""
+def snapshot(new_files: DataFrame, version: int | Column, *more: str) -> DataFrame:
+    """File rows of one version, with checksum and the columns named; a final newline is ensured."""
     text = F.col("content")
     ended = F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
     version = F.lit(version) if isinstance(version, int) else version
-    return new_files.select(*KEY, ended.alias("content")).withColumns(
+    return new_files.select(*KEY, *more, ended.alias("content")).withColumns(
         {"version": version.cast("long"), "sha1": sha1_content(F.col("content"))}
     )
 
@@ -85,5 +85,15 @@ def write_snapshot(new_files: DataFrame, path: str, version: int) -> None:
     )
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return latest_version(spark.read.parquet(path))
+def read_latest(spark: SparkSession, path: str, ts: str | None = None, before: int | None = None) -> DataFrame:
+    """The newest row per file: by version, or by the time in `ts` and then by version, one row per file and version.
+
+    With `before`, only lower versions count.
+    """
+    rows = spark.read.parquet(path)
+    if before is not None:
+        rows = rows.filter(F.col("version") < before)
+    if ts is None:
+        return latest_version(rows)
+    newest = rows.groupBy(*KEY).agg(F.max(F.struct(ts, "version")).alias("_newest"))
+    return rows.join(newest.select(*KEY, "_newest.version"), [*KEY, "version"])

@@ -13,7 +13,7 @@ from folioflow.functions.text import sha1_content
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.selection import KEY
 from folioflow.session import kept
-from folioflow.sources.tables import snapshot
+from folioflow.sources.tables import read_latest, snapshot
 
 
 def debounce_stream(events: DataFrame, key: str, ts: str, payload: str, gap: str, lateness: str | None = None) -> DataFrame:
@@ -63,24 +63,27 @@ def scan_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, KEY, "full").select(*KEY, change.alias("change")).filter(F.col("change").isNotNull())
 
 
-def incremental_scan(versions: DataFrame, path: str, checkpoint: str, ts: str = "seen_at", lateness: str = "1 hour") -> StreamingQuery:
-    """Append file versions to a snapshot table, each (path, checksum) once within the lateness.
+def incremental_scan(versions: DataFrame, path: str, checkpoint: str, ts: str = "seen_at") -> StreamingQuery:
+    """Append file versions to a snapshot table; `read_latest(spark, path, ts)` reads the newest of each file.
 
-    A micro-batch writes the version of its own number, so a replay replaces it.
+    The newest is the one of the latest time, however late it came; of one time, the
+    one that came last. Only a row with the time and checksum of the newest so far
+    is left out, so contents that come back, or come late, count. A micro-batch
+    writes the version of its own number and looks at lower ones, so a replay replaces it.
     """
-    fresh = (
-        versions.withColumn("sha1", sha1_content(F.col("content")))
-        .withWatermark(ts, lateness)
-        .dropDuplicatesWithinWatermark([*KEY, "sha1"])
-    )
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy(*KEY).agg(F.max_by("content", ts).alias("content"))
-        snapshot(newest, batch_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        newest = batch.groupBy(*KEY).agg(F.max(ts).alias(ts), F.max_by("content", ts).alias("content"))
+        fresh = snapshot(newest, batch_id, ts)
+        if batch_id:
+            earlier = read_latest(batch.sparkSession, path, ts, batch_id).select(*KEY, "sha1", ts)
+            fresh = fresh.join(earlier, [*KEY, "sha1", ts], "left_anti").select(fresh.columns)
+            # The table is read and written: dynamic overwrite replaces this version's folder only.
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "version"
         ).parquet(path)
 
-    return fresh.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return versions.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_extract(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

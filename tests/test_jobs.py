@@ -252,15 +252,23 @@ def test_incremental_scan(spark, tmp_path):
     schema = "project_id string, rel_path string, content string, seen_at timestamp"
     at = dt.datetime(2024, 1, 1)
 
-    def scan(*rows):
-        spark.createDataFrame([(*r, at) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
+    def scan(*rows, hour=0):
+        spark.createDataFrame([(*r, at + dt.timedelta(hours=hour)) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         assert incremental_scan(stream, target, str(tmp_path / "cp")).awaitTermination(120)
 
     scan(("p", "a", "1"), ("p", "b", "x"))
     scan(("p", "a", "2"), ("p", "b", "x"))
-    assert {r.rel_path: r.content for r in tables.read_latest(spark, target).collect()} == {"a": "2\n", "b": "x\n"}
+
+    def latest():
+        return {r.rel_path: r.content for r in tables.read_latest(spark, target, "seen_at").collect()}
+
+    assert latest() == {"a": "2\n", "b": "x\n"}
     assert spark.read.parquet(target).filter("rel_path = 'b'").count() == 1
+    scan(("p", "a", "1"), hour=2)
+    assert latest()["a"] == "1\n"
+    scan(("p", "a", "late"), hour=1)
+    assert latest()["a"] == "1\n"
 
 
 def test_stream_extract_equals_batch(spark, folder, tmp_path):
