@@ -95,12 +95,12 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     """The wanted positions in the order of the text from there on, and each one's common prefix with the one before.
 
     Prefix doubling: ranks of 1, 2, 4, ... bytes are made from those of half as
-    many; common prefixes are found by going back through the same ranks. Prefixes
-    are told apart up to 1,023 bytes, more than an ordinary run has.
+    many, until all differ; common prefixes are found by going back through the
+    same ranks. The last number of `data` comes nowhere else in it.
     """
     size = len(data)
-    ranks, reach = [data.astype(np.int32)], 1
-    while reach < 512:
+    ranks, reach, different = [data.astype(np.int32)], 1, 0
+    while different < size:
         after = np.zeros(size, np.int64)
         after[: max(size - reach, 0)] = ranks[-1][reach:] + 1
         pairs = ranks[-1].astype(np.int64) * (int(after.max(initial=0)) + 1) + after
@@ -108,15 +108,15 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
         rank = np.zeros(size, np.int32)
         pairs = pairs[order]
         rank[order[1:]] = np.cumsum(pairs[1:] != pairs[:-1])
+        different = int(rank[order[-1]]) + 1
         ranks.append(rank)
         reach *= 2
     order = wanted[np.argsort(ranks[-1][wanted], kind="stable")]
     common = np.zeros(len(order), np.int64)
     left, right = order[:-1].copy(), order[1:].copy()
-    for level in range(len(ranks) - 1, -1, -1):
-        inside = (left + (1 << level) <= size) & (right + (1 << level) <= size)
-        same = np.zeros(len(left), bool)
-        same[inside] = ranks[level][left[inside]] == ranks[level][right[inside]]
+    # Equal ranks end before the last number, so neither place leaves the text.
+    for level in range(len(ranks) - 2, -1, -1):
+        same = ranks[level][left] == ranks[level][right]
         left[same] += 1 << level
         right[same] += 1 << level
     common[1:] = right - order[1:]
@@ -129,15 +129,14 @@ def repeat_arrays(runs: list[tuple[bytes, int]], width: int = WIDTH) -> Iterator
     `runs` are texts with their number of starts. The byte before a run's first
     start is not known, so a repeat that begins there counts as maximal.
     """
-    texts = [np.frombuffer(text, np.uint8) for text, _ in runs]
+    # A number of its own ends each text, so that no prefix goes on in the next text.
+    texts = [np.append(np.frombuffer(text, np.uint8).astype(np.int32), 256 + i) for i, (text, _) in enumerate(runs)]
     data = np.concatenate(texts)
     begins = np.cumsum([0] + [len(t) for t in texts])
     wanted = np.concatenate([b + np.arange(starts) for b, (_, starts) in zip(begins, runs)])
     owner = np.repeat(np.arange(len(runs)), [len(t) for t in texts])
     order, common = suffix_order(data, wanted)
     owners = owner[order]
-    rest = begins[owners + 1] - order
-    common[1:] = np.minimum(common[1:], np.minimum(rest[1:], rest[:-1]))
     offsets = order - begins[owners]
     before = np.where(offsets > 0, data[order - 1].astype(np.int64), -1 - np.arange(len(order)))
     # Stretches of suffixes that share `width` bytes; each is a sub-tree of the interval tree.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -148,6 +149,53 @@ def test_maximal_repeats_have_all_occurrences():
     assert found[3] == [(0, 2), (0, 5), (0, 8), (0, 13), (0, 16)]
 
 
+def covered_bytes(runs, width):
+    """The bytes of each run that maximal repeats cover, and those that brute force finds."""
+    counts = collections.Counter(text[i : i + width] for text, starts in runs for i in range(starts))
+    want = [{j for i in range(starts) if counts[text[i : i + width]] > 1 for j in range(i, i + width)} for text, starts in runs]
+    got = [set() for _ in runs]
+    for length, places in repeats.maximal_repeats(runs, width):
+        assert len({runs[run][0][at : at + length] for run, at in places}) == 1
+        for run, at in places:
+            got[run] |= set(range(at, at + length))
+    return got, want
+
+
+def test_maximal_repeats_are_whole():
+    rnd = random.Random(4)
+    fresh = lambda size: bytes(rnd.randrange(97, 123) for _ in range(size))
+    shared = fresh(2000)
+    long = [b"x" + shared[:700] + b"1", b"y" + shared[:560] + b"2" + fresh(139), b"z" + shared[:700] + b"3"]
+    line = b"the line that comes again, always the same.\n"
+    lines = b"".join(line + fresh(20) for _ in range(40))[:2000]
+    cases = [[long[i] for i in order] for order in itertools.permutations(range(3))]
+    cases += [[b"x" + shared, b"y" + shared], [b"x" + lines, b"y" + lines, lines[:1500]], [b"a" * 500, b"a" * 900, b"a" * 700]]
+    # The first text's end and the second one's start together are what the last two share.
+    cases.append([b"x" + shared[:500], shared[500:1300], b"y" + shared[:900], b"z" + shared[:900]])
+    for texts in cases:
+        got, want = covered_bytes([(t, len(t) - 399) for t in texts], 400)
+        assert got == want
+    for _ in range(300):
+        pieces = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(1, 30))) for _ in range(3)]
+        texts = [b"".join(rnd.choices(pieces, k=rnd.randrange(1, 6))) + b"ccc" for _ in range(rnd.randrange(1, 6))]
+        got, want = covered_bytes([(t, len(t) - 3) for t in texts], 4)
+        assert got == want
+
+
+def test_long_repeats(spark):
+    rnd = random.Random(6)
+    fresh = lambda size: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size))
+    rows = []
+    for _ in range(30):
+        shared = fresh(700)
+        rows += [(len(rows) + i, f"{i}{shared[:size]}{fresh(200)}") for i, size in enumerate((700, 560, 700))]
+    lines = "".join("the line that comes again, always the same.\n" + fresh(20) for _ in range(40))[:2000]
+    rows += [(900, "x" + lines + fresh(300)), (901, "y" + lines + fresh(400))]
+    counts = collections.Counter(t[i : i + 400] for _, t in rows for i in range(len(t) - 399))
+    want = {n: len({j for i in range(len(t) - 399) if counts[t[i : i + 400]] > 1 for j in range(i, i + 400)}) for n, t in rows}
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs(spark, rows)).collect()} == want
+
+
 def components(rows, width, percent):
     sets, home = collections.defaultdict(list), {}
 
