@@ -219,7 +219,7 @@ def _size(element: dict) -> int:
 
 
 def rules(wrapper: dict) -> dict:
-    """{"take": paths of the main text, "drop": paths of constant text}, as lists of labels."""
+    """{"take": paths of the main text, "drop": [path, text] of constant texts}, paths as lists of labels."""
 
     def found(element: dict, path: list[str], test) -> list[tuple[int, list[str]]]:
         if element["a"]:
@@ -244,8 +244,8 @@ def rules(wrapper: dict) -> dict:
             path = [*path, element["l"]]
         best = (total, path)
 
-    def constant(element: dict, path: list[str]) -> list[list[str]]:
-        own = [path] if element["t"] and element["n"] > 2 and not element["m"] else []
+    def constant(element: dict, path: list[str]) -> list[tuple[list[str], str]]:
+        own = [(path, element["t"])] if element["t"] and element["n"] > 2 and not element["m"] else []
         return own + [x for kid in element["k"] for x in constant(kid, [*path, kid["l"]])]
 
     return {"take": [best[1]], "drop": constant(wrapper, [])}
@@ -254,9 +254,12 @@ def rules(wrapper: dict) -> dict:
 def main_text(events: list[tuple[str, object]], rule: dict) -> str | None:
     """The blocks of a page's main text by a host's rules; None if the page has no such place."""
     take = {tuple(p) for p in rule["take"]}
-    drop = {tuple(p) for p in rule["drop"]}
+    drop = {(tuple(p), text) for p, text in rule["drop"]}
+    places = {p for p, _ in drop}
     blocks: list[str] = []
     path: list[str] = []
+    # Of each open element: its own text, and where that is in the blocks.
+    owns: list[tuple[list[str], list[int]]] = [([], [])]
     inside = int(() in take)
     away = 0
     waiting: list[str] = []
@@ -264,9 +267,12 @@ def main_text(events: list[tuple[str, object]], rule: dict) -> str | None:
     met = bool(inside)
 
     def flush() -> None:
+        own, at = owns[-1]
+        own += waiting
         if inside and not away:
             text = " ".join("".join(waiting).split())
             if text:
+                at.append(len(blocks))
                 blocks.append(text)
         waiting.clear()
 
@@ -279,15 +285,21 @@ def main_text(events: list[tuple[str, object]], rule: dict) -> str | None:
             label, furniture = value
             states.append((inside, away))
             path.append(label)
-            place = tuple(path)
-            if place in take:
+            owns.append(([], []))
+            if tuple(path) in take:
                 inside, met = 1, True
-            away += furniture or place in drop
+            away += furniture
         else:
+            own, at = owns.pop()
+            place = tuple(path)
+            # A constant text goes, the elements inside its element stay.
+            if at and place in places and (place, " ".join("".join(own).split())) in drop:
+                for i in at:
+                    blocks[i] = ""
             path.pop()
             inside, away = states.pop()
     flush()
-    return "\n".join(blocks) if met else None
+    return "\n".join(filter(None, blocks)) if met else None
 
 
 def _host() -> Column:

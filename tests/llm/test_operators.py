@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -297,6 +298,23 @@ def test_wrappers(spark):
     assert got == want
 
 
+def texts_of(pages):
+    """The texts of one host's pages."""
+    events = [wrappers.parse(page) for page in pages]
+    wrapper = functools.reduce(wrappers.merged, map(wrappers.page_wrapper, events))
+    return [wrappers.main_text(e, wrappers.rules(wrapper)) for e in events]
+
+
+def test_constant_text_leaves_what_is_inside():
+    skip = "<body><a href=#c>Skip to content</a><div class=content><p>Article {0} on {0}</p></div>"
+    assert texts_of(skip.format(i) for i in range(4)) == [f"Article {i} on {i}" for i in range(4)]
+    staff = "<body><div class=content>By staff<p>Article {0} on {0}</p>, all rights<table><tr><td>Price: <p>{0}</p></table></div>"
+    assert texts_of(staff.format(i) for i in range(4)) == [f"Article {i} on {i}\n{i}" for i in range(4)]
+    # One of two elements of the same path is constant.
+    two = "<body><div class=content><p>Fixed line.</p><h2>Title {0}</h2><p>Article {0} on {0}</p></div>"
+    assert texts_of(two.format(i) for i in range(4)) == [f"Title {i}\nArticle {i} on {i}" for i in range(4)]
+
+
 def test_pipeline(spark, tmp_path, odd_rows):
     import corpus_pipeline
 
