@@ -315,6 +315,16 @@ def test_constant_text_leaves_what_is_inside():
     assert texts_of(two.format(i) for i in range(4)) == [f"Title {i}\nArticle {i} on {i}" for i in range(4)]
 
 
+def test_hidden_is_an_attribute_of_its_own():
+    shown = ['style="overflow:hidden"', "style='x: hidden; y'", 'data-hidden="false"', 'title="hidden gems"', 'title="a > b" data-id="menu"', "alt=not-hidden", "data-role=search", "href=/a/hidden/b"]
+    for rest in shown:
+        assert texts_of([f"<body><div {rest}><p>One</p></div>"]) == ["One"]
+        assert wrappers._label("div", " " + rest) == ("div", False)
+    for rest in ("hidden", "HIDDEN", 'hidden=""', "class=a hidden", 'title="x"hidden', "aria-hidden=true", 'Role = "search"', "class='a menu'"):
+        assert wrappers._label("div", " " + rest)[1]
+    assert wrappers._label("div", ' data-x="1" CLASS=b2 id="a"/') == ("div.a.b0", False)
+
+
 def test_pipeline(spark, tmp_path, odd_rows):
     import corpus_pipeline
 
