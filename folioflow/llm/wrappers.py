@@ -9,8 +9,9 @@ two wrappers is the same step, so tasks align the pages they read and only one
 wrapper per host and task is shuffled, however many pages a host has.
 
 The wrapper tells where the main text is: the article or main element if the host
-has one, else the element into which most varying text falls; text that is the
-same on all pages of a host is then furniture.
+has one, else the element into which most varying text falls; text in it that is
+the same on all pages of a host is then furniture, unless all of it is: pages that
+are copies of each other tell nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,10 +132,16 @@ def parse(page: str) -> list[tuple[str, object]]:
 
 
 def node(label: str, away: bool) -> dict:
-    """A wrapper element: pages that have it, repeated, furniture, characters of text, constant text, elements inside."""
+    """A wrapper element: pages that have it, repeated, furniture, characters of text, constant text's hash, elements inside."""
     return {"l": label, "n": 1, "m": False, "a": away, "c": 0, "t": "", "k": []}
 
 
+def _digest(text: str) -> str:
+    """What tells a text from others, white space aside: only whether it is the same is needed of it."""
+    words = " ".join(text.split())
+    return xxhash.xxh3_128_hexdigest(words) if words else ""
+
+
 def merged(a: dict, b: dict, same_page: bool = False) -> dict:
     """Two elements as one; on the same page they make a repeated group."""
     return {
@@ -199,10 +207,8 @@ def page_wrapper(events: list[tuple[str, object]]) -> dict:
             stack.append(node(*value))
         elif kind == "close":
             done = stack.pop()
-            done["t"] = " ".join(done["t"].split())
-            done["c"] = len(done["t"])
-            # Only whether a text is the same is needed of it.
-            done["t"] = done["t"] if done["c"] <= 200 else None
+            done["c"] = len(" ".join(done["t"].split()))
+            done["t"] = _digest(done["t"])
             done["k"] = folded(done["k"])
             stack[-1]["k"].append(done)
         else:
@@ -211,16 +217,20 @@ def page_wrapper(events: list[tuple[str, object]]) -> dict:
     return root
 
 
+def _constant(element: dict) -> bool:
+    """Whether an element's own text is the same on all pages that have it."""
+    return element["t"] is not None and element["n"] > 2 and not element["m"]
+
+
 def _size(element: dict) -> int:
     """Characters of varying text in an element, furniture aside."""
     if element["a"]:
         return 0
-    own = 0 if element["t"] is not None and element["n"] > 2 and not element["m"] else element["c"]
-    return own + sum(map(_size, element["k"]))
+    return (0 if _constant(element) else element["c"]) + sum(map(_size, element["k"]))
 
 
 def rules(wrapper: dict) -> dict:
-    """{"take": paths of the main text, "drop": [path, text] of constant texts}, paths as lists of labels."""
+    """{"take": paths of the main text, "drop": [path, hash] of constant texts}, paths as lists of labels."""
 
     def found(element: dict, path: list[str], test) -> list[tuple[int, list[str]]]:
         if element["a"]:
@@ -229,9 +239,13 @@ def rules(wrapper: dict) -> dict:
             return [(_size(element), path)]
         return [x for kid in element["k"] for x in found(kid, [*path, kid["l"]], test)]
 
+    def constant(element: dict, path: list[str]) -> list[tuple[list[str], str]]:
+        own = [(path, element["t"])] if element["t"] and _constant(element) else []
+        return own + [x for kid in element["k"] for x in constant(kid, [*path, kid["l"]])]
+
     named = found(wrapper, [], lambda e: re.match(r"(article|main)\b|.*@main$|.*@article$", e["l"]))
     if named:
-        return {"take": [path for _, path in named], "drop": []}
+        return {"take": [path for _, path in named], "drop": constant(wrapper, []) if any(size for size, _ in named) else []}
     total = _size(wrapper)
     named = found(wrapper, [], lambda e: e["l"].split(".")[0] not in ("", "html", "body") and CONTENT.search(e["l"].replace(".", " ")))
     best = max(named, key=lambda x: x[0], default=(0, []))
@@ -245,11 +259,7 @@ def rules(wrapper: dict) -> dict:
             path = [*path, element["l"]]
         best = (total, path)
 
-    def constant(element: dict, path: list[str]) -> list[tuple[list[str], str]]:
-        own = [(path, element["t"])] if element["t"] and element["n"] > 2 and not element["m"] else []
-        return own + [x for kid in element["k"] for x in constant(kid, [*path, kid["l"]])]
-
-    return {"take": [best[1]], "drop": constant(wrapper, [])}
+    return {"take": [best[1]], "drop": constant(wrapper, []) if total else []}
 
 
 def main_text(events: list[tuple[str, object]], rule: dict) -> str | None:
@@ -294,7 +304,7 @@ def main_text(events: list[tuple[str, object]], rule: dict) -> str | None:
             own, at = owns.pop()
             place = tuple(path)
             # A constant text goes, the elements inside its element stay.
-            if at and place in places and (place, " ".join("".join(own).split())) in drop:
+            if at and place in places and (place, _digest("".join(own))) in drop:
                 for i in at:
                     blocks[i] = ""
             path.pop()

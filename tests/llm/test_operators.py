@@ -325,6 +325,21 @@ def test_hidden_is_an_attribute_of_its_own():
     assert wrappers._label("div", ' data-x="1" CLASS=b2 id="a"/') == ("div.a.b0", False)
 
 
+def test_long_constant_text_is_furniture():
+    notice = "This notice is the same on every page. " * 12
+    for tag in ("div class=content", "article", "main"):
+        page = f"<body><{tag}><h1>Title {{0}}</h1><div class=x>{notice}</div><p>Article {{0}} on {{0}}</p></{tag.split()[0]}>"
+        assert texts_of(page.format(i) for i in range(4)) == [f"Title {i}\nArticle {i} on {i}" for i in range(4)]
+        # Copies of one page, and two pages, do not tell what is furniture.
+        assert texts_of([page.format(7)] * 4) == [f"Title 7\n{notice.strip()}\nArticle 7 on 7"] * 4
+        assert texts_of(page.format(i) for i in range(2)) == [f"Title {i}\n{notice.strip()}\nArticle {i} on {i}" for i in range(2)]
+    # A long notice does not weigh in where the main text is looked for.
+    page = f"<body><div class=side>{notice}</div><div class=mid><h2>Title {{0}}</h2><p>Article {{0}} on {{0}}</p></div>"
+    assert texts_of(page.format(i) for i in range(4)) == [f"Title {i}\nArticle {i} on {i}" for i in range(4)]
+    varying = [f"<body><div class=content><p>{notice}</p><p>{notice}{i}</p></div>" for i in range(4)]
+    assert [t.endswith(f"every page. {i}") for i, t in enumerate(texts_of(varying))] == [True] * 4
+
+
 def test_pipeline(spark, tmp_path, odd_rows):
     import corpus_pipeline
 
