@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data.
 
-Values are found by pattern and validated (check digits, octets, calendar), their
-variable part is read as a number below the count of values of that format, and
+Values are found by pattern and validated (check digits, octets, calendar, numbers
+that are given out), but card numbers with a wrong check digit are replaced as well, by
+others with a wrong one. Their variable part is read as a number below the count of values of that format, and
 that number is permuted by a keyed Feistel network with cycle walking. Equal
 values get equal pseudonyms in every document, different values of a format get
 different ones, valid ones stay valid, and the key turns them back.
@@ -163,6 +164,17 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
     return text[:place] + _digits(text[place:], key, f"phone {text[:place]}", back)
 
 
+def _ssn(text: str, key: bytes, back: bool) -> str | None:
+    # Areas 001 to 899 but not 666, groups from 01, serial numbers from 0001 on are given out.
+    area, group, serial = map(int, text.split("-"))
+    if area in (0, 666) or area > 899 or not group or not serial:
+        return None
+    number = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+    number, serial = divmod(feistel(number, 898 * 99 * 9999, key, b"ssn", back), 9999)
+    area, group = divmod(number, 99)
+    return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+
+
 def _email(text: str, key: bytes, back: bool) -> str:
     name, _, suffix = text.rpartition(".")
     own = {c: letters for letters in LETTERS for c in letters}
@@ -178,7 +190,7 @@ def _secret(text: str, key: bytes, back: bool) -> str:
 
 KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {
     "email": _email, "iban": _iban, "secret": _secret, "date": _date, "ip": _ip, "phone": _phone,
-    "ssn": lambda text, key, back: _digits(text, key, "ssn", back), "card": _card,
+    "ssn": _ssn, "card": _card,
 }
 
 

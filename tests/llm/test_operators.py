@@ -282,6 +282,20 @@ def test_pseudonyms(spark, odd_rows):
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(odd_rows)
 
 
+def test_ssn_is_validated():
+    for text in ("000-12-3456", "666-12-3456", "900-12-3456", "999-99-9999", "123-00-4567", "123-45-0000"):
+        assert pii.pseudonymise(f"before {text} after", b"k") == (f"before {text} after", 0)
+    rnd = random.Random(8)
+    values = ["001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999"]
+    values += [f"{rnd.randrange(1, 666):03d}-{rnd.randrange(1, 100):02d}-{rnd.randrange(1, 10000):04d}" for _ in range(2000)]
+    for text in values:
+        new = pii.pseudonym("ssn", text, b"k")
+        area, group, serial = new.split("-")
+        assert (len(area), len(group), len(serial)) == (3, 2, 4)
+        assert 0 < int(area) < 900 and area != "666" and int(group) and int(serial)
+        assert pii.pseudonym("ssn", new, b"k", back=True) == text
+
+
 def test_wrappers(spark):
     def page(i, extra=""):
         return (
