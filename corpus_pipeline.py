@@ -21,10 +21,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the smallest doc_id; rows without a doc_id stay."""
+    """Of each group of near duplicates (five words, similarity 0.8) the smallest doc_id.
+
+    Of rows with the same doc_id and text one stays; different texts of one doc_id
+    all stay, as do rows without a doc_id.
+    """
     found = jaccard.jaccard_components(docs)
     others = found.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    # Only doc_ids that have a text hash twice send their texts.
+    hashes = docs.filter("doc_id IS NOT NULL").groupBy("doc_id", F.xxhash64("text").alias("hash")).count()
+    again = hashes.filter("count > 1").select("doc_id").distinct()
+    one = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

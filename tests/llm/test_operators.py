@@ -368,6 +368,17 @@ def test_pipeline(spark, tmp_path, odd_rows):
     assert b"4111111111111111" not in bpe.codec(BPE, PATTERN).decode(np.frombuffer(out[301].ids, "<u4"))
 
 
+def test_rows_of_one_doc_id(spark):
+    import corpus_pipeline
+
+    texts = prose(12, 4)
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[2]), (3, texts[2])]
+    rows += [(None, texts[3]), (None, texts[3]), (4, None), (4, None), (5, None)]
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs(spark, rows), "").collect())
+    want = {(1, texts[0]): 1, (3, texts[1]): 1, (3, texts[2]): 1, (None, texts[3]): 2, (4, None): 1, (5, None): 1}
+    assert got == want
+
+
 def test_crc_matches(spark):
     data = np.arange(5, dtype="<u4").tobytes()
     assert spark.createDataFrame([(bytearray(data),)], "ids binary").selectExpr("crc32(ids)").first()[0] == zlib.crc32(data)
