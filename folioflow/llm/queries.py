@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, decontaminate, jaccard, phrases, pii, quality, repeats, simple8b, warc, wrappers
+from folioflow.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    mixing,
+    periodic,
+    phrases,
+    pii,
+    quality,
+    repeats,
+    simple8b,
+    vectorcodes,
+    warc,
+    wrappers,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +170,77 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The codebooks round by round; floats hold these whole numbers exactly."""
+    steps = [
+        """v AS (SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT vec_id, p, v[16 * p + 1 : 16 * p + 16] AS x FROM v, (SELECT unnest(range(4)) AS p)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < 256)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, p.p, x, min({{'d': list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), 'e': e}}) AS best
+  FROM p JOIN c{r} ON p.p = c{r}.p GROUP BY ALL)""")
+        if r < rounds:
+            sums = ", ".join(f"floor(sum(x[{i}]) / count(*))" for i in range(1, 17))
+            steps.append(f"""m{r} AS (SELECT p, best.e AS e, [{sums}] AS m FROM a{r} GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.p, c{r}.e, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.p = c{r}.p AND m{r}.e = c{r}.e)""")
+    return f"""WITH {", ".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id),
+named AS (SELECT vec_id, code, error, label FROM coded JOIN v USING (vec_id)),
+books AS (
+  SELECT sha256(string_agg(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) for x in c], ','), ',' ORDER BY p, e)) AS digest
+  FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM named, books"""
+
+
+@query("op11_gnat_codes", _codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_source_schedule", r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS weight,
+         CAST(sum(source_size) OVER () AS BIGINT) AS total FROM sums),
+-- Sources reach their limit in the order of limit by weight.
+filled AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER before, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS rest
+  FROM ranked WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT capped, rest FROM filled WHERE weight * (3 * total - 2 * capped) <= 4 * source_size * rest
+  ORDER BY capped, rest DESC LIMIT 1),
+targets AS (
+  SELECT ranked.*, CASE WHEN weight * (3 * total - 2 * capped) > 4 * source_size * rest THEN CAST(2 * source_size AS DOUBLE)
+    ELSE CAST(weight * (3 * total - 2 * capped) AS DOUBLE) / (2 * rest) END AS target
+  FROM ranked LEFT JOIN level ON TRUE),
+laid AS (
+  SELECT sized.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS t,
+         coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(start + size, t) - start) + greatest(0, least(start + size, t - source_size) - start) AS BIGINT) AS taken
+FROM laid""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(_table(spark, sf_dir, "documents"), periodic.periodic_tail)
+    line = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listed = F.array_join(F.transform(line, lambda text: F.concat(text, F.lit("\n"))), "")
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
