@@ -24,6 +24,8 @@ def build_session(app_name: str = "folioflow", master: str | None = None, **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Let the file tree source see filters.
+        "spark.sql.python.filterPushdown.enabled": "true",
         # Merge the events of a session before they are shuffled to its key.
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,

@@ -54,6 +54,77 @@ def test_filetree_options(spark, tree):
         spark.read.format("filetree").option("root", tree + "/a.py").load().collect()
 
 
+def test_filetree_lists_without_reading(spark, tree):
+    """A schema without `raw` opens no file, and reads the same listing."""
+    register_filetree(spark)
+    secret = os.path.join(tree, "pkg", "b.py")
+    fifo = os.path.join(tree, "pkg", "pipe")
+    os.mkfifo(fifo)
+    listed = spark.read.format("filetree").option("root", tree).schema("rel_path string, size long").load().collect()
+    assert ("pkg/b.py", os.path.getsize(secret)) in {tuple(r) for r in listed} and len(listed) == 7
+    from folioflow.sources import filetree as ft
+
+    reader = ft.FileTreeReader({"root": tree}, spark.createDataFrame([], "rel_path string, size long").schema)
+    reader._content = None
+    assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 7
+
+
+def test_filetree_prunes_and_lists_once(spark, tree, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNull, StringStartsWith
+
+    from folioflow.sources import filetree as ft
+
+    schema, entered, scandir = spark.createDataFrame([], ft.SCHEMA).schema, [], os.scandir
+    monkeypatch.setattr(ft.os, "scandir", lambda p: entered.append(os.path.relpath(p, tree)) or scandir(p))
+
+    def paths(options, *filters):
+        entered.clear()
+        reader = ft.FileTreeReader({"root": tree, "split_bytes": "1", **options}, schema)
+        left = list(reader.pushFilters(list(filters)))
+        parts = reader.partitions()
+        assert len(entered) == len(set(entered))
+        return {row[1] for p in parts for row in reader.read(p)}, set(entered), left
+
+    found, walked, _ = paths({})
+    assert len(found) == 7 and walked == {".", ".git", "pkg", "pkg/deep"}
+    found, walked, _ = paths({"ignore": json.dumps(["deep", "*.txt", ".g?t"])})
+    assert found == {"__init__.py", "a.py", ".hidden", "pkg/b.py"} and walked == {".", "pkg"}
+    found, walked, left = paths({}, StringStartsWith(("rel_path",), "pkg/d"), IsNull(("error",)))
+    assert found == {"pkg/deep/c.md"} and walked == {".", "pkg", "pkg/deep"} and [type(f) for f in left] == [IsNull]
+    found, walked, _ = paths({}, EqualTo(("rel_path",), "a.py"))
+    assert found == {"a.py"} and walked == {"."}
+    assert paths({}, EqualTo(("project_id",), "other"))[:2] == (set(), set())
+    assert paths({}, GreaterThan(("size",), 0))[0] == {"__init__.py", "a.py", ".hidden", "pkg/b.py", "pkg/deep/c.md", ".git/config"}
+
+
+def test_filetree_filters_reach_the_source(spark, tree):
+    register_filetree(spark)
+    files = spark.read.format("filetree").option("root", tree).load()
+    some = files.filter(F.col("rel_path").startswith("pkg/") & (F.col("size") > 0) & F.col("raw").isNotNull())
+    assert {r.rel_path for r in some.collect()} == {"pkg/b.py", "pkg/deep/c.md"}
+    # What the source has decided is not decided again.
+    assert "StartsWith" not in plan_of(some).split("BatchScan")[0]
+    assert files.filter("rel_path IN ('a.py', 'nowhere', null)").count() == 1
+    assert files.filter("rel_path > 'pkg' AND rel_path <= 'pkg/b.py'").count() == 1
+
+
+@pytest.mark.parametrize("piece_bytes", [4, 7, 64, 1000])
+def test_filetree_pieces(spark, tmp_path, piece_bytes):
+    """A file of any size comes as ordered pieces that end between lines, or at least between characters."""
+    register_filetree(spark)
+    texts = {"lines.txt": "ab\ncdé\n\n" * 40, "one.txt": "é中😀x" * 50, "mixed.txt": "a\n" + "中" * 90 + "\nz", "none.txt": "", "end.txt": "abc\n" * 16}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+    rows = spark.read.format("filetree").option("root", str(tmp_path)).option("piece_bytes", piece_bytes).option("split_bytes", 300).load()
+    found = {}
+    for r in rows.orderBy("rel_path", "piece").collect():
+        found.setdefault(r.rel_path, []).append(bytes(r.raw).decode())
+        assert len(r.raw) <= 2 * piece_bytes + 3 and r.size == len(texts[r.rel_path].encode())
+    assert {k: "".join(v) for k, v in found.items()} == texts
+    if piece_bytes == 64:
+        assert len(found["lines.txt"]) > 4 and all(p.endswith("\n") for p in found["lines.txt"])
+
+
 def test_folder_to_prompt(spark, tree):
     from folioflow.functions.text import decode_text
 
