@@ -80,6 +80,27 @@ def many_hunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def hot_hunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten hunks of every document on one file, the one with the most lines: moved, cut, spaced and missing lines among them."""
+    docs = files(spark, folder)
+    lines = docs.select(*_KEY, "doc_id", split_lines(F.col("content")).alias("_lines"))
+    hot = lines.orderBy(F.desc(F.size("_lines")), "doc_id").limit(1).drop("doc_id")
+    rows = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("_i")).crossJoin(F.broadcast(hot))
+    rows = rows.withColumn("_k", ((F.col("doc_id") * 7 + F.col("_i") * 13) % F.size("_lines")).cast("int"))
+    line, digit = F.get(F.col("_lines"), F.col("_k")), F.col("doc_id") % 10
+    gone = (
+        F.when(digit == 8, F.replace(line, F.lit(" "), F.lit("  ")))
+        .when(digit == 9, F.concat(F.lit("NO SUCH LINE "), F.col("doc_id").cast("string")))
+        .when(digit == 7, F.substring(line, 1, 5))
+        .otherwise(line)
+    )
+    return rows.select(
+        F.col("doc_id").alias("response_id"), F.col("_i").cast("long").alias("hunk_pos"), *_KEY,
+        F.array(F.concat(F.lit("-"), gone), F.concat(F.lit("+"), gone, F.lit(" [edited]"))).alias("hunk_lines"),
+        *[c.alias(name) for name, c in _neighbours(F.col("_k")).items()],
+    )
+
+
 def diff_text(path: Column, hunk_lines: Column) -> Column:
     return F.concat(
         F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,1 +1,1 @@\n"), F.array_join(hunk_lines, "\n")

@@ -56,6 +56,13 @@ def locate_hunks(spark: SparkSession, folder: str) -> DataFrame:
     return L.locate_hunks(fx.many_hunks(spark, folder), fx.files(spark, folder)).select(*_ID, "status", "first_target_line")
 
 
+@query("locate_hunks_one_file", f"""WITH {q.HOT_HUNKS}, {q.LOCATED}
+SELECT response_id, hunk_pos, status, CAST(start AS BIGINT) AS first_target_line, CAST(len(exact) AS BIGINT) AS n_best FROM located""")
+def locate_hunks_one_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten times as many hunks on one file as there are documents."""
+    return L.locate_hunks(fx.hot_hunks(spark, folder), fx.files(spark, folder)).select(*_ID, "status", "first_target_line", "n_best")
+
+
 @query("locate_long_hunks", f"""WITH {q.FILES},
 numbered AS (SELECT doc_id, CAST(len(L) AS BIGINT) AS n FROM (SELECT doc_id, string_split(content, chr(10)) AS L FROM files))
 SELECT doc_id AS response_id, CASE WHEN 2 * n * 0.05 >= 2 THEN 'matched' ELSE 'unmatched' END AS status,

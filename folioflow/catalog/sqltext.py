@@ -93,6 +93,19 @@ FROM (SELECT *, CASE WHEN len(c) > 1 THEN c[1:1] ELSE [] END AS cb, CASE WHEN le
             FROM (SELECT *, len(L) AS n, CAST(unnest(range(0, (len(L) + 2) // 3)) AS BIGINT) AS i
                   FROM (SELECT *, string_split(content, chr(10)) AS L FROM files)))))"""
 
+# Ten hunks of every document on one file, the one with the most lines.
+HOT_HUNKS = f"""{FILES},
+hot AS (
+SELECT project_id, rel_path, content, L, len(L) AS n FROM (SELECT *, string_split(content, chr(10)) AS L FROM files)
+ORDER BY len(L) DESC, doc_id LIMIT 1),
+hunks AS (
+SELECT response_id, hunk_pos, project_id, rel_path, content, L, n, ['-' || gone, '+' || gone || ' [edited]'] AS hunk_lines,
+  CASE WHEN k > 0 THEN [L[k]] ELSE [] END AS cb, CASE WHEN k < n - 1 THEN [L[k + 2]] ELSE [] END AS ca
+FROM (SELECT *, CASE response_id % 10 WHEN 8 THEN replace(L[k + 1], ' ', '  ') WHEN 9 THEN 'NO SUCH LINE ' || response_id
+        WHEN 7 THEN L[k + 1][:5] ELSE L[k + 1] END AS gone
+      FROM (SELECT files.doc_id AS response_id, i AS hunk_pos, hot.*, (files.doc_id * 7 + i * 13) % n AS k
+            FROM files, hot, (SELECT unnest(range(10)) AS i))))"""
+
 # Needle, candidate starts and unique exact start of each hunk.
 LOCATED = f"""needles AS (
 SELECT *, len(cb) AS b, len(needle) AS m FROM (

@@ -58,6 +58,21 @@ def normalize_line(line: Column) -> Column:
     return F.regexp_replace(strip(line), rf"(?U){_SPACE}+", " ")
 
 
+# Whitespace beyond ASCII that does not break lines.
+_WIDE_SPACES = [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
+
+
+def is_even(line: Column) -> Column:
+    """A cheap test that only lines pass which `normalize_line` leaves as they are.
+
+    For a line of a text (it holds no line break): the only whitespace is single
+    spaces, none of them at an end.
+    """
+    odd = [line.startswith(" "), line.endswith(" "), *[line.contains(x) for x in ("  ", "\t", "\x1f")]]
+    wide = (F.octet_length(line) > F.length(line)) & reduce(or_, [line.contains(x) for x in _WIDE_SPACES])
+    return ~(reduce(or_, odd) | wide)
+
+
 def unify_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 

@@ -103,6 +103,50 @@ def random_case(rng: random.Random):
     return lines, (before, body, after)
 
 
+def test_locate_spaces_and_pieces_random(spark):
+    """Places that differ in white space inside lines, next to lines that only hold the telling text."""
+    rng = random.Random(5)
+    words = ["x = 1", "x  =  1", " x = 1 ", "y", "yy", "éß y", "x = 1;", "if x = 1:", "\tx = 1", "a\u00a0b", "a b", "a  b c", ""]
+    files, hunks = {}, []
+    for i in range(60):
+        lines = [rng.choice(words) for _ in range(rng.randrange(1, 30))]
+        files[f"f{i}.py"] = "\n".join(lines)
+        for _ in range(8):
+            at, m = rng.randrange(len(lines)), rng.randrange(1, 7)
+            piece = [rng.choice(words) if rng.random() < 0.1 else x.replace(" ", rng.choice([" ", "  "])) for x in lines[at : at + m]]
+            cut = rng.randrange(len(piece) + 1)
+            hunks.append((f"f{i}.py", (piece[:cut], ["-" + x for x in piece[cut:]], [])))
+    # Long hunks with one line changed are scored where the telling text occurs.
+    for i in range(60, 90):
+        lines = [f"{rng.choice(words)} {k if rng.random() < 0.9 else ''}" for k in range(50)]
+        files[f"f{i}.py"] = "\n".join(lines)
+        at = rng.randrange(20)
+        piece = lines[at : at + rng.randrange(19, 28)]
+        piece[rng.randrange(len(piece))] += " changed"
+        hunks.append((f"f{i}.py", (piece[:2], ["-" + x for x in piece[2:]], [])))
+    hunks += [("f0.py", ([], ["+x"], [])), ("nowhere.py", ([], ["+x"], [])), ("nowhere.py", ([], ["-x"], []))]
+    located = run(spark, files, hunks)[1]
+    found = {r.hunk_pos: r.first_target_line for r in located.collect()}
+    expected = {i: brute_locate(files.get(path, "").splitlines(), h) for i, (path, h) in enumerate(hunks)}
+    assert found == expected
+    assert sum(s is not None for s in expected.values()) > 100
+    assert sum(expected[i] is not None for i in range(480, 510)) > 5
+
+
+def test_index_asks_for_few_lines(spark):
+    """A hunk meets the index by the hashes of its lines: no row per hunk and line of the file."""
+    from folioflow.operators import lineindex
+
+    lines = [f"line {i} of many" for i in range(3000)]
+    f = spark.createDataFrame([("p", "big.py", "\n".join(lines))], FILE)
+    rows = [(1, i, "p", "big.py", ["-" + x for x in lines[i : i + 5]], lines[i - 3 : i], []) for i in range(3, 2900)]
+    hunks = lineindex.described(spark.createDataFrame(rows, HUNKS), F.concat("context_before", F.transform("hunk_lines", lambda x: F.substring(x, F.lit(2), F.length(x)))))
+    index = lineindex.file_index(f, hunks)
+    found = lineindex.places(hunks, index)
+    assert found.count() == len(rows) and found.filter("sure").count() == len(rows)
+    assert [r._levels for r in index.select("_levels").collect()] == [[3]]
+
+
 def test_locate_and_apply_random(spark):
     rng = random.Random(11)
     cases = [random_case(rng) for _ in range(400)]
