@@ -5,16 +5,20 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions.hunks import change_lines, has_deletion, line_changes, original_lines
 from folioflow.functions.paths import backup_path
-from folioflow.functions.text import let, sha1_content, split_lines
+from folioflow.functions.text import once, sha1_content, split_lines
 from folioflow.operators.locating import HUNK_ID
 from folioflow.operators.selection import KEY
 from folioflow.operators.skew import only_named, running_rank, running_total, skew_join
+from folioflow.session import kept
+
+# Lines of a file that are edited together.
+CHUNK_LINES = 1024
 
 
 def _block_length() -> Column:
@@ -115,47 +119,68 @@ def unmatched_hunks(located: DataFrame) -> DataFrame:
     return located.filter(F.col("status") == "unmatched").select(*KEY, *HUNK_ID)
 
 
+def piece_table(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What hunks do to their files, as rows by line of the file: (inserts, deletes).
+
+    `inserts` holds (key, pos, text): the lines that go before line `pos`, in the
+    order of hunks and of lines in them. `deletes` holds (key, pos). Kept lines need
+    no row: they stay as the file has them.
+    """
+    body_start = F.col("first_target_line") + F.size("context_before")
+    lines = edits.select(*KEY, *HUNK_ID, "first_target_line", body_start.alias("_from"), F.posexplode("hunk_lines").alias("_i", "_line"))
+    added = F.col("_line").startswith("+")
+    # Lines of the file that the hunk has gone over before this one.
+    before = Window.partitionBy(*KEY, "first_target_line", *HUNK_ID).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("pos", F.col("_from") + F.coalesce(F.sum((~added).cast("long")).over(before), F.lit(0)))
+    one = F.struct("first_target_line", *HUNK_ID, "_i", F.substring("_line", F.lit(2), F.length("_line")).alias("text"))
+    inserts = lines.filter(added).groupBy(*KEY, "pos").agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    inserts = inserts.select(*KEY, "pos", F.array_join(F.transform("_all", lambda x: x["text"]), "\n").alias("text"))
+    return inserts, lines.filter(F.col("_line").startswith("-")).select(*KEY, "pos")
+
+
+def spliced(target: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
+    """(key, new_content) of the files (key, content) and of new ones, with the pieces put in.
+
+    Files are cut into chunks of lines, and only a chunk's own pieces meet it, so
+    time is linear in the lines of files and hunks however many hunks a file has.
+    """
+    chunk = F.floor(F.col("pos") / CHUNK_LINES).cast("long").alias("_chunk")
+    cut = deletes.select(*KEY, chunk, (F.col("pos") % CHUNK_LINES).cast("int").alias("_p"))
+    cut = cut.groupBy(*KEY, "_chunk").agg(F.collect_set("_p").alias("_cut"))
+    entry = F.struct((F.col("pos") % CHUNK_LINES).cast("int").alias("p"), F.lit(0).alias("k"), F.col("text").alias("text"))
+    new = inserts.select(*KEY, chunk, entry.alias("_e")).groupBy(*KEY, "_chunk").agg(F.collect_list("_e").alias("_new"))
+    lines = target.select(*KEY, once(split_lines(F.col("content"))).alias("_lines"))
+    chunks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_lines") / CHUNK_LINES).cast("int") - 1, F.lit(0)))
+    parts = F.transform(chunks, lambda c: F.struct(c.cast("long").alias("_chunk"), F.slice("_lines", c * CHUNK_LINES + 1, F.lit(CHUNK_LINES)).alias("_old")))
+    pieces = lines.select(*KEY, F.inline(parts)).join(cut, [*KEY, "_chunk"], "full").join(new, [*KEY, "_chunk"], "full")
+
+    def old(i: Column) -> Column:
+        return F.struct(i.alias("p"), F.lit(1).alias("k"), F.get("_old", i).alias("text"))
+
+    none = F.array().cast("array<int>")
+    count = F.coalesce(F.size("_old"), F.lit(0))
+    places = F.when(count > 0, F.array_except(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), F.coalesce("_cut", none))).otherwise(none)
+    kept_lines = F.transform(places, old)
+    both = F.array_sort(F.concat(kept_lines, F.coalesce(F.col("_new"), F.slice(kept_lines, 1, 0))))
+    text = F.when(F.col("_cut").isNull() & F.col("_new").isNull(), F.col("_old")).otherwise(F.transform(both, lambda x: x["text"]))
+    rows = pieces.select(*KEY, "_chunk", once(text).alias("_text"))
+    joined = F.when(F.size("_text") > 0, F.struct("_chunk", F.array_join("_text", "\n").alias("text")))
+    whole = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(joined)).alias("_parts"))
+    content = F.concat(F.array_join(F.transform("_parts", lambda part: part["text"]), "\n"), F.lit("\n"))
+    return whole.select(*KEY, F.when(F.size("_parts") > 0, content).otherwise("").alias("new_content"))
+
+
 def apply_hunk_lines(located: DataFrame, reports: DataFrame, files: DataFrame) -> DataFrame:
-    """New content of every file whose report is ok.
+    """New content of every file whose report is ok, by a table of pieces.
 
-    Hunks of such a file do not overlap, so there are no more of them than the
-    file has lines, and one row holds them. Kept lines come from the file.
+    The only row that grows with the hunks of a file is its new content.
     """
     ok = reports.filter(F.col("status") == "ok").select(*KEY)
-    body_length = F.size(F.filter(F.col("hunk_lines"), lambda line: ~line.startswith("+")))
-    body_start = (F.col("first_target_line") + F.size("context_before")).cast("int")
-    edit = F.struct(
-        F.col("first_target_line").alias("start"), *HUNK_ID, body_start.alias("body_start"),
-        (body_start + body_length).alias("body_end"), F.col("hunk_lines").alias("hunk_lines"),
-    )
-    edits = skew_join(located, ok, KEY, "left_semi", HUNK_ID).groupBy(*KEY).agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
-    target = only_named(files.select(*KEY, "content"), ok, KEY)
-    rows = edits.join(target, KEY, "left").withColumn("_lines", split_lines(F.coalesce("content", F.lit(""))))
-    lines, hunks = F.col("_lines"), F.col("_edits")
-
-    def body(edit: Column) -> Column:
-        def place(line: Column, i: Column) -> Column:
-            consumed = F.size(F.filter(F.slice(edit["hunk_lines"], F.lit(1), i), lambda x: ~x.startswith("+")))
-            return (
-                F.when(line.startswith("+"), F.array(F.substring(line, F.lit(2), F.length(line))))
-                .when(line.startswith("-"), F.array().cast("array<string>"))
-                .otherwise(F.array(F.get(lines, edit["body_start"] + consumed)))
-            )
-
-        return F.flatten(F.transform(edit["hunk_lines"], place))
-
-    def piece(edit: Column, i: Column) -> Column:
-        done = F.when(i > 0, F.get(hunks, i - 1)["body_end"]).otherwise(0)
-        return let(done, lambda d: F.concat(F.slice(lines, d + 1, edit["body_start"] - d), body(edit)))
-
-    last = F.element_at(hunks, -1)["body_end"]
-    rest = F.slice(lines, last + 1, F.greatest(F.size(lines) - last, F.lit(0)))
-    rebuilt = F.concat(F.flatten(F.transform(hunks, piece)), rest)
-    return rows.withColumn("_new", rebuilt).select(
-        *KEY,
-        F.when(F.size("_new") == 0, "").otherwise(F.concat(F.array_join("_new", "\n"), F.lit("\n"))).alias("new_content"),
-        F.col("content").alias("old_content"),
-    )
+    edits = skew_join(located, ok, KEY, "left_semi", HUNK_ID)
+    inserts, deletes = piece_table(edits)
+    target = kept(only_named(files.select(*KEY, "content"), ok, KEY).join(ok, KEY, "left_semi"))
+    rebuilt = spliced(target, inserts, deletes)
+    return rebuilt.join(target.withColumnRenamed("content", "old_content"), KEY, "left").select(*KEY, "new_content", "old_content")
 
 
 def lines_applied(located: DataFrame) -> DataFrame:

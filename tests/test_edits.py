@@ -147,6 +147,49 @@ def test_index_asks_for_few_lines(spark):
     assert [r._levels for r in index.select("_levels").collect()] == [[3]]
 
 
+@pytest.mark.parametrize("chunk_lines", [1, 4, 1024])
+def test_pieces_random(spark, monkeypatch, chunk_lines):
+    """Many hunks on each file, insertions at one place and at the ends among them, over chunks of any size."""
+    from folioflow.operators import applying
+
+    monkeypatch.setattr(applying, "CHUNK_LINES", chunk_lines)
+    rng = random.Random(chunk_lines)
+    files, hunks, expected = {}, [], {}
+    for f in range(40):
+        lines = [f"{rng.choice('ab')} line {i}" for i in range(rng.randrange(0, 14))]
+        at, own = 0, []
+        while at <= len(lines):
+            m = min(rng.randrange(0, 4), len(lines) - at)
+            body = [x for line in lines[at : at + m] for x in ([rng.choice("- ") + line] + ["+new", "+"][: rng.randrange(3)])]
+            if rng.random() < 0.4:
+                body.insert(0, f"+first {at}")
+            if rng.random() < 0.7 and body:
+                own.append((at, ([], body, [])))
+            at += m + rng.randrange(1, 4)
+        files[f"f{f}.py"] = "\n".join(lines)
+        hunks += [(f"f{f}.py", h, at) for at, h in own]
+        if own:
+            expected[f"f{f}.py"] = brute_apply(lines, own)
+    rows = [(1, i, "p", path, h[1], h[0], h[2], at, "matched") for i, (path, h, at) in enumerate(hunks)]
+    located = spark.createDataFrame(rows, HUNKS.simpleString()[7:-1] + ", first_target_line:long, status:string")
+    reports = located.select("project_id", "rel_path", F.lit("ok").alias("status")).distinct()
+    table = spark.createDataFrame([("p", path, text) for path, text in files.items()], FILE)
+    got = {r.rel_path: r.new_content for r in apply_hunk_lines(located, reports, table).collect()}
+    assert got == expected
+
+
+def test_many_additions_to_a_new_file(spark):
+    n = 100_000
+    rows = spark.range(n).selectExpr(
+        "1L AS response_id", "id AS hunk_pos", "'p' AS project_id", "'new.py' AS rel_path", "array(concat('+line ', id)) AS hunk_lines",
+        "cast(array() AS array<string>) AS context_before", "cast(array() AS array<string>) AS context_after",
+        "0L AS first_target_line", "'matched' AS status",
+    )
+    reports = spark.createDataFrame([("p", "new.py", "ok")], "project_id string, rel_path string, status string")
+    row = apply_hunk_lines(rows, reports, spark.createDataFrame([], FILE)).first()
+    assert row.new_content == "".join(f"line {i}\n" for i in range(n)) and row.old_content is None
+
+
 def test_locate_and_apply_random(spark):
     rng = random.Random(11)
     cases = [random_case(rng) for _ in range(400)]
