@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,13 @@ from folioflow.catalog import fixtures as fx
 from folioflow.catalog import sqltext as q
 from folioflow.catalog.registry import query
 from folioflow.functions.paths import backup_path
+from folioflow.functions.text import sha1_content
 from folioflow.operators import applying as A
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.locating import locate_hunks
-from folioflow.plans import edit_files
-from folioflow.session import kept
+from folioflow.plans import edit_files, publish_edits
+from folioflow.session import ensure_checkpoint_dir, kept
+from folioflow.sources.filestore import FileStore
 from folioflow.sources.tables import snapshot
 
 _KEY = ["project_id", "rel_path"]
@@ -140,6 +144,35 @@ def edit_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return edit_files(fx.responses(spark, folder), fx.files(spark, folder)).new_files.select(*_KEY, "new_content")
 
 
+_STORED = f"""WITH {q.HUNKS}, {q.LOCATED},
+planned AS (SELECT project_id, rel_path, content, response_id % 5 = 0 AS outside, response_id % 6 IN (0, 1) AND status = 'unmatched' AS unmatched,
+  CASE WHEN response_id % 6 IN (0, 1) AND status = 'matched' THEN
+      array_to_string(list_concat(L[1:start + len(cb)], [L[k + 1] || ' [edited]'], L[start + len(cb) + 2:]), chr(10)) || chr(10)
+    WHEN response_id % 6 IN (2, 3) THEN {q.strip("content || chr(10) || 'last line'")} || chr(10) END AS new
+  FROM located)"""
+
+
+@query("publish_edits", f"""{_STORED}
+SELECT project_id, rel_path, CASE WHEN outside THEN CAST(2 AS BIGINT) WHEN new IS NOT NULL THEN 3 ELSE 1 END AS version,
+  sha1(CASE WHEN outside THEN content || chr(10) || 'from outside' ELSE coalesce(new, content) END) AS sha1,
+  CASE WHEN outside OR new IS NOT NULL THEN sha1(content) END AS backup_sha1,
+  CASE WHEN new IS NOT NULL AND outside THEN 'skipped_external_change' WHEN new IS NOT NULL THEN 'ok' WHEN unmatched THEN 'skipped_unmatched' END AS status
+FROM planned""")
+def publish_edits_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Files are stored, edited, and every fifth changed by others before the edits are published; the sinks are read back."""
+    store = FileStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    files = fx.files(spark, folder)
+    store.publish(files.select(*_KEY, F.col("content").alias("new_content"), F.lit(None).cast("string").alias("base_sha1")), "20240101_000000")
+    result = edit_files(fx.responses(spark, folder), store.read())
+    others = files.filter("doc_id % 5 = 0").select(
+        *_KEY, F.concat("content", F.lit("\nfrom outside")).alias("new_content"), sha1_content(F.col("content")).alias("base_sha1")
+    )
+    store.publish(others, "20240101_000001")
+    reports = publish_edits(result, store, "20240101_000002")
+    saved = store.backups().select(*_KEY, sha1_content(F.col("content")).alias("backup_sha1"))
+    return store.read().select(*_KEY, "version", "sha1").join(saved, _KEY, "left").join(reports.select(*_KEY, "status"), _KEY, "left")
+
+
 _SUGGESTED = f"""WITH {q.HUNKS},
 suggestions AS (SELECT response_id, project_id, CASE WHEN response_id % 7 = 3 THEN rel_path || '.new' ELSE rel_path END AS rel_path, hunk_lines, content, response_id % 7 AS kind FROM hunks)"""
 

@@ -199,6 +199,9 @@ def backups(applied: DataFrame, stamp: str | None) -> DataFrame:
     path = F.col("rel_path")
     target = F.concat(F.lit("backups/"), path) if stamp is None else backup_path(path, F.lit(stamp))
     existed = applied.filter(F.col("old_content").isNotNull())
+    if stamp is None and "response_id" in applied.columns:
+        latest = existed.groupBy(*KEY).agg(F.max("response_id").alias("response_id"))
+        existed = existed.join(latest, [*KEY, "response_id"])
     if stamp is None:
         existed = existed.dropDuplicates(KEY)
     return existed.select(*KEY, target.alias("backup_path"), F.col("old_content").alias("content"))

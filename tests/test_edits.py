@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import random
 
 import pytest
@@ -378,3 +379,84 @@ def test_edit_files(spark):
     assert [(r.rel_path, r.new_content) for r in result.new_files.collect()] == [("a.py", "x\nz\n")]
     assert [(r.rel_path, r.status, r.message) for r in result.replaced.collect()] == [("b.py", "applied_ok", "verified")]
     assert result.rejects.isEmpty() and result.errors.isEmpty()
+
+
+def _store(spark, tmp_path, contents):
+    from folioflow import FileStore
+
+    store = FileStore(spark, f"file://{tmp_path}/store")
+    store.publish(_writes(spark, [(path, text, None) for path, text in contents.items()]), "s0")
+    return store
+
+
+def _writes(spark, rows):
+    sha1 = lambda t: None if t is None else hashlib.sha1(t.encode()).hexdigest()
+    return spark.createDataFrame([("p", path, new, sha1(base)) for path, new, base in rows], "project_id string, rel_path string, new_content string, base_sha1 string")
+
+
+def _contents(store, upto=None):
+    return {r.rel_path: r.content for r in store.read(upto).collect()}
+
+
+def test_publish_checks_bases(spark, tmp_path):
+    store = _store(spark, tmp_path, {"a.py": "a\n", "d/b.py": "b\n", "c.py": "c\n"})
+    batch = _writes(spark, [("a.py", "A\n", "a\n"), ("d/b.py", "B\n", "other"), ("c.py", "C\n", None), ("new.py", "N\n", None), ("gone.py", "G", "was")])
+    found = {r.rel_path: (r.status, r.version) for r in store.publish(batch, "s1").collect()}
+    skipped = ("skipped_external_change", None)
+    assert found == {"a.py": ("ok", 2), "d/b.py": skipped, "c.py": skipped, "new.py": ("ok", 2), "gone.py": skipped}
+    assert _contents(store) == {"a.py": "A\n", "d/b.py": "b\n", "c.py": "c\n", "new.py": "N\n"}
+    assert _contents(store, 1) == {"a.py": "a\n", "d/b.py": "b\n", "c.py": "c\n"}
+    assert [(r.rel_path, r.backup_path, r.content) for r in store.backups().collect()] == [("a.py", "backups/a_s1.py", "a\n")]
+    assert {r.status for r in store.publish(batch, "s2").collect()} == {"skipped_external_change"} and len(store.versions()) == 2
+    with pytest.raises(ValueError, match="two contents"):
+        store.publish(_writes(spark, [("a.py", "1", "A\n"), ("a.py", "2", "A\n")]), "s3")
+
+
+def test_publish_against_a_faster_batch(spark, tmp_path, monkeypatch):
+    """Another batch commits between the check and the commit: the check is made again."""
+    from folioflow import FileStore
+
+    store = _store(spark, tmp_path, {"a.py": "a\n", "b.py": "b\n"})
+    record, others = FileStore._record, []
+
+    def slow(self, version, folder):
+        if not others:
+            others.append(1)
+            FileStore(spark, store.path).publish(_writes(spark, [("a.py", "faster\n", "a\n")]), "s1")
+        return record(self, version, folder)
+
+    monkeypatch.setattr(FileStore, "_record", slow)
+    got = {r.rel_path: (r.status, r.version) for r in store.publish(_writes(spark, [("a.py", "A", "a\n"), ("b.py", "B", "b\n")]), "s2").collect()}
+    assert got == {"a.py": ("skipped_external_change", None), "b.py": ("ok", 3)}
+    assert _contents(store) == {"a.py": "faster\n", "b.py": "B"}
+    folders = {p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("data-")}
+    assert folders == set(store.versions().values()) and len(folders) == 3
+
+
+def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    from folioflow import FileStore
+
+    store = _store(spark, tmp_path, {"a.py": "a\n"})
+    bad = _writes(spark, [("a.py", "A", "a\n"), ("b.py", "B", None)])
+    monkeypatch.setattr(FileStore, "_record", lambda *a: (_ for _ in ()).throw(OSError("no space")))
+    with pytest.raises(OSError):
+        store.publish(bad, "s1")
+    monkeypatch.undo()
+    assert _contents(store) == {"a.py": "a\n"} and store.backups().isEmpty()
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("data-")]) == 1
+    assert {r.status for r in store.publish(bad, "s1").collect()} == {"ok"}
+
+
+def test_edit_files_gates_and_writes(spark):
+    files = spark.createDataFrame([(p, f, "x\ny\n") for p in "pq" for f in ("a.py", "b.py")], FILE)
+    proposed = lambda path, text: f'<diff file="{path}">-y\n+{text}</diff><proposed_content file="{path}">x\n{text}</proposed_content>'
+    responses = spark.createDataFrame([
+        (1, "p", '[{"file": "a.py", "hunk": ["-y", "+z"], "context_before": ["x"]}]'),
+        (2, "p", proposed("b.py", "first")), (3, "p", proposed("b.py", "second")),
+        (4, "q", '[{"file": "a.py", "hunk": ["-y", "+z"], "context_before": ["x"]}]'),
+        (5, "q", proposed("a.py", "other")), (6, "q", proposed("b.py", "other")),
+    ], "response_id long, project_id string, text string")
+    result = edit_files(responses, files)
+    assert [tuple(r) for r in result.mixed.collect()] == [("q", "a.py")]
+    base = hashlib.sha1(b"x\ny\n").hexdigest()
+    assert {tuple(r) for r in result.writes.collect()} == {("p", "a.py", "x\nz\n", base), ("p", "b.py", "x\nsecond", base)}
