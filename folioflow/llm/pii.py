@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms for personal data.
 
-Values are found by pattern and validated (check digits, octets, calendar, numbers
-that are given out), but card numbers with a wrong check digit are replaced as well, by
-others with a wrong one. Their variable part is read as a number below the count of values of that format, and
-that number is permuted by a keyed Feistel network with cycle walking. Equal
+Values are found by pattern, in ASCII digits, and validated: check digits, issuers'
+first digits, octets, the calendar, numbers that are given out. What fails stays as it
+is. Their variable part is read as a number below the count of values of that format,
+and that number is permuted by a keyed Feistel network with cycle walking; a very long
+part is permuted by a Feistel network over its characters, in linear time. Equal
 values get equal pseudonyms in every document, different values of a format get
 different ones, valid ones stay valid, and the key turns them back.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+# Longer values than this are permuted half by half, and not remembered.
+LONG = 256
 LETTERS = (
     "0123456789",
     "abcdefghijklmnopqrstuvwxyz",
@@ -30,17 +33,22 @@ LETTERS = (
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 )
 PATTERNS = {
-    "email": r"[\w.+%-]*\w@(?:[\w-]+\.)+[^\W\d_]{2,}",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "email": r"(?<![\w.+%-])[\w.+%-]++(?<=\w)@(?:[\w-]+\.)+[^\W\d_]{2,}",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "secret": r"(?<![^\W_])[0-9a-fA-F]{32,}(?![^\W_])",
-    "date": r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w./])(?P<sep>\d{1,2}[./])\d{1,2}[./]\d{4}(?![\w/])",
-    "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\w)|(?<![\w(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<!\w)(?:\d[ -]?){12,18}\d(?!\w)",
+    "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./])(?P<sep>[0-9]{1,2}[./])[0-9]{1,2}[./][0-9]{4}(?![\w/])",
+    "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?!\w)|(?<![\w(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?<!\w)(?:[0-9][ -]?){12,18}[0-9](?!\w)",
 }
+# First digits that issuers of cards have, by the length of the number.
+ISSUERS = re.compile(
+    r"4(?=(?:.{12}|.{15}|.{18})\Z)|5[1-5](?=.{14}\Z)|(?:222[1-9]|22[3-9].|2[3-6]..|27[01].|2720)(?=.{12}\Z)|3[47](?=.{13}\Z)"
+    r"|(?:30[0-5]|3[689])(?=.{11,12}\Z)|35(?=.{14,17}\Z)|(?:6011|64[4-9]|65)(?=.{12,17}\Z)"
+)
 FOUND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS.items()))
-HINT = re.compile(r"[\d@]|[0-9a-fA-F]{32}")
+HINT = re.compile(r"[0-9@]|[0-9a-fA-F]{32}")
 
 
 def feistel(number: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
@@ -49,7 +57,7 @@ def feistel(number: int, size: int, key: bytes, tweak: bytes, back: bool = False
     mask, width = (1 << half) - 1, (half + 7) // 8
 
     def mix(step: int, part: int) -> int:
-        state = hashlib.shake_256(b"%d|%d|" % (len(key), step) + key + b"|%d|" % size + tweak + b"|" + part.to_bytes(width, "big"))
+        state = hashlib.shake_256(b"%d|%d|" % (len(key), step) + key + b"|%x|" % size + tweak + b"|" + part.to_bytes(width, "big"))
         return int.from_bytes(state.digest(width), "big") & mask
 
     while True:  # until the walk is back among the numbers below `size`
@@ -66,6 +74,8 @@ def feistel(number: int, size: int, key: bytes, tweak: bytes, back: bool = False
 
 def permuted(text: str, alphabets: list[str], key: bytes, tweak: str, back: bool = False) -> str:
     """The text with every character replaced by one of its alphabet, all of them together as one number."""
+    if len(text) > LONG:
+        return _permuted_long(text, alphabets, key, tweak.encode(), back)
     number, size = 0, 1
     for c, letters in zip(text, alphabets):
         number, size = number * len(letters) + letters.index(c), size * len(letters)
@@ -79,14 +89,35 @@ def permuted(text: str, alphabets: list[str], key: bytes, tweak: str, back: bool
     return "".join(reversed(out))
 
 
+def _permuted_long(text: str, alphabets: list[str], key: bytes, tweak: bytes, back: bool) -> str:
+    """Like `permuted`, half by half: each character moves within its alphabet by an amount that the key and the other half give."""
+    sizes = [len(letters) for letters in alphabets]
+    places = [letters.index(c) for c, letters in zip(text, alphabets)]
+    middle = len(text) // 2
+    halves = slice(0, middle), slice(middle, len(text))
+    lead = b"%d|" % len(key) + key + b"|%d|" % len(text) + tweak
+    for step in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        own, other = halves[step % 2], halves[1 - step % 2]
+        state = hashlib.shake_256(lead + b"|%d|" % step + bytes(places[other]))
+        count = own.stop - own.start
+        stream = state.digest(4 * count)
+        moves = (int.from_bytes(stream[4 * i : 4 * i + 4], "big") for i in range(count))
+        places[own] = [(p - m if back else p + m) % size for p, m, size in zip(places[own], moves, sizes[own])]
+    return "".join(letters[p] for p, letters in zip(places, alphabets))
+
+
 def _inside(text: str, chosen: Callable[[str], bool], change: Callable[[str], str]) -> str:
     """Change the chosen characters as one string and put them back into their places."""
     new = iter(change("".join(c for c in text if chosen(c))))
     return "".join(next(new) if chosen(c) else c for c in text)
 
 
+def _is_digit(c: str) -> bool:
+    return c in LETTERS[0]
+
+
 def _digits(text: str, key: bytes, tweak: str, back: bool) -> str:
-    return _inside(text, str.isdecimal, lambda d: permuted(d, [LETTERS[0]] * len(d), key, tweak, back))
+    return _inside(text, _is_digit, lambda d: permuted(d, [LETTERS[0]] * len(d), key, tweak, back))
 
 
 def luhn_digit(digits: str) -> str:
@@ -95,17 +126,14 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
-def _card(text: str, key: bytes, back: bool) -> str:
-    def change(digits: str) -> str:
-        if luhn_digit(digits[:-1]) == digits[-1]:
-            body = permuted(digits[:-1], [LETTERS[0]] * (len(digits) - 1), key, "card", back)
-            return body + luhn_digit(body)
-        while True:  # a number with a wrong check digit gets another one
-            digits = permuted(digits, [LETTERS[0]] * len(digits), key, "number", back)
-            if luhn_digit(digits[:-1]) != digits[-1]:
-                return digits
-
-    return _inside(text, str.isdecimal, change)
+def _card(text: str, key: bytes, back: bool) -> str | None:
+    bare = "".join(filter(_is_digit, text))
+    issuer = ISSUERS.match(bare)
+    if issuer is None or luhn_digit(bare[:-1]) != bare[-1]:
+        return None
+    first, rest = issuer.group(), bare[issuer.end() : -1]
+    body = first + permuted(rest, [LETTERS[0]] * len(rest), key, f"card {first}", back)
+    return _inside(text, _is_digit, lambda _: body + luhn_digit(body))
 
 
 def _iban_number(text: str) -> int:
@@ -157,7 +185,7 @@ def _ip(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    if not 7 <= sum(map(str.isdecimal, text)) <= 15:
+    if not 7 <= sum(map(_is_digit, text)) <= 15:
         return None
     code = re.match(r"\+\d{1,3}", text)
     place = code.end() if code else 0
@@ -195,9 +223,13 @@ KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {
 
 
 @lru_cache(maxsize=100_000)
+def _remembered(kind: str, value: str, key: bytes, back: bool) -> str | None:
+    return KINDS[kind](value, key, back)
+
+
 def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
     """The pseudonym of a value, or None if it is no valid value of its kind."""
-    return KINDS[kind](value, key, back)
+    return _remembered(kind, value, key, back) if len(value) <= LONG else KINDS[kind](value, key, back)
 
 
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
@@ -219,8 +251,10 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
 def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """All rows and columns of `docs` with pseudonyms in `text`, and n_values, how many were replaced.
 
-    A null text stays null with no values. Every row is treated by itself, whatever
-    its doc_id; a column n_values that `docs` already has is replaced.
+    A null text stays null with no values, an empty one empty. Every row is treated by
+    itself, whatever its doc_id, so repeated rows stay equal; a column n_values that
+    `docs` already has is replaced. Digits beyond ASCII are text. Time is linear in a
+    text's length.
     """
     rest = [c for c in docs.columns if c != "n_values"]
     at, secret = rest.index("text"), key.encode()

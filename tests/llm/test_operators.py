@@ -268,7 +268,10 @@ def test_warc(spark):
 
 def test_pseudonyms(spark, odd_rows):
     key = b"k"
-    values = ["4111111111111111", "9807915762804490", "und.34@mail7.example.com", "+1 (017) 555-7713", "233.254.104.120", "2024-02-29", "31.12.1999", "DE89370400440532013000"]
+    values = ["4111111111111111", "5500 0055 5555 5559", "und.34@mail7.example.com", "+1 (017) 555-7713", "233.254.104.120", "2024-02-29", "31.12.1999", "DE89370400440532013000"]
+    # A wrong check digit, a time stamp, a book number, no issuer of cards.
+    for value in ("9807915762804490", "1700000000123", "978-3-16-148410-0", "9780306406157", "4111111111111112", "7992739871300005"):
+        assert pii.pseudonymise(f"before {value} after.", key) == (f"before {value} after.", 0)
     for value in values:
         new, count = pii.pseudonymise(f"before {value} after.", key)
         assert count == 1 and value not in new and len(new.split()) == len(f"before {value} after.".split())
