@@ -18,7 +18,7 @@ a heap, and only ids that come T - L times are probed for in the long lists by
 binary search (DivideSkip). As components are wanted, a query passes over sets
 that are connected with it already. Sets that are equal are one.
 
-Groups of more than `block_docs` sets are cut into blocks: blocks are searched on
+Groups of more than `block_docs` sets or `block_shingles` shingles are cut into blocks: blocks are searched on
 their own, then the blocks' components by one set each, and last every set that is
 not in its group's largest component is a query to all blocks of its group.
 """
@@ -41,6 +41,8 @@ from folioflow.session import kept
 
 COUNTERS = 1 << 18
 BLOCK_DOCS = 1000
+# Shingles of a block, on average: a task holds one block's sets and their lists, about 60 bytes a shingle.
+BLOCK_SHINGLES = 1_000_000
 # Weight of a binary search against a step of the merge, for the number of long lists.
 PROBE_WEIGHT = 0.01
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -62,34 +64,39 @@ def overlap_needed(total: int, percent: int) -> int:
 
 
 class Inverted:
-    """Inverted lists of sets, numbered in the order they come."""
-
-    def __init__(self) -> None:
-        self.lists: dict[int, list[int]] = {}
-        self.sizes: list[int] = []
+    """Inverted lists of numbered sets, as slices of one array; sets take part once they are added, in the order of their numbers."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(items) for items in sets], np.int64)
+        ends = np.cumsum(self.sizes)
+        items, lists = np.unique(np.concatenate(sets), return_inverse=True)
+        self.lists = [lists[end - size : end].astype(np.int32) for end, size in zip(ends, self.sizes)]
+        # Entries of a list lie side by side, by number.
+        order = np.argsort(lists, kind="stable")
+        self.entries = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self.starts = np.searchsorted(lists[order], np.arange(len(items)))
+        self.filled = np.zeros(len(items), np.int32)
         self.least = 1 << 62
 
-    def add(self, items: list[int]) -> None:
-        number = len(self.sizes)
-        for item in items:
-            own = self.lists.get(item)
-            if own is None:
-                self.lists[item] = [number]
-            else:
-                own.append(number)
-        self.sizes.append(len(items))
-        self.least = min(self.least, len(items))
-
-    def search(self, items: list[int], percent: int, wanted: Callable[[int], bool]) -> Iterator[int]:
-        """Numbers of the linked sets, those that are `wanted` when they come up."""
-        size = len(items)
+    def add(self, number: int) -> None:
+        self.filled[self.lists[number]] += 1
+        self.least = min(self.least, int(self.sizes[number]))
+
+    def search(self, query: int, percent: int, wanted: Callable[[int], bool]) -> Iterator[int]:
+        """Numbers of the sets linked with set `query`, those that are `wanted` when they come up."""
+        lists = self.lists[query]
+        size = len(lists)
         need = overlap_needed(size + max(self.least, -(-percent * size // 100)), percent)
-        found = [own for item in items if (own := self.lists.get(item)) is not None]
+        lengths = self.filled[lists]
+        found = lists[lengths > 0]
         if len(found) < need:
             return
-        found.sort(key=len)
-        long = min(int(need / (PROBE_WEIGHT * log2(len(found[-1]) + 1) + 1)), need - 1)
-        short, rest = found[: len(found) - long], found[len(found) - long :]
+        found = found[np.argsort(self.filled[found], kind="stable")]
+        starts, lengths = self.starts[found], self.filled[found]
+        long = min(int(need / (PROBE_WEIGHT * log2(int(lengths[-1]) + 1) + 1)), need - 1)
+        cut = len(found) - long
+        short = [self.entries[a : a + n].tolist() for a, n in zip(starts[:cut].tolist(), lengths[:cut].tolist())]
+        rest = [(a, a + n) for a, n in zip(starts[cut:].tolist(), lengths[cut:].tolist())]
         enough = need - long
         last, times = -1, 0
         for number in merge(*short, [1 << 62]):
@@ -100,15 +107,15 @@ class Inverted:
                 yield last
             last, times = number, 1
 
-    def _linked(self, number: int, times: int, size: int, rest: list[list[int]], percent: int) -> bool:
-        need = overlap_needed(size + self.sizes[number], percent)
+    def _linked(self, number: int, times: int, size: int, rest: list[tuple[int, int]], percent: int) -> bool:
+        need = overlap_needed(size + int(self.sizes[number]), percent)
         left = len(rest)
-        for own in rest:
+        for start, end in rest:
             if times >= need or times + left < need:
                 break
             left -= 1
-            at = bisect_left(own, number)
-            times += at < len(own) and own[at] == number
+            at = bisect_left(self.entries, number, start, end)
+            times += at < end and self.entries[at] == number
         return times >= need
 
 
@@ -119,10 +126,9 @@ def search_links(sets: Iterable[tuple[bool, int, int, np.ndarray]], percent: int
     sets before it; sets that aren't queries come first and are only held against.
     A query passes over sets that are connected with it already, and ends when all are.
     """
+    sets = sorted(sets, key=lambda s: (s[0], s[1]))
     links: list[tuple[int, int]] = []
-    index = Inverted()
-    ids: list[int] = []
-    labels: list[int] = []
+    index = Inverted([items for *_, items in sets])
     home: dict[int, int] = {}
     apart = 0  # components in the index
 
@@ -132,21 +138,18 @@ def search_links(sets: Iterable[tuple[bool, int, int, np.ndarray]], percent: int
             label = home[label]
         return label
 
-    for query, doc_id, label, items in sorted(sets, key=lambda s: (s[0], s[1])):
-        listed = items.tolist()
+    for place, (query, doc_id, label, _) in enumerate(sets):
         if label not in home:
             home[label] = label
             apart += 1
         if query and apart > 1:
-            for number in index.search(listed, percent, lambda n: root(labels[n]) != root(label)):
-                links.append((doc_id, ids[number]))
-                home[root(labels[number])] = root(label)
+            for number in index.search(place, percent, lambda n: root(sets[n][2]) != root(label)):
+                links.append((doc_id, sets[number][1]))
+                home[root(sets[number][2])] = root(label)
                 apart -= 1
                 if apart == 1:
                     break
-        index.add(listed)
-        ids.append(doc_id)
-        labels.append(label)
+        index.add(place)
     return links
 
 
@@ -312,8 +315,8 @@ def _members(rows: DataFrame, part: Column, query: Column | bool = True, label:
     return rows.select("group", part.cast("long").alias("part"), query.alias("query"), "doc_id", label.alias("label"))
 
 
-def _large_groups(members: DataFrame, texts: DataFrame, width: int, percent: int, block_docs: int) -> DataFrame:
-    """Links within groups of more than `block_docs` sets; members has (group, doc_id, blocks)."""
+def _large_groups(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within groups of more than a block; members has (group, doc_id, blocks, block_docs)."""
     placed = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     links = kept(_links(_members(placed, F.col("block")), texts, width, percent))
 
@@ -330,14 +333,14 @@ def _large_groups(members: DataFrame, texts: DataFrame, width: int, percent: int
         if count == before or heads.filter("n > 1").isEmpty():
             break
         before = count
-        part = F.pmod(F.xxhash64("doc_id", F.lit(count)), F.ceil(F.col("n") / block_docs))
+        part = F.pmod(F.xxhash64("doc_id", F.lit(count)), F.ceil(F.col("n") / F.col("block_docs")))
         links = kept(links.unionByName(_links(_members(heads.filter("n > 1"), part), texts, width, percent)))
         state = labelled(links)
     sizes = state.groupBy("group", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels"))
     apart = state.join(largest.filter("labels > 1").select("group", F.col("m.label").alias("main")), "group")
     rest = apart.filter("label <> main")
-    counts = rest.groupBy("group").agg(F.ceil(F.count("*") / block_docs).alias("askers"))
+    counts = rest.groupBy("group").agg(F.ceil(F.count("*") / F.first("block_docs")).alias("askers"))
     queries = rest.join(counts, "group").withColumn("asker", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.col("askers")))
     against = apart.join(counts, "group")
     index = against.withColumn("asker", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)))
@@ -348,7 +351,9 @@ def _large_groups(members: DataFrame, texts: DataFrame, width: int, percent: int
     return links.unionByName(_links(both, texts, width, percent))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, width: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable by links.
 
     A-Z are put into lower case; words are runs of anything but the six ASCII
@@ -372,19 +377,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     # Linked sizes differ by less than one step of a scale: sets of a step and the next one meet.
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) * 1.0001)).cast("long")
     met = shared.join(often.select("shingle"), "shingle", "left_semi").join(equal.filter("doc_id = first").select("doc_id"), "doc_id", "left_semi")
-    met = kept(met.select("shingle", F.explode(F.array(step, step - 1)).alias("step"), "doc_id"))
+    met = kept(met.select("shingle", F.explode(F.array(step, step - 1)).alias("step"), "doc_id", "n"))
     heads = met.groupBy("shingle", "step").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("m")).filter("head < m")
     # Whoever shares a shingle shares its smallest document: that one's sharers are a group.
-    groups = met.join(heads, ["shingle", "step"]).select(F.xxhash64("head", "step").alias("group"), "doc_id").distinct()
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block_docs).alias("blocks"))
-    members = kept(groups.join(sizes, "group"))
+    groups = met.join(heads, ["shingle", "step"]).groupBy(F.xxhash64("head", "step").alias("group"), "doc_id").agg(F.max("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles))
+    sizes = groups.groupBy("group").agg(blocks.alias("blocks"), F.count("*").alias("_docs"))
+    sizes = sizes.select("group", "blocks", F.greatest(F.lit(1), F.floor(F.col("_docs") / F.col("blocks"))).alias("block_docs"))
+    members = kept(groups.drop("n").join(sizes, "group"))
 
     bitmaps = sets.filter("kind = 0 and n > 0").select("doc_id", "n", "bitmap")
     small = members.filter("blocks = 1").join(bitmaps, "doc_id").select("group", "doc_id", "n", "bitmap")
     near = small.repartition("group").sortWithinPartitions("group").mapInArrow(_near_rows(percent), "group long, doc_id long")
     links = _links(_members(near, F.lit(0)), rows, width, percent)
     if not members.filter("blocks > 1").isEmpty():
-        links = links.unionByName(_large_groups(members.filter("blocks > 1"), rows, width, percent, block_docs))
+        links = links.unionByName(_large_groups(members.filter("blocks > 1"), rows, width, percent))
     found = components(links).select(F.col("id").alias("first"), "component")
     placed = equal.join(found, "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("component"))
     told = each.join(placed, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -218,8 +218,8 @@ def components(rows, width, percent):
     return collections.Counter((i, len(s), None if i is None else root(i)) for i in sets for s in sets[i])
 
 
-@pytest.mark.parametrize("block_docs", [1000, 5])
-def test_jaccard(spark, odd_rows, block_docs):
+@pytest.mark.parametrize(("block_docs", "block_shingles"), [(1000, 10**6), (5, 10**6), (1000, 300)])
+def test_jaccard(spark, odd_rows, block_docs, block_shingles):
     rnd = random.Random(5)
     base = prose(7, 1, 80)[0].split() * 2
     near = []
@@ -229,7 +229,7 @@ def test_jaccard(spark, odd_rows, block_docs):
             words[rnd.randrange(len(words))] = f"new{i}"
         near.append((100 + i, " ".join(words)))
     rows = odd_rows + near
-    got = jaccard.jaccard_components(docs(spark, rows), 4, 85, block_docs=block_docs).collect()
+    got = jaccard.jaccard_components(docs(spark, rows), 4, 85, block_docs, block_shingles).collect()
     assert collections.Counter(tuple(r) for r in got) == components(rows, 4, 85)
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
