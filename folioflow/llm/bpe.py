@@ -25,6 +25,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folioflow.llm.rows import Remembered
 
+# Stretches of text that a worker remembers, in each of two generations: some 50 MB together.
+REMEMBERED = 200_000
+
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: always the leftmost pair of the lowest rank is merged next.
@@ -98,7 +101,7 @@ class Codec(Remembered):
     """Encodes and decodes with one vocabulary; remembers a bounded number of stretches of text."""
 
     def __init__(self, path: str, pattern: str):
-        super().__init__()
+        super().__init__(REMEMBERED)
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
@@ -120,14 +123,13 @@ class Codec(Remembered):
         """The ids as little-endian 32-bit numbers.
 
         A pre-token begins at every space that something other than white space
-        follows, so a text in which that holds for all spaces is cut at them, and
-        equal stretches are looked up.
+        follows, so a text is cut there, and equal stretches are looked up.
         """
         self.age()
         if not text:
             return b""
         if SPACED.search(text):
-            return b"".join(map(self.__getitem__, self.pieces.findall(text)))
+            return b"".join(map(self.__getitem__, BEFORE_WORDS.split(text)))
         first, *rest = text.split(" ")
         rest = b"".join(map(self.__getitem__, [" " + r for r in rest]))
         return self[first] + rest if first else rest
@@ -136,11 +138,12 @@ class Codec(Remembered):
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-# Texts in which a space is followed by white space, or ends the text, are not cut.
+# Where a space is followed by white space, or ends the text, it begins no pre-token with what follows.
 SPACED = regex.compile(r" (?:\s|\Z)")
+BEFORE_WORDS = regex.compile(r"(?= \S)", regex.V1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
@@ -180,6 +183,23 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.withColumn("data", F.lit(b"")).schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, *passed: str) -> DataFrame:
+    """(doc_id, ids, data) in one pass: every row's token ids, and the bytes that they stand for; rows as in `encode_documents`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *passed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            for part in range(0, batch.num_rows, 500):
+                piece = batch.slice(part, 500)
+                ids = [own.encode(t or "") for t in piece.column(1).to_pylist()]
+                data = [own.decode(np.frombuffer(i, "<u4")) for i in ids]
+                columns = [piece.column(0), pa.array(ids, pa.binary()), *piece.columns[2:], pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", *passed, "data"])
+
+    return rows.mapInArrow(run, _schema(rows.drop("_text"), "ids").add(StructField("data", BinaryType())))
+
+
 def _schema(rows: DataFrame, name: str) -> StructType:
     """The schema of `rows` with a binary column after the first."""
     first, *rest = rows.schema.fields

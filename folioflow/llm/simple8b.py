@@ -10,6 +10,7 @@ block is decoded selector by selector, not word by word.
 
 from __future__ import annotations
 
+import string
 import struct
 import uuid
 from array import array
@@ -34,6 +35,8 @@ ESCAPE = 0
 MAGIC = b"IDS8B\x01"
 BLOCK_IDS = 1 << 16
 END_ID = 1
+# Words that a worker remembers, in each of two generations: some 80 MB together.
+REMEMBERED = 300_000
 
 
 def _chosen(widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,16 +198,29 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 class WordIds(Remembered):
     """Ids of words by the tokenizers library; it is asked once per word, many words at a time.
 
-    The vocabulary's text is put into lower case, cut at white space, and cut again
-    where letters meet a full stop or comma, before anything is merged; so the ids
-    of a text are those of its words one after another, and of "word," those of
-    "word" and ",".
+    The vocabulary's text is composed and put into lower case, cut at white space, and
+    cut again where letters meet a full stop or comma, before anything is merged; so
+    the ids of a text are those of its words one after another, and of "word," those
+    of "word" and ",". Words of ASCII letters are asked for in lower case; others, and
+    those that may hold a special token, as they are.
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        special = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        if any(set(token) & set(string.whitespace) for token in special):
+            raise ValueError("a special token with white space")
+        # A byte that each of them holds; words with none of these bytes hold no special token.
+        self.signs = {max(token.encode(), key=lambda b: not chr(b).isalnum()) for token in special if token}
+
+    def _plain(self, text: bytes) -> bool:
+        return text.isascii() and not any(sign in text for sign in self.signs)
+
+    def _words(self, text: bytes) -> list[bytes]:
+        if self._plain(text):
+            return text.lower().split()
+        return [w.lower() if self._plain(w) else w for w in text.split()]
 
     def _learn(self, words: list[bytes]) -> None:
         found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -212,7 +228,7 @@ class WordIds(Remembered):
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         self.age()
-        cut = [t.lower().split() for t in texts]
+        cut = [self._words(t) for t in texts]
         new = {w for words in cut for w in words if w not in self}
         if new:
             old = self.old

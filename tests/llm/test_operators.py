@@ -54,6 +54,10 @@ def test_bpe_is_the_library(spark, odd_rows):
     got = [(r.doc_id, bytes(r.ids), bytes(r.data)) for r in bpe.decode_documents(encoded, BPE, PATTERN).collect()]
     want = [(i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in odd_rows]
     assert collections.Counter(got) == collections.Counter(want)
+    once = bpe.round_trip(docs(spark, odd_rows), BPE, PATTERN, "words")
+    assert once.columns == ["doc_id", "ids", "words", "data"]
+    assert collections.Counter((r.doc_id, bytes(r.ids), bytes(r.data)) for r in once.collect()) == collections.Counter(want)
+    assert bpe.round_trip(docs(spark, []), BPE, PATTERN).count() == 0
     own = bpe.codec(BPE, PATTERN)
     rnd = random.Random(3)
     for _ in range(2000):
@@ -72,7 +76,10 @@ def test_simple8b_round_trip(values):
 
 def test_id_files(spark, odd_rows):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
+    special = "a <|endoftext|> b|H\u0331ello x|<|ENDOFTEXT|>|x<|endoftext|>, y.|<|endoftext|>.|É e\u0301 E\u0301,|a\u00a0b. C\u2028D|ǅ İ ß. ſ,".replace("|endoftext|", "\0").replace("|ENDOFTEXT|", "\1").split("|")
+    special = [t.replace("\0", "|endoftext|").replace("\1", "|ENDOFTEXT|") for t in special]
+    special += [f"a {token.content} b{token.content}. {token.content.upper()}" for token in library.get_added_tokens_decoder().values()]
+    odd_rows = odd_rows + [(700 + i, t) for i, t in enumerate(special)]
     got = simple8b.read_ids(simple8b.write_ids(docs(spark, odd_rows), WORDS)).collect()
     ids = [np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for _, t in odd_rows]
     want = collections.Counter(zip([i for i, _ in odd_rows], ids))
