@@ -50,7 +50,7 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_ok): ids as little-endian 32-bit numbers, and whether they decode to the text."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, path, pattern, "text"), path, pattern)
+    decoded = bpe.round_trip(docs, path, pattern, "text")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", (F.col("data") == text).alias("decoded_ok"))
 
