@@ -12,6 +12,7 @@ time in proportion to its length (but for a heap inside a bucket).
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -29,9 +30,10 @@ from folioflow.llm.rows import Remembered
 REMEMBERED = 200_000
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int], count: int | None = None) -> list[int]:
     """Ids of one pre-token: always the leftmost pair of the lowest rank is merged next.
 
+    All ranks are below `count`; without it they are taken to have no gaps.
     `low`, `middle` and `top` are the levels of the bitmap (64 ranks, 64 words and
     all blocks); `buckets` are heaps of positions.
     """
@@ -44,8 +46,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     before = list(range(-1, size - 1))
     pair: list[int | None] = [None] * size  # rank of this symbol with the next one
     buckets: dict[int, list[int]] = {}
-    low: dict[int, int] = {}
-    middle: dict[int, int] = {}
+    count = count or len(ranks)
+    low = [0] * (count + 63 >> 6)
+    middle = [0] * (count + 4095 >> 12)
     top = 0
     fresh = [(rank_of(piece[i : i + 2]), i) for i in range(size - 1)]
     while True:
@@ -53,13 +56,14 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             pair[left] = rank
             if rank is None:
                 continue
-            if rank in buckets:
-                heappush(buckets[rank], left)
+            bucket = buckets.get(rank)
+            if bucket:
+                heappush(bucket, left)
             else:
                 buckets[rank] = [left]
                 word, block = rank >> 6, rank >> 12
-                low[word] = low.get(word, 0) | 1 << (rank & 63)
-                middle[block] = middle.get(block, 0) | 1 << (word & 63)
+                low[word] |= 1 << (rank & 63)
+                middle[block] |= 1 << (word & 63)
                 top |= 1 << block
         if not top:
             break
@@ -70,9 +74,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         bits = low[word]
         rank = word << 6 | (bits & -bits).bit_length() - 1
         bucket = buckets[rank]
-        left = heappop(bucket)
+        left = heappop(bucket) if len(bucket) > 1 else bucket.pop()
         if not bucket:
-            del buckets[rank]
             low[word] = bits = bits & bits - 1
             if not bits:
                 middle[block] = bits = middle[block] & middle[block] - 1
@@ -100,10 +103,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec(Remembered):
     """Encodes and decodes with one vocabulary; remembers a bounded number of stretches of text."""
 
-    def __init__(self, path: str, pattern: str):
-        super().__init__(REMEMBERED)
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        super().__init__(remembered)
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.count = max(self.ranks.values(), default=0) + 1
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern)
 
@@ -112,7 +116,7 @@ class Codec(Remembered):
         if value is None:
             pieces = self.pieces.findall(stretch)
             if len(pieces) == 1:
-                value = np.array(merge(stretch.encode(), self.ranks), "<u4").tobytes()
+                value = array("I", merge(stretch.encode(), self.ranks, self.count)).tobytes()
             else:
                 value = b"".join(map(self.__getitem__, pieces))
         if len(stretch) <= 40:
@@ -144,8 +148,8 @@ BEFORE_WORDS = regex.compile(r"(?= \S)", regex.V1)
 
 
 @lru_cache(maxsize=1)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, remembered: int = REMEMBERED) -> Codec:
+    return Codec(path, pattern, remembered)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, *passed: str) -> DataFrame:
@@ -183,12 +187,15 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.withColumn("data", F.lit(b"")).schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, *passed: str) -> DataFrame:
-    """(doc_id, ids, data) in one pass: every row's token ids, and the bytes that they stand for; rows as in `encode_documents`."""
+def round_trip(docs: DataFrame, path: str, pattern: str, *passed: str, remembered: int = REMEMBERED) -> DataFrame:
+    """(doc_id, ids, data) in one pass: every row's token ids, and the bytes that they stand for; rows as in `encode_documents`.
+
+    `remembered` bounds what a worker keeps, some 130 bytes each in two generations; it decides on time only.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, remembered)
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 piece = batch.slice(part, 500)

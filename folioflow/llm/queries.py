@@ -55,7 +55,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), path, pattern).select(
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), path, pattern, remembered=500_000).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

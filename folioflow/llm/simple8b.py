@@ -10,6 +10,7 @@ block is decoded selector by selector, not word by word.
 
 from __future__ import annotations
 
+import os
 import string
 import struct
 import uuid
@@ -35,8 +36,8 @@ ESCAPE = 0
 MAGIC = b"IDS8B\x01"
 BLOCK_IDS = 1 << 16
 END_ID = 1
-# Words that a worker remembers, in each of two generations: some 80 MB together.
-REMEMBERED = 300_000
+# Words that a worker remembers, in each of two generations.
+REMEMBERED = 600_000
 
 
 def _chosen(widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,21 +202,24 @@ class WordIds(Remembered):
     The vocabulary's text is composed and put into lower case, cut at white space, and
     cut again where letters meet a full stop or comma, before anything is merged; so
     the ids of a text are those of its words one after another, and of "word," those
-    of "word" and ",". Words of ASCII letters are asked for in lower case; others, and
-    those that may hold a special token, as they are.
+    of "word" and ",". ASCII letters are put into lower case before words are looked
+    up, but where a special token or a mark that composes with a letter may follow.
     """
 
     def __init__(self, path: str):
         super().__init__(REMEMBERED)
+        # A task has one core; the library's own threads would wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         if any(set(token) & set(string.whitespace) for token in special):
             raise ValueError("a special token with white space")
-        # A byte that each of them holds; words with none of these bytes hold no special token.
-        self.signs = {max(token.encode(), key=lambda b: not chr(b).isalnum()) for token in special if token}
+        # A byte that each of them holds, and the first bytes of marks that compose with an
+        # ASCII letter: words with none of these are the same to the library in lower case.
+        self.signs = {max(token.encode(), key=lambda b: not chr(b).isalnum()) for token in special if token} | {0xCC, 0xCD}
 
     def _plain(self, text: bytes) -> bool:
-        return text.isascii() and not any(sign in text for sign in self.signs)
+        return not any(sign in text for sign in self.signs)
 
     def _words(self, text: bytes) -> list[bytes]:
         if self._plain(text):
@@ -229,7 +233,7 @@ class WordIds(Remembered):
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         self.age()
         cut = [self._words(t) for t in texts]
-        new = {w for words in cut for w in words if w not in self}
+        new = set().union(*cut).difference(self)
         if new:
             old = self.old
             self.update((w, old[w]) for w in new if w in old)
