@@ -243,7 +243,7 @@ def apply_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("summary_lines", f"""{_REPORTS}
 SELECT project_id, CASE status WHEN 'skipped_unmatched' THEN CAST(1 AS BIGINT) WHEN 'skipped_external_change' THEN 2 ELSE 3 END AS section,
-  CASE status WHEN 'skipped_unmatched' THEN 'Skipped due to unmatched hunks:' WHEN 'skipped_external_change' THEN 'Skipped due to external changes:' ELSE 'Skipped due to overlapping hunks:' END AS heading,
+  CASE status WHEN 'skipped_unmatched' THEN 'Left alone, as a hunk has no place:' WHEN 'skipped_external_change' THEN 'Left alone, as others changed the file:' ELSE 'Left alone, as hunks overlap:' END AS heading,
   '- ' || rel_path AS text FROM reports WHERE status <> 'ok'""")
 def summary_lines(spark: SparkSession, folder: str) -> DataFrame:
     return A.summary_lines(_reports(spark, folder))

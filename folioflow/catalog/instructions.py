@@ -36,7 +36,7 @@ SELECT CAST(doc_id AS VARCHAR) AS prompt_id, {_CATEGORY_LIST}[CAST(doc_id % 6 +
   CASE WHEN doc_id % 11 = 5 THEN '' ELSE text END AS custom_text FROM documents
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Output', ['JSON Diff', 'MD Diff', 'Nonsense'][CAST(doc_id % 3 + 1 AS BIGINT)], 1, NULL FROM documents
 UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN 'Objective' ELSE 'Elsewhere' END, 'Split File', 2, NULL FROM documents)"""
-ASKED = f"asked AS (SELECT CAST(doc_id AS VARCHAR) AS prompt_id, {_QUESTION_LIST}[CAST(doc_id % 4 + 1 AS BIGINT)] AS text FROM documents WHERE lang <> 'de')"
+ASKED = f"asked AS (SELECT CAST(doc_id AS VARCHAR) AS prompt_id, CASE WHEN lang <> 'de' THEN {_QUESTION_LIST}[CAST(doc_id % 4 + 1 AS BIGINT)] END AS text FROM documents)"
 
 
 def selection(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,9 +56,10 @@ def selection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:
+    """One question a document, none for German ones."""
     text = F.element_at(F.array(*map(F.lit, [*QUESTIONS, "Is anybody there?"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    return fx.table(spark, folder, "documents").filter("lang <> 'de'").select(
-        F.col("doc_id").cast("string").alias("prompt_id"), text.alias("text")
+    return fx.table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("prompt_id"), F.when(F.col("lang") != "de", text).alias("text")
     )
 
 
@@ -74,7 +75,7 @@ blocks AS (SELECT prompt_id, CAST(cat_pos AS BIGINT) AS pos, '    <' || replace(
     coalesce(string_agg(line, chr(10) ORDER BY sel_pos) || chr(10), '') || '    </' || replace(lower(category), ' ', '_') || '>' AS block
   FROM lines GROUP BY prompt_id, category, cat_pos
   UNION ALL SELECT a.prompt_id, 1000000, '    <questions>' || chr(10) || coalesce(string_agg({indent} || k.text, chr(10) ORDER BY k.pos) || chr(10), '') || '    </questions>'
-  FROM (SELECT DISTINCT prompt_id, text FROM {questions}) a LEFT JOIN questions k USING (text) GROUP BY a.prompt_id),
+  FROM (SELECT DISTINCT prompt_id, text FROM {questions} WHERE text IS NOT NULL) a LEFT JOIN questions k USING (text) GROUP BY a.prompt_id),
 instructions AS (SELECT prompt_id, '<instructions>' || chr(10) || string_agg(block, chr(10) ORDER BY pos) || chr(10) || '</instructions>' AS instructions
   FROM blocks GROUP BY prompt_id)"""
 

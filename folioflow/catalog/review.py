@@ -107,8 +107,8 @@ def change_label(spark: SparkSession, folder: str) -> DataFrame:
 _PREVIEW = f"""WITH {q.HUNKS}, {q.LOCATED},
 placed AS (SELECT *, start + len(cb) AS body FROM located),
 rows AS (SELECT response_id, CASE WHEN start IS NULL THEN
-    [{{'label': 'error-message', 'text': 'Hunk could not be located in the file.'}}, {{'label': 'error-message', 'text': 'The file content might have changed significantly.'}},
-     {{'label': 'error-message', 'text': 'Applying this change is disabled.'}}]
+    [{{'label': 'error-message', 'text': 'No place in the file fits this hunk.'}}, {{'label': 'error-message', 'text': 'The file may hold something else by now.'}},
+     {{'label': 'error-message', 'text': 'The hunk is left out.'}}]
   ELSE list_concat(
     list_transform(L[1:start], lambda x: {{'label': 'file-context', 'text': x}}), list_transform(L[start + 1:body], lambda x: {{'label': 'hunk-context-before', 'text': x}}),
     [{{'label': 'hunk-deleted', 'text': hunk_lines[1][2:]}}, {{'label': 'hunk-added', 'text': hunk_lines[2][2:]}}],
@@ -132,7 +132,7 @@ def hunk_html(spark: SparkSession, folder: str) -> DataFrame:
 
 _DIFF = """CASE WHEN doc_id % 7 = 3 THEN '@@ no newline @@' ELSE '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '@@ -1 +1 @@' || chr(10) || 'python' || chr(10) || '+' || replace(text, chr(10), chr(10) || '-') END"""
 _ROWS = f"""diffs AS (SELECT doc_id AS response_id, CASE WHEN doc_id % 7 = 3 THEN
-    [{{'label': 'error-message', 'text': 'Error: Cannot display diff.'}}, {{'label': 'error-message', 'text': 'Legacy diff text missing newlines.'}}]
+    [{{'label': 'error-message', 'text': 'This diff has no lines to show.'}}, {{'label': 'error-message', 'text': 'Its text marks changes but does not break lines.'}}]
   ELSE list_transform(list_filter(string_split({_DIFF}, chr(10)), lambda l: l <> 'python'), lambda l: {{'label':
     CASE WHEN starts_with(l, '+') AND NOT starts_with(l, '+++') THEN 'diff-add' WHEN starts_with(l, '-') AND NOT starts_with(l, '---') THEN 'diff-del'
       WHEN starts_with(l, '@@') OR starts_with(l, '---') OR starts_with(l, '+++') THEN 'diff-header' ELSE 'diff-context' END, 'text': l}}) END AS rows FROM documents)"""

@@ -279,11 +279,11 @@ def apply_summary(reports: DataFrame) -> DataFrame:
 
 
 SUMMARY_HEADINGS = [
-    ("skipped_unmatched", "Skipped due to unmatched hunks:"),
-    ("skipped_external_change", "Skipped due to external changes:"),
-    ("skipped_overlap", "Skipped due to overlapping hunks:"),
-    ("applied_with_discrepancies", "Applied with discrepancies (Review Recommended):"),
-    ("failed", "Failed files:"),
+    ("skipped_unmatched", "Left alone, as a hunk has no place:"),
+    ("skipped_external_change", "Left alone, as others changed the file:"),
+    ("skipped_overlap", "Left alone, as hunks overlap:"),
+    ("applied_with_discrepancies", "Written, but not as the diff says:"),
+    ("failed", "Not written:"),
 ]
 
 

@@ -86,19 +86,24 @@ def snippet_text(selection: DataFrame, catalogue: DataFrame) -> DataFrame:
     return joined.withColumn("problem", problem).drop("_defined")
 
 
+def _asked(question_selection: DataFrame) -> DataFrame:
+    """Each question once per prompt; a null text stands for a prompt that asks nothing."""
+    return question_selection.filter(F.col("text").isNotNull()).select("prompt_id", "text").distinct()
+
+
 def selected_questions(question_selection: DataFrame, questions: DataFrame) -> DataFrame:
     """Known questions among the selected ones, with their catalogue position."""
-    asked = question_selection.select("prompt_id", "text").distinct()
+    asked = _asked(question_selection)
     return lookup_join(asked, questions, ["text"], "inner", ["prompt_id"])
 
 
 def intersect_known(question_selection: DataFrame, questions: DataFrame) -> DataFrame:
-    asked = question_selection.select("prompt_id", "text").distinct()
+    asked = _asked(question_selection)
     return lookup_join(asked, questions.select("text").distinct(), ["text"], "left_semi", ["prompt_id"])
 
 
 def unknown_questions(question_selection: DataFrame, questions: DataFrame) -> DataFrame:
-    asked = question_selection.select("prompt_id", "text").distinct()
+    asked = _asked(question_selection)
     return lookup_join(asked, questions.select("text").distinct(), ["text"], "left_anti", ["prompt_id"])
 
 
@@ -164,7 +169,7 @@ def build_instructions(
 
 
 def _question_blocks(question_selection: DataFrame, questions: DataFrame) -> DataFrame:
-    asked = question_selection.select("prompt_id", "text").distinct()
+    asked = _asked(question_selection)
     known = lookup_join(asked, questions, ["text"], "left", ["prompt_id"])
     listed = known.groupBy("prompt_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "text")))).alias("_asked")
