@@ -46,26 +46,25 @@ def hunk_offsets(located: DataFrame, max_group_rows: int | None = None) -> DataF
 def overlap_check(located: DataFrame, mode: str = "original", max_group_rows: int | None = None) -> DataFrame:
     """Files whose hunks overlap.
 
-    In `original` coordinates that is a line claimed twice: claims are counted
-    per line, with partial sums before the shuffle. `shifted` compares each
-    hunk's shifted start with the end of the one before.
+    Hunks are put in order of their starts, one row each; if any two overlap, then
+    so do two neighbours. In `original` coordinates a hunk claims the lines it was
+    found at, if any; `shifted` compares where hunks begin and end after the shifts
+    of those before.
     """
+    order = ["first_target_line", *HUNK_ID]
     if mode == "original":
-        length = _block_length()
-        claims = located.filter((F.col("status") == "matched") & (length > 0)).select(
-            *KEY,
-            F.explode(F.sequence(F.col("first_target_line"), F.col("first_target_line") + length - 1)).alias("line"),
-        )
-        return claims.groupBy(*KEY, "line").count().filter("count > 1").select(*KEY).distinct()
-    if mode != "shifted":
+        length = _block_length().cast("long")
+        matched = located.filter((F.col("status") == "matched") & (length > 0))
+        spans = matched.select(*KEY, *order, F.col("first_target_line").alias("_start"), (F.col("first_target_line") + length).alias("_end"))
+    elif mode == "shifted":
+        moved = hunk_offsets(located, max_group_rows)
+        start = F.col("first_target_line") + F.col("shift")
+        spans = moved.select(*KEY, *order, start.alias("_start"), (start + F.col("block_length")).alias("_end"))
+    else:
         raise ValueError(f"unknown overlap mode {mode!r}")
-    moved = hunk_offsets(located, max_group_rows)
-    moved = running_rank(moved, KEY, ["first_target_line", *HUNK_ID], "pos", max_group_rows)
-    start = F.col("first_target_line") + F.col("shift")
-    ends = moved.select(*KEY, (F.col("pos") + 1).alias("pos"), (start + F.col("block_length")).alias("_end"))
-    return moved.select(*KEY, "pos", start.alias("_start")).join(ends, [*KEY, "pos"]).filter(
-        "_start < _end"
-    ).select(*KEY).distinct()
+    ranked = running_rank(spans, KEY, order, "pos", max_group_rows)
+    ends = ranked.select(*KEY, (F.col("pos") + 1).alias("pos"), F.col("_end").alias("_before"))
+    return ranked.select(*KEY, "pos", "_start").join(ends, [*KEY, "pos"]).filter("_start < _before").select(*KEY).distinct()
 
 
 def external_change_check(located: DataFrame, files_now: DataFrame) -> DataFrame:

@@ -460,3 +460,21 @@ def test_edit_files_gates_and_writes(spark):
     assert [tuple(r) for r in result.mixed.collect()] == [("q", "a.py")]
     base = hashlib.sha1(b"x\ny\n").hexdigest()
     assert {tuple(r) for r in result.writes.collect()} == {("p", "a.py", "x\nz\n", base), ("p", "b.py", "x\nsecond", base)}
+
+
+@pytest.mark.parametrize("max_group_rows", [None, 1])
+def test_overlaps_random(spark, max_group_rows):
+    """A line claimed twice, whatever the lengths; empty blocks claim nothing."""
+    rng = random.Random(3)
+    rows, expected = [], set()
+    for f in range(120):
+        claims = [(rng.randrange(60), rng.choice([0, 1, 2, 5, 30])) for _ in range(rng.randrange(1, 6))]
+        rows += [(f, i, "p", f"f{f}", ["-x"] * n, [], [], start, "matched") for i, (start, n) in enumerate(claims)]
+        lines = [line for start, n in claims for line in range(start, start + n)]
+        if len(lines) != len(set(lines)):
+            expected.add(f"f{f}")
+    located = spark.createDataFrame(rows, HUNKS.simpleString()[7:-1] + ", first_target_line:long, status:string")
+    assert {r.rel_path for r in overlap_check(located, max_group_rows=max_group_rows).collect()} == expected
+    huge = spark.sql("SELECT 1L AS response_id, 0 AS hunk_pos, 'p' AS project_id, 'a' AS rel_path, array_repeat('-x', 200000) AS hunk_lines, "
+                     "cast(array() AS array<string>) AS context_before, cast(array() AS array<string>) AS context_after, 0L AS first_target_line, 'matched' AS status")
+    assert overlap_check(huge).isEmpty()
