@@ -6,8 +6,9 @@
 2. Anchors with one run anywhere have no repeat. Runs that are equal byte for byte
    are repeats as wholes. What is left, one text for each different run of an
    anchor, goes to the anchor's task.
-3. The task sorts the suffixes of a bounded number of bytes at once, scans their
-   common prefixes with a stack, which walks the tree of common-prefix intervals,
+3. The task takes a bounded number of bytes at once, leaves out what shares no
+   64-byte gram with the rest, sorts the suffixes of what stays, scans their common
+   prefixes with a stack, which walks the tree of common-prefix intervals,
    and keeps the intervals of 400 bytes or more whose occurrences have different
    bytes before them: the maximal repeats, each with all its occurrences.
 4. Anchors with very many different runs (a hot passage amid many texts) are not
@@ -35,6 +36,9 @@ RUN_STARTS = 2000
 # Bytes of runs whose suffixes are sorted at once; different runs of an anchor that one task compares.
 SORT_BYTES = 1 << 20
 HOT_RUNS = 1000
+# Bytes that the first sort of suffixes looks at; grams that a part of a repeat must share.
+WORD = 7
+SHARED_GRAM = 64
 # Occurrences that leave a task at once.
 OUT_ROWS = 50_000
 
@@ -94,51 +98,108 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_order(data: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The wanted positions in the order of the text from there on, and each one's common prefix with the one before.
 
-    Prefix doubling: ranks of 1, 2, 4, ... bytes are made from those of half as
-    many, until all differ; common prefixes are found by going back through the
-    same ranks. The last number of `data` comes nowhere else in it.
+    Numbers from 256 on end a text; each comes once, the last one at the end of
+    `data`. Ranks of seven bytes come from one sort. Then ranks of twice as many are
+    made from those before, only for places whose rank is not yet theirs alone: a
+    rank is the place of its first holder in the order, so the others keep theirs.
+    Common prefixes are found by going back through the same ranks.
     """
     size = len(data)
-    ranks, reach, different = [data.astype(np.int32)], 1, 0
-    while different < size:
-        after = np.zeros(size, np.int64)
-        after[: max(size - reach, 0)] = ranks[-1][reach:] + 1
-        pairs = ranks[-1].astype(np.int64) * (int(after.max(initial=0)) + 1) + after
-        order = np.argsort(pairs, kind="stable")
-        rank = np.zeros(size, np.int32)
-        pairs = pairs[order]
-        rank[order[1:]] = np.cumsum(pairs[1:] != pairs[:-1])
-        different = int(rank[order[-1]]) + 1
-        ranks.append(rank)
+    padded = np.append(data, np.full(WORD, 256, np.int32))
+    packed = np.zeros(size, np.int64)
+    alive = np.ones(size, bool)
+    for k in range(WORD):
+        symbol = padded[k : k + size]
+        alive &= symbol < 256
+        packed = packed << 9 | np.where(alive, symbol + 1, 0)
+    order = np.argsort(packed, kind="stable")
+    values = packed[order]
+    first = np.ones(size, bool)
+    # A word that runs into an end is like no other.
+    first[1:] = (values[1:] != values[:-1]) | ~alive[order[1:]]
+    rank = np.zeros(size, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(size), 0))
+    ranks, reach = [rank.copy()], WORD
+    at = np.flatnonzero(~(first & np.append(first[1:], True)))
+    while len(at):
+        places = order[at]
+        pairs = rank[places].astype(np.int64) * size + rank[places + reach]
+        by = np.argsort(pairs, kind="stable")
+        places, pairs = places[by], pairs[by]
+        order[at] = places
+        first = np.ones(len(at), bool)
+        first[1:] = pairs[1:] != pairs[:-1]
+        rank[places] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        ranks.append(rank.copy())
         reach *= 2
-    order = wanted[np.argsort(ranks[-1][wanted], kind="stable")]
+        at = at[~(first & np.append(first[1:], True))]
+    order = wanted[np.argsort(rank[wanted])]
     common = np.zeros(len(order), np.int64)
     left, right = order[:-1].copy(), order[1:].copy()
-    # Equal ranks end before the last number, so neither place leaves the text.
+    # Equal ranks end before a text's end, so neither place leaves its text.
     for level in range(len(ranks) - 2, -1, -1):
         same = ranks[level][left] == ranks[level][right]
-        left[same] += 1 << level
-        right[same] += 1 << level
+        left[same] += WORD << level
+        right[same] += WORD << level
+    same = np.ones(len(left), bool)
+    for _ in range(WORD - 1):
+        same &= data[left] == data[right]
+        left += same
+        right += same
     common[1:] = right - order[1:]
     return order, common
 
 
+def shared_stretches(texts: list[np.ndarray], width: int) -> list[tuple[int, int, int]]:
+    """(text, start, end) of the stretches of `width` bytes or more whose every gram of 64 bytes comes twice in the texts.
+
+    Nothing outside them can be part of a repeat; whether they are repeats is not known.
+    """
+    gram = min(SHARED_GRAM, width)
+    # A byte between texts, so that the grams of one text are told from those over its end.
+    data = np.concatenate([np.append(t, np.uint8(0)) for t in texts])
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    hashes = gram_hashes(data, gram)
+    valid = np.ones(len(hashes), bool)
+    for end in (begins[1:] - 1).tolist():
+        valid[max(end - gram + 1, 0) : end + 1] = False
+    places = np.flatnonzero(valid)
+    own = hashes[places]
+    order = np.argsort(own)
+    same = own[order[1:]] == own[order[:-1]]
+    twice = np.zeros(len(hashes) + 1, bool)
+    twice[places[order[1:][same]]] = True
+    twice[places[order[:-1][same]]] = True
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], twice]).astype(np.int8)))
+    starts, ends = turns[::2], turns[1::2] + gram - 1
+    long = ends - starts >= width
+    starts, ends = starts[long], ends[long]
+    owner = np.searchsorted(begins, starts, "right") - 1
+    return list(zip(owner.tolist(), (starts - begins[owner]).tolist(), (ends - begins[owner]).tolist()))
+
+
 def repeat_arrays(runs: list[tuple[bytes, int]], width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, runs, offsets) of the maximal repeats of at least `width` bytes: one by one, as arrays of all occurrences.
 
     `runs` are texts with their number of starts. The byte before a run's first
     start is not known, so a repeat that begins there counts as maximal.
     """
-    # A number of its own ends each text, so that no prefix goes on in the next text.
-    texts = [np.append(np.frombuffer(text, np.uint8).astype(np.int32), 256 + i) for i, (text, _) in enumerate(runs)]
-    data = np.concatenate(texts)
-    begins = np.cumsum([0] + [len(t) for t in texts])
-    wanted = np.concatenate([b + np.arange(starts) for b, (_, starts) in zip(begins, runs)])
-    owner = np.repeat(np.arange(len(runs)), [len(t) for t in texts])
+    texts = [np.frombuffer(text, np.uint8) for text, _ in runs]
+    pieces = shared_stretches(texts, width) if texts else []
+    if not pieces:
+        return
+    # A number of its own ends each stretch, so that no prefix goes on in the next one.
+    data = np.concatenate([np.append(texts[t][start:end].astype(np.int32), 256 + i) for i, (t, start, end) in enumerate(pieces)])
+    begins = np.cumsum([0] + [end - start + 1 for _, start, end in pieces])
+    sizes = [min(end - start - width + 1, max(runs[t][1] - start, 0)) for t, start, end in pieces]
+    wanted = np.concatenate([b + np.arange(n) for b, n in zip(begins, sizes)])
     order, common = suffix_order(data, wanted)
-    owners = owner[order]
-    offsets = order - begins[owners]
-    before = np.where(offsets > 0, data[order - 1].astype(np.int64), -1 - np.arange(len(order)))
+    piece = np.searchsorted(begins, order, "right") - 1
+    owners, shift = (np.array(c, np.int64)[piece] for c in list(zip(*pieces))[:2])
+    offsets = order - begins[piece] + shift
+    joined = np.concatenate(texts)
+    places = np.cumsum([0] + [len(t) for t in texts])[owners] + offsets
+    before = np.where(offsets > 0, joined[places - 1].astype(np.int64), -1 - np.arange(len(order)))
     # Stretches of suffixes that share `width` bytes; each is a sub-tree of the interval tree.
     deep = common >= width
     edges = np.flatnonzero(np.diff(np.concatenate([[False], deep, [False]]).astype(np.int8)))

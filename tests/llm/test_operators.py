@@ -190,6 +190,35 @@ def test_maximal_repeats_are_whole():
         assert got == want
 
 
+def test_suffix_order():
+    rnd = random.Random(9)
+    for round_ in range(60):
+        texts = [[rnd.choice(b"ab") for _ in range(rnd.randrange(0, 40))] * rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 6))]
+        data = np.array([x for i, text in enumerate(texts) for x in (*text, 256 + i)], np.int32)
+        wanted = np.array([i for i in range(len(data)) if data[i] < 256 and (round_ % 2 or rnd.random() < 0.7)], np.int64)
+        order, common = repeats.suffix_order(data, wanted)
+        assert sorted(order.tolist()) == wanted.tolist()
+        for i in range(1, len(order)):
+            one, two = data[order[i - 1] :].tolist(), data[order[i] :].tolist()
+            assert common[i] == next(k for k, (x, y) in enumerate(zip(one, two)) if x != y)
+        # What shares more with a place stands nearer to it, on each side.
+        for i in range(len(order)):
+            shares = [next((k for k, (x, y) in enumerate(zip(data[order[i] :], data[o:])) if x != y), len(data)) for o in order]
+            assert shares[i:] == sorted(shares[i:], reverse=True) and shares[:i] == sorted(shares[:i])
+
+
+def test_shared_stretches_hold_every_repeat():
+    rnd = random.Random(10)
+    fresh = lambda size: bytes(rnd.randrange(97, 123) for _ in range(size))
+    shared = fresh(500)
+    texts = [b"x" + shared[:450], fresh(600), shared[50:] + fresh(10), shared[:399] + b"!", b"", b"short"]
+    found = repeats.shared_stretches([np.frombuffer(t, np.uint8) for t in texts], 400)
+    assert found == [(0, 1, 451), (2, 0, 450)]
+    ((length, places),) = repeats.maximal_repeats([(t, max(len(t) - 399, 0)) for t in texts])
+    assert length == 400 and sorted(places) == [(0, 51), (2, 0)]
+    assert repeats.maximal_repeats([]) == [] and repeats.maximal_repeats([(b"", 0)]) == []
+
+
 def test_long_repeats(spark):
     rnd = random.Random(6)
     fresh = lambda size: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size))
