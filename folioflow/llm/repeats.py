@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.rows import FACTORS, LocalFirsts, mixed, runs_of, signed, utf8, window_minima
@@ -375,6 +375,20 @@ def find_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS, covered: bool = Fals
     return runs, found
 
 
+def _joined_ranges(ranges: Column) -> Column:
+    """Ranges (offset, length) in any order as the few (offset, end) that they cover together."""
+
+    def add(done: Column, one: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        end = one["offset"] + one["length"]
+        longer = F.struct(last["offset"].alias("offset"), F.greatest(last["end"], end).alias("end"))
+        before = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        alone = F.struct(one["offset"].alias("offset"), end.alias("end"))
+        return F.when(last["end"] >= one["offset"], F.concat(before, F.array(longer))).otherwise(F.concat(done, F.array(alone)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<offset:bigint,end:bigint>>"), add)
+
+
 def remove_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each row's UTF-8 bytes without repeated 400-byte strings.
 
@@ -384,10 +398,10 @@ def remove_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     bytes or more nothing stays. Columns other than doc_id and text are not read.
     """
     runs, found = find_repeats(docs, hot_runs, covered=True)
-    ranges = found.groupBy("anchor", "h1", "h2").agg(F.collect_set(F.struct("offset", "length")).alias("ranges"))
-    # Nested and overlapping repeats of a run become its few covered ranges.
+    # Nested and overlapping repeats of a run become its few covered ranges; a run has 2,000 starts at most.
+    ranges = found.groupBy("anchor", "h1", "h2").agg(_joined_ranges(F.collect_set(F.struct("offset", "length"))).alias("ranges"))
     placed = runs.join(ranges, ["anchor", "h1", "h2"]).select("id", "key", "at", F.explode("ranges").alias("r"))
-    spans = placed.select("id", "key", (F.col("at") + F.col("r.offset")).alias("start"), (F.col("at") + F.col("r.offset") + F.col("r.length")).alias("end"))
+    spans = placed.select("id", "key", (F.col("at") + F.col("r.offset")).alias("start"), (F.col("at") + F.col("r.end")).alias("end"))
     spans = spans.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     told = _rows(docs).join(spans, ["id", "key"], "left").select("doc_id", "text", "spans")
     return told.mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
