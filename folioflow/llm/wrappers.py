@@ -12,6 +12,9 @@ The wrapper tells where the main text is: the article or main element if the hos
 has one, else the element into which most varying text falls; text in it that is
 the same on all pages of a host is then furniture, unless all of it is: pages that
 are copies of each other tell nothing.
+
+Elements nested more than MAX_DEPTH deep are no elements of the wrapper: their text
+belongs to the element at that depth, block by block. None of it is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +22,9 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
@@ -48,6 +53,10 @@ FURNITURE = re.compile(
     r"replies|related|recommended|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
+# Headings of an article and pieces of it that only sound like furniture.
+HEADINGS = re.compile(
+    r"(?:^|(?<=\s))(?:(?:article|content|entry|post|story)[_-]+header|(?!ad|promo|recommended|related|sponsor)[\w-]+[_-]story)(?=\s|$)", re.I
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|text|body)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(
@@ -57,6 +66,7 @@ TOKEN = re.compile(
 )
 # Attributes are read one after another, so that nothing in a value is taken for a name.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MAX_DEPTH = 120
 # Rules are sent with every task up to this size; larger ones are joined.
 SENT_BYTES = 16 << 20
 SALTS = 32
@@ -72,7 +82,7 @@ def _label(tag: str, rest: str) -> tuple[str, bool]:
     role = (found.get("role") or "").lower()
     away = bool(
         tag in SKIPPED or role in ROLES or "hidden" in found or found.get("aria-hidden", "") == "true"
-        or (names and tag not in ("html", "body", "article", "main") and FURNITURE.search(names))
+        or (names and tag not in ("html", "body", "article", "main") and FURNITURE.search(HEADINGS.sub("", names)))
     )
     label = ".".join([tag, *sorted(re.sub(r"\d+", "0", names).split())]) + (f"@{role}" if role else "")
     return label, away
@@ -81,31 +91,28 @@ def _label(tag: str, rest: str) -> tuple[str, bool]:
 def parse(page: str) -> list[tuple[str, object]]:
     """A page as events: ("open", (label, furniture)), ("close", None), ("text", decoded text), balanced."""
     events: list[tuple[str, object]] = []
+    # Block elements only: inline ones neither break blocks nor close anything.
     stack: list[str] = []
+    opened: Counter[str] = Counter()
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
-            events.append(("close", None)) if stack.pop() not in INLINE else None
+            opened[stack.pop()] -= 1
+            events.append(("close", None))
 
     def open_(tag: str, rest: str) -> None:
-        shut = CLOSES.get(tag, set()) | (set() if tag in INLINE else {"p"})
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth] in shut:
-                close_to(depth)
-                break
-            if stack[depth] not in INLINE and stack[depth] not in ("p", *shut) or stack[depth] in ("table", "ul", "ol", "dl", "select"):
-                break
         if tag in INLINE:
             if tag == "br":
                 events.append(("text", " "))
-            if tag not in VOID:
-                stack.append(tag)
             return
+        if stack and (stack[-1] == "p" or stack[-1] in CLOSES.get(tag, ())):
+            close_to(len(stack) - 1)
         events.append(("open", _label(tag, rest)))
         if tag in VOID:
             events.append(("close", None))
         else:
             stack.append(tag)
+            opened[tag] += 1
 
     at = 0
     for match in TOKEN.finditer(page):
@@ -117,12 +124,10 @@ def parse(page: str) -> list[tuple[str, object]]:
             continue
         if match["end"] or tag.startswith("/"):
             tag = tag.lstrip("/")
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth] == tag:
-                    close_to(depth)
-                    break
-                if tag in INLINE and stack[depth] not in INLINE:
-                    break
+            if opened[tag]:
+                while stack[-1] != tag:
+                    close_to(len(stack) - 1)
+                close_to(len(stack) - 1)
         else:
             open_(tag, match["rest"] or "")
     if at < len(page):
@@ -175,16 +180,13 @@ def aligned(a: list[dict], b: list[dict], same_page: bool = False) -> list[dict]
     la, lb = [k["l"] for k in a], [k["l"] for k in b]
     if la == lb:
         return [merged(x, y, same_page) if not same_page else _joined(x, y) for x, y in zip(a, b)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
+    longest = CommonRow(la, lb)
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if la[i] == lb[j]:
             out.append(_joined(a[i], b[j]) if same_page else merged(a[i], b[j]))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif longest.without(i, j):
             out.append(a[i])
             i += 1
         else:
@@ -193,6 +195,69 @@ def aligned(a: list[dict], b: list[dict], same_page: bool = False) -> list[dict]
     return folded(out + a[i:] + b[j:])
 
 
+class CommonRow:
+    """Which elements a longest common row can do without, for walks over `a` and `b` in order.
+
+    Of the table of lengths, each line is one integer: a bit is 0 where the line
+    grows. Lines are made from the end of `a`, a word of bits at a time; of every
+    few one is held, and those between are made again when the walk gets there.
+    """
+
+    def __init__(self, a: list[str], b: list[str]):
+        known_a, known_b = set(a), set(b)
+        self._a = [label for label in reversed(a) if label in known_b]
+        kept_b = [label for label in reversed(b) if label in known_a]
+        # How many of the labels that both have come at a place or later.
+        self._left_a, self._left_b = _still(a, known_b), _still(b, known_a)
+        places: dict[str, list[int]] = {}
+        for j, label in enumerate(kept_b):
+            places.setdefault(label, []).append(j)
+        self._where = {label: _bits(at, len(kept_b)) for label, at in places.items()}
+        self._full = (1 << len(kept_b)) - 1
+        self._step = isqrt(len(self._a)) + 1
+        self._held = [self._full]
+        line = self._full
+        for i, label in enumerate(self._a, 1):
+            line = self._next(line, label)
+            if i % self._step == 0:
+                self._held.append(line)
+        self._block, self._lines = -1, []
+
+    def _next(self, line: int, label: str) -> int:
+        hit = line & self._where[label]
+        return (line + hit | line - hit) & self._full
+
+    def _line(self, n: int) -> int:
+        block, at = divmod(n, self._step)
+        if block != self._block:
+            self._block, self._lines = block, [self._held[block]]
+            for label in self._a[block * self._step : (block + 1) * self._step - 1]:
+                self._lines.append(self._next(self._lines[-1], label))
+        return self._lines[at]
+
+    def without(self, i: int, j: int) -> bool:
+        """Whether the rows from `i` and `j` on have a common row as long without element `i`."""
+        n = self._left_a[i]
+        if n == self._left_a[i + 1]:
+            return True
+        mask = (1 << self._left_b[j]) - 1
+        return (self._line(n) & mask).bit_count() == (self._line(n - 1) & mask).bit_count()
+
+
+def _still(labels: list[str], known: set[str]) -> list[int]:
+    left = [0]
+    for label in reversed(labels):
+        left.append(left[-1] + (label in known))
+    return left[::-1]
+
+
+def _bits(places: list[int], size: int) -> int:
+    data = bytearray(size // 8 + 1)
+    for at in places:
+        data[at >> 3] |= 1 << (at & 7)
+    return int.from_bytes(data, "little")
+
+
 def _joined(a: dict, b: dict) -> dict:
     """Elements inside a repeated group: on one page, but not neighbours."""
     return merged(a, b, True) | {"m": a["m"] or b["m"]}
@@ -201,19 +266,30 @@ def _joined(a: dict, b: dict) -> dict:
 def page_wrapper(events: list[tuple[str, object]]) -> dict:
     """The wrapper of one page."""
     root = node("", False)
-    stack = [root]
+    stack: list[tuple[dict, list[str], list[str]]] = [(root, [], [])]
+    # Elements too deep for the wrapper, whether each is furniture.
+    below: list[bool] = []
     for kind, value in events:
         if kind == "open":
-            stack.append(node(*value))
+            if len(stack) > MAX_DEPTH:
+                below.append(bool(value[1]))
+            else:
+                stack.append((node(*value), [], []))
         elif kind == "close":
-            done = stack.pop()
-            done["c"] = len(" ".join(done["t"].split()))
-            done["t"] = _digest(done["t"])
+            if below:
+                below.pop()
+                continue
+            done, own, deep = stack.pop()
+            text = "".join(own)
+            done["c"] = len(" ".join(text.split())) + len(" ".join("".join(deep).split()))
+            done["t"] = _digest(text)
             done["k"] = folded(done["k"])
-            stack[-1]["k"].append(done)
-        else:
-            stack[-1]["t"] += value
-    root["t"], root["k"] = "", folded(root["k"])
+            stack[-1][0]["k"].append(done)
+        elif not below:
+            stack[-1][1].append(value)
+        elif not any(below):
+            stack[-1][2].append(value)
+    root["k"] = folded(root["k"])
     return root
 
 
@@ -295,19 +371,21 @@ def main_text(events: list[tuple[str, object]], rule: dict) -> str | None:
         if kind == "open":
             label, furniture = value
             states.append((inside, away))
-            path.append(label)
             owns.append(([], []))
-            if tuple(path) in take:
-                inside, met = 1, True
+            if len(states) <= MAX_DEPTH:
+                path.append(label)
+                if tuple(path) in take:
+                    inside, met = 1, True
             away += furniture
         else:
             own, at = owns.pop()
-            place = tuple(path)
-            # A constant text goes, the elements inside its element stay.
-            if at and place in places and (place, _digest("".join(own))) in drop:
-                for i in at:
-                    blocks[i] = ""
-            path.pop()
+            if len(states) <= MAX_DEPTH:
+                place = tuple(path)
+                # A constant text goes, the elements inside its element stay.
+                if at and place in places and (place, _digest("".join(own))) in drop:
+                    for i in at:
+                        blocks[i] = ""
+                path.pop()
             inside, away = states.pop()
     flush()
     return "\n".join(filter(None, blocks)) if met else None
@@ -359,7 +437,7 @@ def _rule_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_rules(pages: DataFrame) -> DataFrame:
     """(host, rule): the wrapper's rules of every host, from all of its pages."""
     each = pages.select(_host().alias("host"), "html").mapInArrow(_wrapper_rows, "host string, wrapper string")
-    return each.repartition("host").sortWithinPartitions("host").mapInArrow(_rule_rows, "host string, rule string")
+    return each.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_rule_rows, "host string, rule string")
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,8 +465,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Blocks come in page order, one a line, white space inside as one space. A null
     or empty html gives an empty text; pages with a null or odd url share one
-    wrapper; repeated rows and page_ids are extracted each by itself; other columns
-    are not read.
+    wrapper; repeated rows and page_ids are extracted each by itself; pages may be
+    nested to any depth; other columns are not read.
     """
     found = kept(host_rules(pages))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", _host().alias("host"))

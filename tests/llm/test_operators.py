@@ -378,6 +378,34 @@ def test_hidden_is_an_attribute_of_its_own():
     assert wrappers._label("div", ' data-x="1" CLASS=b2 id="a"/') == ("div.a.b0", False)
 
 
+def test_common_rows():
+    rnd = random.Random(12)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcdef") for _ in range(rnd.randrange(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        row = wrappers.CommonRow(a, b)
+        for i in range(len(a)):
+            assert [row.without(i, j) for j in range(len(b))] == [best[i][j] == best[i + 1][j] for j in range(len(b))]
+
+
+def test_odd_pages():
+    for depth in (100, 1000, 100_000):
+        deep = "<body>" + "<div class=content>" * depth + "One <b>{0}</b><p>Two {0}</p><div class=menu>m<div>n</div></div>Three"
+        assert texts_of(deep.format(i) for i in range(2)) == [f"One {i}\nTwo {i}\nThree" for i in range(2)]
+    many = lambda x: "".join(f"<div id='{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{x}'>{i}</div>" for i in range(15_000))
+    pages = [f"<main>{many(x)}<p>last</main>" for x in "xy"]
+    assert [len(t.split("\n")) for t in texts_of(pages)] == [15_001] * 2
+    assert texts_of(["<main>" + "<b>" * 100_000 + "x" + "<hr>" * 100_000 + "</i>" * 100_000 + "</ul>" * 100_000]) == ["x"]
+
+
+def test_headings_that_sound_like_furniture():
+    page = "<main><div class='entry-header'><h1>Title {0}</h1></div><div class='notice-board-story'>Text {0}</div><div class='related-story'>r</div><div class='site-header'>s</div></main>"
+    assert texts_of(page.format(i) for i in range(4)) == [f"Title {i}\nText {i}" for i in range(4)]
+
+
 def test_long_constant_text_is_furniture():
     notice = "This notice is the same on every page. " * 12
     for tag in ("div class=content", "article", "main"):
