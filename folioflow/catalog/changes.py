@@ -100,7 +100,7 @@ def extract_json_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _paired(kinds: str) -> str:
+def paired(kinds: str) -> str:
     return f"""WITH {q.HUNKS}
 SELECT response_id, project_id, rel_path, {q.strip(_DIFF)} AS diff_text, {q.strip("content || chr(10) || 'last line'")} AS proposed_content,
   CAST(1 AS BIGINT) AS lines_added, CAST(1 AS BIGINT) AS lines_deleted
@@ -112,17 +112,20 @@ def _suggestions(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     return E.Extracted(records).suggestions
 
 
-@query("extract_xml_changes", _paired("2"))
+@query("extract_xml_changes", paired("2"))
 def extract_xml_changes(spark: SparkSession, folder: str) -> DataFrame:
     return _suggestions(spark, folder, "xml")
 
 
-@query("extract_markdown_changes", _paired("3"))
+@query("extract_markdown_changes", paired("3"))
 def extract_markdown_changes(spark: SparkSession, folder: str) -> DataFrame:
     return _suggestions(spark, folder, "markdown")
 
 
-@query("extract_errors", f"WITH {q.HUNKS} SELECT response_id, project_id FROM hunks WHERE response_id % 12 = 10")
+UNREADABLE = f"WITH {q.HUNKS} SELECT response_id, project_id FROM hunks WHERE response_id % 12 = 10"
+
+
+@query("extract_errors", UNREADABLE)
 def extract_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Responses whose XML cannot be read."""
     return E.extract_changes(fx.responses(spark, folder)).errors.select("response_id", "project_id")
@@ -161,15 +164,22 @@ def last_per_path(spark: SparkSession, folder: str) -> DataFrame:
     return E.last_per_path(_pieces(spark, folder))
 
 
-@query("reject_paths", f"""WITH {q.FILES}
+REJECTED = f"""WITH {q.FILES}
 SELECT doc_id AS response_id, project_id, '../' || rel_path AS file, 'outside project root' AS path_problem FROM files
-UNION ALL SELECT doc_id, project_id, '/' || rel_path, 'absolute path' FROM files""")
-def reject_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Three hunks per response, two with a path that leaves the project; those are kept with the reason."""
+UNION ALL SELECT doc_id, project_id, '/' || rel_path, 'absolute path' FROM files"""
+
+
+def leaving_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Three hunks per response, two with a path that leaves the project."""
     path = F.col("rel_path")
     item = [F.struct(p.alias("file"), F.array(F.lit("+x")).alias("hunk")) for p in (path, F.concat(F.lit("../"), path), F.concat(F.lit("/"), path))]
-    rows = fx.files(spark, folder).select(F.col("doc_id").alias("response_id"), "project_id", F.to_json(F.array(*item)).alias("text"))
-    return E.extract_changes(rows).rejects
+    return fx.files(spark, folder).select(F.col("doc_id").alias("response_id"), "project_id", F.to_json(F.array(*item)).alias("text"))
+
+
+@query("reject_paths", REJECTED)
+def reject_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes whose path leaves the project are kept with the reason."""
+    return E.extract_changes(leaving_responses(spark, folder)).rejects
 
 
 @query("union_changes", f"""WITH {q.HUNKS}

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from folioflow.catalog import fixtures as fx
 from folioflow.catalog import sqltext as q
+from folioflow.catalog.changes import REJECTED, UNREADABLE, leaving_responses, paired
 from folioflow.catalog.registry import query
 from folioflow.session import ensure_checkpoint_dir
 from folioflow.sources.tables import read_latest
 from folioflow.streaming import (
-    debounce, debounce_stream, incremental_scan, scan_changes, stream_extract, supersede, supersede_stream,
+    debounce, debounce_stream, incremental_scan, read_extracted, scan_changes, stream_extract, supersede, supersede_stream,
 )
 
 
@@ -114,8 +115,27 @@ def incremental_scan_query(spark: SparkSession, folder: str) -> DataFrame:
 SELECT response_id, project_id, rel_path, array_to_string(hunk_lines, chr(10)) AS body FROM hunks WHERE response_id % 6 IN (0, 1)""")
 def stream_extract_query(spark: SparkSession, folder: str) -> DataFrame:
     """Responses in two micro-batches; the hunks are those of one batch job."""
-    place = _place(spark, "extract")
-    stream = _as_stream(fx.responses(spark, folder), place, 2)
-    stream_extract(stream, f"{place}/out", f"{place}/state").awaitTermination()
-    hunks = spark.read.parquet(f"{place}/out/hunks")
+    hunks = _extracted(fx.responses(spark, folder), "hunks")
     return hunks.select("response_id", "project_id", "rel_path", F.array_join("hunk_lines", "\n").alias("body"))
+
+
+def _extracted(responses: DataFrame, name: str) -> DataFrame:
+    """What a stream over the responses, in two micro-batches, leaves in one of its tables."""
+    place = _place(responses.sparkSession, "extract")
+    stream_extract(_as_stream(responses, place, 2), f"{place}/out", f"{place}/state").awaitTermination()
+    return read_extracted(responses.sparkSession, f"{place}/out", name).drop("batch_id")
+
+
+@query("stream_suggestions", paired("2, 3"))
+def stream_suggestions(spark: SparkSession, folder: str) -> DataFrame:
+    return _extracted(fx.responses(spark, folder), "suggestions")
+
+
+@query("stream_rejects", REJECTED)
+def stream_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    return _extracted(leaving_responses(spark, folder), "rejects")
+
+
+@query("stream_errors", UNREADABLE)
+def stream_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return _extracted(fx.responses(spark, folder), "errors").select("response_id", "project_id")

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from folioflow.functions.paths import backup_path
 from folioflow.functions.text import sha1_content
 from folioflow.operators.selection import KEY
 from folioflow.session import kept
+from folioflow.sources.versionlog import VersionLog
 
 ROWS = "version long, project_id string, rel_path string, backup_path string, content string, sha1 string, kind string"
 FILE, BACKUP = "file", "backup"
@@ -29,49 +29,11 @@ class FileStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _hadoop(self, path: str):
-        return self._jvm.org.apache.hadoop.fs.Path(path)
-
-    # ---- records of versions
+        self._log = VersionLog(spark, f"{self.path}/_versions")
 
     def versions(self) -> dict[int, str]:
         """The data folder of every version; one short record each."""
-        folder = self._hadoop(f"{self.path}/_versions")
-        if not self._fs.exists(folder):
-            return {}
-        found = {}
-        for status in self._fs.listStatus(folder):
-            name = status.getPath().getName()
-            with_end = self._read(status.getPath()) if name.isdigit() else ""
-            # A record that is still being written has no line end yet.
-            if with_end.endswith("\n"):
-                found[int(name)] = with_end.strip()
-        return dict(sorted(found.items()))
-
-    def _read(self, path) -> str:
-        stream = self._fs.open(path)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _record(self, version: int, folder: str) -> bool:
-        """Make the record of a version; False if there is one already."""
-        path = self._hadoop(f"{self.path}/_versions/{version:012d}")
-        try:
-            stream = self._fs.create(path, False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" in error.java_exception.getClass().getName():
-                return False
-            raise
-        try:
-            stream.write(f"{folder}\n".encode())
-        finally:
-            stream.close()
-        return True
+        return self._log.all()
 
     # ---- reading
 
@@ -133,8 +95,8 @@ class FileStore:
         done = False
         try:
             new.unionByName(saved).write.parquet(f"{self.path}/{folder}")
-            done = self._record(version, folder)
+            done = self._log.add(version, folder)
         finally:
             if not done:
-                self._fs.delete(self._hadoop(f"{self.path}/{folder}"), True)
+                self._log.fs.delete(self._log.hadoop(f"{self.path}/{folder}"), True)
         return done

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,10 @@ from folioflow.operators.extraction import extract_changes
 from folioflow.operators.selection import KEY
 from folioflow.session import kept
 from folioflow.sources.tables import read_latest, snapshot
+from folioflow.sources.versionlog import VersionLog
+
+EXTRACTED = ("hunks", "suggestions", "rejects", "errors")
+EPOCHS = "_epochs"
 
 
 def debounce_stream(events: DataFrame, key: str, ts: str, payload: str, gap: str, lateness: str | None = None) -> DataFrame:
@@ -87,18 +92,47 @@ def incremental_scan(versions: DataFrame, path: str, checkpoint: str, ts: str =
 
 
 def stream_extract(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Extract changes from each micro-batch of responses into `path`/hunks and `path`/suggestions."""
+    """Extract changes from each micro-batch of responses into the tables EXTRACTED under `path`.
+
+    A batch's record is made after all of its tables are written, and only what has
+    a record is read (`read_extracted`): hunks, suggestions, rejects and errors of a
+    batch become visible together. A replay replaces a batch without a record, and
+    leaves one with a record alone. One stream may write to a path; a batch that
+    a stream with another checkpoint has written is an error.
+    """
+    epochs = VersionLog(responses.sparkSession, f"{path}/{EPOCHS}")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
+        known = epochs.line(batch_id)
+        if known is not None:
+            if json.loads(known)["checkpoint"] != checkpoint:
+                raise ValueError(f"another stream has written batch {batch_id} of {path}")
+            return
         found = extract_changes(batch, keep=kept)
-        for name, rows in [("hunks", found.hunks), ("suggestions", found.suggestions)]:
-            rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("batch_id").parquet(f"{path}/{name}")
+        schemas = {}
+        for name in EXTRACTED:
+            rows = getattr(found, name).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            schemas[name] = rows.schema.jsonValue()
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
+        epochs.put(batch_id, json.dumps({"checkpoint": checkpoint, "schemas": schemas}))
 
     return responses.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_extracted(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the tables EXTRACTED that `stream_extract` writes: whole batches only, with their `batch_id`.
+
+    Batches are written one after another, so those up to the last record are whole.
+    A table without rows is empty; a path without any record is an error.
+    """
+    epochs = VersionLog(spark, f"{path}/{EPOCHS}")
+    last = epochs.last()
+    if last is None:
+        raise ValueError(f"no batch of {path} is whole yet")
+    schema = T.StructType.fromJson(json.loads(epochs.line(last))["schemas"][name])
+    return spark.read.schema(schema).parquet(f"{path}/{name}").filter(F.col("batch_id") <= last)
+
+
 def supersede(results: DataFrame, key: Sequence[str], generation: str, payload: str) -> DataFrame:
     """The result of the newest task per key; results of replaced tasks are ignored."""
     newest = results.groupBy(*key).agg(F.max(F.struct(generation, payload)).alias("_newest"))

@@ -7,6 +7,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from folioflow import build_prompts
@@ -16,7 +17,7 @@ from folioflow.operators.context import read_files
 from folioflow.operators.related import connected_groups, related_files
 from folioflow.sources import providers, tables
 from folioflow.sources.filetree import register_filetree
-from folioflow.streaming import debounce, debounce_stream, incremental_scan, stream_extract, supersede_stream
+from folioflow.streaming import debounce, debounce_stream, incremental_scan, read_extracted, stream_extract, supersede_stream
 
 
 def plan_of(df) -> str:
@@ -354,3 +355,38 @@ def test_stream_extract_equals_batch(spark, folder, tmp_path):
     for name, expected in [("hunks", found.hunks), ("suggestions", found.suggestions)]:
         got = spark.read.parquet(str(tmp_path / "out" / name)).select(*expected.columns)
         assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
+
+
+def test_stream_extract_shows_whole_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    shape = "response_id long, project_id string, text string"
+
+    def run(*rows, checkpoint="cp"):
+        if rows:
+            spark.createDataFrame(rows, shape).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(shape).parquet(source)
+        stream_extract(stream, out, str(tmp_path / checkpoint)).awaitTermination(300)
+
+    def counts():
+        return [read_extracted(spark, out, name).count() for name in ("hunks", "suggestions", "rejects", "errors")]
+
+    with pytest.raises(ValueError, match="whole yet"):
+        counts()
+    run((1, "p", '[{"file":"a.py","hunk":["+x"]},{"file":"../b.py","hunk":["+x"]}]'))
+    assert counts() == [1, 0, 1, 0]
+    run((2, "p", '<diff file="a.py">'), (3, "p", '[{"file":"c.py","hunk":["+y"]}]'))
+    assert counts() == [2, 0, 1, 1]
+    # A batch that lost its record half-way is not seen; its replay, with the rows left, is.
+    record = tmp_path / "out" / "_epochs" / "000000000001"
+    line = record.read_text()
+    record.write_text(line[:10])
+    (tmp_path / "out" / "_epochs" / ".000000000001.crc").unlink(missing_ok=True)
+    assert counts() == [1, 0, 1, 0]
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert record.read_text() == line and counts() == [2, 0, 1, 1]
+    # A stream that starts anew must not write over it.
+    with pytest.raises(StreamingQueryException, match="another stream"):
+        run(checkpoint="other")
+    assert counts() == [2, 0, 1, 1]
