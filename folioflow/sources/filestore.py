@@ -35,6 +35,10 @@ class FileStore:
         """The data folder of every version; one short record each."""
         return self._log.all()
 
+    def _record(self, version: int, folder: str) -> bool:
+        """Make the record of a version; False if there is one already."""
+        return self._log.add(version, folder)
+
     # ---- reading
 
     def _rows(self, kind: str, upto: int | None = None) -> DataFrame:
@@ -95,7 +99,7 @@ class FileStore:
         done = False
         try:
             new.unionByName(saved).write.parquet(f"{self.path}/{folder}")
-            done = self._log.add(version, folder)
+            done = self._record(version, folder)
         finally:
             if not done:
                 self._log.fs.delete(self._log.hadoop(f"{self.path}/{folder}"), True)
