@@ -148,6 +148,35 @@ def test_index_asks_for_few_lines(spark):
     assert [r._levels for r in index.select("_levels").collect()] == [[3]]
 
 
+def test_equal_hunks_are_one_question(spark):
+    """Hunks that ask the same of a file of equal lines meet its places once, not once each."""
+    from folioflow.functions.hunks import original_lines
+    from folioflow.operators import lineindex
+
+    f = spark.createDataFrame([("p", "big.py", "same\n" * 300)], FILE)
+    rows = [(r, 0, "p", "big.py", ["-same", "+other"], ["same"], []) for r in range(400)]
+    hunks = spark.createDataFrame(rows, HUNKS)
+    asked = lineindex.described(hunks, original_lines(F.col("context_before"), F.col("hunk_lines"), F.col("context_after")))
+    assert [r._rows for r in asked.collect()] == [400]
+    assert lineindex.places(asked, lineindex.file_index(f, asked)).count() == 299
+    located = locate_hunks(hunks, f)
+    assert [(r.status, r.n_best) for r in located.collect()] == [("unmatched", 299)] * 400
+
+
+def test_many_pieces_sought_in_one_file(spark, monkeypatch):
+    """Few strings are sought in the lines one by one, many are listed: the same lines are found."""
+    from folioflow.operators import lineindex
+
+    lines = [f"value {i % 7} of {i}" for i in range(60)]
+    f = spark.createDataFrame([("p", "a.py", "\n".join(lines))], FILE)
+    probes = [f"of {i}" for i in range(0, 60, 3)] + ["v", "nowhere"]
+    pieces = spark.createDataFrame([(i, "p", "a.py", x) for i, x in enumerate(probes)], "_id int, project_id string, rel_path string, _probe string")
+    expected = {(i, n) for i, x in enumerate(probes) for n, line in enumerate(lines) if x in line}
+    for few in (0, 1000):
+        monkeypatch.setattr(lineindex, "FEW_GRAMS", few)
+        assert {(r._id, r.line) for r in lineindex.piece_places(pieces, f).collect()} == expected
+
+
 @pytest.mark.parametrize("chunk_lines", [1, 4, 1024])
 def test_pieces_random(spark, monkeypatch, chunk_lines):
     """Many hunks on each file, insertions at one place and at the ends among them, over chunks of any size."""
