@@ -23,10 +23,17 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _as_stream(df: DataFrame, place: str, files: int = 1) -> DataFrame:
-    """The rows as a stream of files, one file a micro-batch."""
-    df.repartition(files).write.parquet(f"{place}/in")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+def _as_stream(df: DataFrame, place: str, batches: int = 1) -> DataFrame:
+    """The rows as a stream of files in so many micro-batches; no task writes or reads more than a file of bounded size."""
+    spark, path = df.sparkSession, f"{place}/in"
+    df.hint("rebalance").write.parquet(path)
+    count = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    if count < batches:
+        # All of it is less than a few of those files.
+        path = f"{place}/parted"
+        spark.read.schema(df.schema).parquet(f"{place}/in").repartition(batches).write.parquet(path)
+        count = batches
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-count // batches)).parquet(path)
 
 
 def _finish(stream: DataFrame, place: str, mode: str) -> DataFrame:

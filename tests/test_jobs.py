@@ -390,3 +390,21 @@ def test_stream_extract_shows_whole_batches(spark, tmp_path):
     with pytest.raises(StreamingQueryException, match="another stream"):
         run(checkpoint="other")
     assert counts() == [2, 0, 1, 1]
+
+
+def test_stream_files_are_bounded(spark, tmp_path):
+    """A micro-batch of a stream over a table is many files, if the table is large, and the batches stay as many as asked for."""
+    from folioflow.catalog.events import _as_stream
+
+    rows = spark.range(40_000).selectExpr("id", "sha2(string(id), 256) AS text")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        stream = _as_stream(rows, f"{tmp_path}/a", 2)
+        assert len(list((tmp_path / "a" / "in").glob("*.parquet"))) > 2
+        for name, source in (("a", stream), ("b", _as_stream(spark.range(10), f"{tmp_path}/b", 2))):
+            seen = []
+            query = source.writeStream.foreachBatch(lambda batch, n: seen.append(batch.count())).option("checkpointLocation", f"{tmp_path}/{name}/state")
+            query.trigger(availableNow=True).start().awaitTermination()
+            assert len(seen) == 2 and sum(seen) == (40_000 if name == "a" else 10)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
