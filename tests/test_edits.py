@@ -163,6 +163,26 @@ def test_equal_hunks_are_one_question(spark):
     assert [(r.status, r.n_best) for r in located.collect()] == [("unmatched", 299)] * 400
 
 
+def test_index_holds_no_text(spark):
+    """Questions and index are made of hashes: neither the lines of hunks nor those of files are stored or shuffled for them."""
+    import os
+    from urllib.parse import urlparse
+
+    from folioflow.functions.hunks import original_lines
+    from folioflow.operators import lineindex
+
+    rng = random.Random(3)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)) for _ in range(20)]
+    f = spark.createDataFrame([("p", "a.py", "\n".join(lines))], FILE)
+    rows = [(1, i, "p", "a.py", ["-" + lines[i], "+new"], lines[i - 1 : i], []) for i in range(1, 20)]
+    hunks = spark.createDataFrame(rows, HUNKS)
+    asked = lineindex.described(hunks, original_lines(F.col("context_before"), F.col("hunk_lines"), F.col("context_after")))
+    index = lineindex.file_index(f, asked)
+    stored = sum(os.path.getsize(urlparse(path).path) for df in (asked, index) for path in df.inputFiles())
+    assert stored < sum(map(len, lines)) / 10
+    assert {r.hunk_pos: r.first_target_line for r in locate_hunks(hunks, f).collect()} == {i: i - 1 for i in range(1, 20)}
+
+
 def test_many_pieces_sought_in_one_file(spark, monkeypatch):
     """Few strings are sought in the lines one by one, many are listed: the same lines are found."""
     from folioflow.operators import lineindex
