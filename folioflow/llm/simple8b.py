@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -38,6 +39,8 @@ BLOCK_IDS = 1 << 16
 END_ID = 1
 # Words that a worker remembers, in each of two generations.
 REMEMBERED = 600_000
+# Texts of about so many bytes are encoded together.
+PIECE_BYTES = 1 << 21
 
 
 def _chosen(widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +217,7 @@ class WordIds(Remembered):
         special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         if any(set(token) & set(string.whitespace) for token in special):
             raise ValueError("a special token with white space")
+        self.direct = not any(token.isascii() and token.isalpha() for token in special)
         # A byte that each of them holds, and the first bytes of marks that compose with an
         # ASCII letter: words with none of these are the same to the library in lower case.
         self.signs = {max(token.encode(), key=lambda b: not chr(b).isalnum()) for token in special if token} | {0xCC, 0xCD}
@@ -221,29 +225,53 @@ class WordIds(Remembered):
     def _plain(self, text: bytes) -> bool:
         return not any(sign in text for sign in self.signs)
 
-    def _words(self, text: bytes) -> list[bytes]:
+    def _lowered(self, text: bytes) -> bytes:
         if self._plain(text):
-            return text.lower().split()
-        return [w.lower() if self._plain(w) else w for w in text.split()]
+            return text.lower()
+        return b" ".join(w.lower() if self._plain(w) else w for w in text.split())
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.update(zip(words, (array("I", e.ids).tobytes() for e in found)))
+        # Words of ASCII letters are one piece each, of which the library's model can be asked without the steps before.
+        if self.direct:
+            merge = self.library.model.tokenize
+            self.update((w, array("I", [t.id for t in merge(w.decode())]).tobytes()) for w in words if w.isalpha() and w.islower())
+            words = [w for w in words if w not in self]
+        # One call for all others, each a text of its own; a token says which word it is of.
+        found = self.library.encode_batch([[w.decode() for w in words]], is_pretokenized=True, add_special_tokens=False)[0]
+        ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))).tolist()
+        data = array("I", found.ids).tobytes()
+        self.update(zip(words, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+
+    def _know(self, words: list[bytes]) -> None:
+        new = [w for w in words if w not in self]
+        if not new:
+            return
+        old = self.old
+        self.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old]
+        marked = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
+        ask = list({w[:-1] for w in marked if w[:-1] not in self} | {b".", b","} | set(new).difference(marked))
+        for at in range(0, len(ask), 4096):
+            self._learn(ask[at : at + 4096])
+        self.update((w, self[w[:-1]] + self[w[-1:]]) for w in marked)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. Texts are cut, and their different words found, by Arrow; only those are looked up."""
         self.age()
-        cut = [self._words(t) for t in texts]
-        new = set().union(*cut).difference(self)
-        if new:
-            old = self.old
-            self.update((w, old[w]) for w in new if w in old)
-            new = [w for w in new if w not in old]
-            marked = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
-            ask = list({w[:-1] for w in marked if w[:-1] not in self} | {b".", b","} | set(new).difference(marked))
-            for at in range(0, len(ask), 4096):
-                self._learn(ask[at : at + 4096])
-            self.update((w, self[w[:-1]] + self[w[-1:]]) for w in marked)
-        return [np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4") for words in cut]
+        lowered = pa.array(map(self._lowered, texts), pa.large_binary())
+        cut = pc.ascii_split_whitespace(lowered.view(pa.large_string()))
+        words = cut.values.view(pa.large_binary()).dictionary_encode()
+        # White space at an end gives a word of no bytes, and that no ids.
+        known = words.dictionary.to_pylist()
+        self[b""] = b""
+        self._know(known)
+        ids = pa.array(map(self.__getitem__, known), pa.large_binary()).take(words.indices)
+        _, places, data = ids.buffers()
+        if data is None or not len(ids):
+            return [np.zeros(0, "<u4") for _ in texts]
+        ends = np.frombuffer(places, "<i8", len(ids) + 1)[np.asarray(cut.offsets)] // 4
+        flat = np.frombuffer(data, "<u4", ends[-1])
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -271,8 +299,10 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
             file = IdFile(sink)
             for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    rows = batch.slice(at, 200)
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PIECE_BYTES)) + 1
+                for at, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                    rows = batch.slice(at, stop - at)
                     encoded = own.encode(utf8(rows.column(1)))
                     for doc_id, ids in zip(rows.column(0).to_pylist(), encoded):
                         file.add(doc_id, np.append(ids, end))
