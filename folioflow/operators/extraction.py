@@ -6,7 +6,7 @@ import json
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,8 +47,20 @@ def json_segment(text: Column) -> Column:
     return F.when(text.rlike(FENCED_JSON), strip(F.regexp_extract(text, FENCED_JSON, 1))).otherwise(whole)
 
 
-@F.pandas_udf(T.StringType())
-def _reprint_json(texts: pd.Series) -> pd.Series:
+# Rows of a batch that are Python objects at a time.
+ROWS_AT_ONCE = 100
+
+
+def _by_rows(texts: pa.Array, read: Callable[[str | None], object], type_: pa.DataType) -> pa.Array:
+    """`read` of each text. Texts and results are Arrow arrays but for a few rows, so a worker needs little memory beside the batch."""
+    parts = [
+        pa.array([read(t) for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()], type_) for at in range(0, len(texts), ROWS_AT_ONCE)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], type_)
+
+
+@F.arrow_udf(T.StringType())
+def _reprint_json(texts: pa.Array) -> pa.Array:
     """JSON that only a lenient reader accepts, printed plainly; null if unreadable.
 
     The last of repeated keys wins, numbers that aren't finite become null, and
@@ -66,7 +78,7 @@ def _reprint_json(texts: pd.Series) -> pd.Series:
         except (ValueError, RecursionError):
             return None
 
-    return texts.map(reprint)
+    return _by_rows(texts, reprint, pa.string())
 
 
 _ITEM_TYPE = (
@@ -154,11 +166,14 @@ def detect_format(text: Column) -> Column:
     return F.when(looks_like_json(text), "json").otherwise(legacy_format(text))
 
 
-def with_format(responses: DataFrame) -> DataFrame:
-    """Adds `format` and the JSON `items`; JSON without a valid item falls through to the older formats."""
+def with_format(responses: DataFrame, beside: dict[str, Column] | None = None) -> DataFrame:
+    """Adds `format` and the JSON `items`; JSON without a valid item falls through to the older formats.
+
+    Columns `beside` are made where the lenient reader runs: what they need of Python is the same worker.
+    """
     segment = F.when(looks_like_json(F.col("text")), json_segment(F.col("text")))
     parsed = responses.withColumn("_segment", once(segment)).withColumn("_strict", once(F.try_parse_json("_segment")))
-    parsed = parsed.withColumn("_reprinted", _reprint_json(F.when(F.col("_strict").isNull(), F.col("_segment"))))
+    parsed = parsed.withColumns({"_reprinted": _reprint_json(F.when(F.col("_strict").isNull(), F.col("_segment"))), **(beside or {})})
     items = json_items(F.coalesce(F.col("_strict"), F.try_parse_json("_reprinted")))
     return parsed.withColumn("items", once(items)).withColumn(
         "format", F.when(F.size("items") > 0, "json").otherwise(legacy_format(F.col("text")))
@@ -168,26 +183,31 @@ def with_format(responses: DataFrame) -> DataFrame:
 _PIECES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "file", "body")]))
 
 
-@F.pandas_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("pieces", _PIECES)]))
-def _xml_pieces(texts: pd.Series) -> pd.DataFrame:
+_XML_ARROW = pa.struct([
+    ("error", pa.string()), ("pieces", pa.list_(pa.struct([(n, pa.string()) for n in ("kind", "file", "body")])))
+])
+
+
+@F.arrow_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("pieces", _PIECES)]))
+def _xml_pieces(texts: pa.Array) -> pa.Array:
     """Tagged bodies of an XML response, in document order, or the parse error."""
 
-    def read(text: str | None) -> tuple[str | None, list[dict]]:
+    def read(text: str | None) -> dict:
         if text is None:
-            return None, []
+            return {"error": None, "pieces": []}
         try:
             root = ET.fromstring(f"<root>{text}</root>")
         except ET.ParseError as error:
-            return str(error), []
+            return {"error": str(error), "pieces": []}
         tags = {"diff": "diff", "proposed_content": "proposed"}
-        return None, [
+        pieces = [
             {"kind": tags[e.tag], "file": e.get("file"), "body": (e.text or "").strip()}
             for e in root.iter()
             if e.tag in tags and e.get("file")
         ]
+        return {"error": None, "pieces": pieces}
 
-    rows = [read(t) for t in texts]
-    return pd.DataFrame({"error": [r[0] for r in rows], "pieces": [r[1] for r in rows]})
+    return _by_rows(texts, read, _XML_ARROW)
 
 
 def markdown_pieces(text: Column) -> Column:
@@ -271,13 +291,15 @@ def change_records(responses: DataFrame) -> DataFrame:
     place in the response, its safe `rel_path`, and `path_problem` if the path
     leaves the project.
     """
-    read = with_format(live_responses(responses))
-    read = read.withColumn("_xml", _xml_pieces(F.when(F.col("format") == "xml", F.col("text"))))
-    pieces = F.when(F.col("format") == "xml", F.col("_xml.pieces")).when(
+    # Whatever may turn out to be XML is read as such, before its JSON is known to hold no items.
+    maybe = _xml_pieces(F.when(legacy_format(F.col("text")) == "xml", F.col("text")))
+    read = with_format(live_responses(responses), {"_xml": maybe})
+    is_xml = F.col("format") == "xml"
+    pieces = F.when(is_xml, F.col("_xml.pieces")).when(
         F.col("format") == "markdown", markdown_pieces(F.col("text"))
     )
     named = F.filter(pieces, lambda p: p["file"] != "")
-    error = F.when(F.col("_xml.error").isNotNull(), F.array(_record("error", F.lit(None).cast("string"), body=F.col("_xml.error"))))
+    error = F.when(is_xml & F.col("_xml.error").isNotNull(), F.array(_record("error", F.lit(None).cast("string"), body=F.col("_xml.error"))))
     numbered_items = F.flatten(F.transform(
         F.col("items"),
         lambda item, i: F.transform(_item_records(item), lambda r: F.struct(i.alias("pos"), r.alias("record"))),

@@ -400,6 +400,21 @@ def test_json_diff_and_content(spark):
     assert (got.rel_path, got.diff_text, got.proposed_content, got.lines_added, got.lines_deleted) == ("a.py", "-x\n+y", "y\n", 1, 1)
 
 
+def test_responses_need_one_worker(spark):
+    """JSON and XML are read in one Python worker per task, and XML inside of JSON is neither a change nor an error."""
+    xml = '<diff file="a.py">+x</diff>'
+    texts = [
+        '[{"file":"a.py","hunk":["+<diff file=never closed"]}]', '{"file":"a.py","hunk":["+<diff file="],"n":NaN}',
+        xml, '<diff file="a.py">never closed', "{" + xml + "}", None, *[f"{xml}{i}" for i in range(300)],
+    ]
+    rows = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "response_id long, project_id string, text string").coalesce(1)
+    found = extract_changes(rows)
+    kinds = {r.response_id: r.kind for r in found.records.collect()}
+    assert kinds == {0: "hunk", 1: "hunk", 2: "diff", 3: "error", 4: "diff", **{i: "diff" for i in range(6, 306)}}
+    plan = found.errors._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_xml_and_markdown_pairing(spark):
     xml = (
         '<wrap><diff file="a.py"> -x </diff><diff file="a.py">-y</diff><proposed_content file="a.py">old</proposed_content></wrap>'
