@@ -15,7 +15,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +28,58 @@ from folioflow.llm.rows import Remembered
 
 # Stretches of text that a worker remembers, in each of two generations: some 50 MB together.
 REMEMBERED = 200_000
+# Characters of pre-tokens that share a queue.
+MERGED_AT_ONCE = 1 << 16
+
+
+def no_ranks(count: int) -> tuple[list[int], list[int]]:
+    """The two lower levels of an empty bitmap of `count` ranks."""
+    return [0] * (count + 63 >> 6), [0] * (count + 4095 >> 12)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], count: int | None = None) -> list[int]:
-    """Ids of one pre-token: always the leftmost pair of the lowest rank is merged next.
+    """Ids of one pre-token: always the leftmost pair of the lowest rank is merged next."""
+    return np.frombuffer(merge_all([piece], ranks, no_ranks(count or len(ranks)))[0], "<u4").tolist()
+
 
-    All ranks are below `count`; without it they are taken to have no gaps.
-    `low`, `middle` and `top` are the levels of the bitmap (64 ranks, 64 words and
-    all blocks); `buckets` are heaps of positions.
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int], levels: tuple[list[int], list[int]]) -> list[bytes]:
+    """Ids of many pre-tokens as 32-bit numbers; in each always the leftmost pair of the lowest rank is merged next.
+
+    Pre-tokens stand one after another with a gap between, and share one queue:
+    all pairs of the lowest rank are merged from left to right, until a pair of a
+    lower rank turns up. `low`, `middle` and `top` are the levels of the bitmap (64
+    ranks, 64 words and all blocks); `buckets` hold positions. The bitmap is empty
+    at the end, so `levels`, made by `no_ranks`, serve one call after another.
     """
     rank_of = ranks.get
-    whole = rank_of(piece)
-    if whole is not None:
-        return [whole]
-    size = len(piece)
-    end = list(range(1, size + 1))  # of the symbol that starts here
+    text = b"\0".join(pieces) + b"\0"
+    size = len(text)
+    end = list(range(1, size + 1))  # of the symbol that starts here; 0 in a gap
     before = list(range(-1, size - 1))
-    pair: list[int | None] = [None] * size  # rank of this symbol with the next one
-    buckets: dict[int, list[int]] = {}
-    count = count or len(ranks)
-    low = [0] * (count + 63 >> 6)
-    middle = [0] * (count + 4095 >> 12)
+    pair = [rank_of(text[i : i + 2]) for i in range(size)]  # rank of this symbol with the next one
+    at, begins = 0, []
+    for piece in pieces:
+        begins.append(at)
+        before[at] = -1
+        at += len(piece) + 1
+        end[at - 1] = 0
+        pair[at - 1] = pair[at - 2] = None
+        if piece in ranks:
+            pair[begins[-1] : at - 1] = [None] * len(piece)
+    low, middle = levels
     top = 0
-    fresh = [(rank_of(piece[i : i + 2]), i) for i in range(size - 1)]
-    while True:
-        for rank, left in fresh:
-            pair[left] = rank
-            if rank is None:
-                continue
-            bucket = buckets.get(rank)
-            if bucket:
-                heappush(bucket, left)
+    buckets: dict[int, list[int]] = {}
+    for left, rank in enumerate(pair):
+        if rank is not None:
+            if rank in buckets:
+                buckets[rank].append(left)
             else:
                 buckets[rank] = [left]
                 word, block = rank >> 6, rank >> 12
                 low[word] |= 1 << (rank & 63)
                 middle[block] |= 1 << (word & 63)
                 top |= 1 << block
-        if not top:
-            break
+    while top:
         # Find-first-set, level by level.
         block = (top & -top).bit_length() - 1
         bits = middle[block]
@@ -74,29 +87,62 @@ def merge(piece: bytes, ranks: dict[bytes, int], count: int | None = None) -> li
         bits = low[word]
         rank = word << 6 | (bits & -bits).bit_length() - 1
         bucket = buckets[rank]
-        left = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+        bucket.sort(reverse=True)
+        lower = False
+        while bucket and not lower:
+            left = bucket.pop()
+            if pair[left] != rank:
+                continue
+            right = end[left]
+            stop = end[left] = end[right]
+            pair[right] = pair[left] = None
+            previous, after = before[left], end[stop]
+            if after:
+                before[stop] = left
+                fresh = rank_of(text[left:after])
+                if fresh is not None:
+                    pair[left] = fresh
+                    lower = fresh < rank
+                    if fresh in buckets:
+                        buckets[fresh].append(left)
+                    else:
+                        buckets[fresh] = [left]
+                        at, high = fresh >> 6, fresh >> 12
+                        low[at] |= 1 << (fresh & 63)
+                        middle[high] |= 1 << (at & 63)
+                        top |= 1 << high
+            if previous >= 0:
+                pair[previous] = fresh = rank_of(text[previous:stop])
+                if fresh is not None:
+                    lower = lower or fresh < rank
+                    if fresh in buckets:
+                        buckets[fresh].append(previous)
+                    else:
+                        buckets[fresh] = [previous]
+                        at, high = fresh >> 6, fresh >> 12
+                        low[at] |= 1 << (fresh & 63)
+                        middle[high] |= 1 << (at & 63)
+                        top |= 1 << high
         if not bucket:
-            low[word] = bits = bits & bits - 1
+            del buckets[rank]
+            low[word] = bits = low[word] & ~(1 << (rank & 63))
             if not bits:
-                middle[block] = bits = middle[block] & middle[block] - 1
+                middle[block] = bits = middle[block] & ~(1 << (word & 63))
                 if not bits:
-                    top &= top - 1
-        fresh = ()
-        if pair[left] != rank:
+                    top &= ~(1 << block)
+    out = []
+    for at, piece in zip(begins, pieces):
+        whole = rank_of(piece)
+        if whole is not None:
+            out.append(whole.to_bytes(4, "little"))
             continue
-        right = end[left]
-        stop = end[left] = end[right]
-        pair[right] = pair[left] = None
-        previous = before[left]
-        if stop < size:
-            before[stop] = left
-            fresh = ((rank_of(piece[left : end[stop]]), left),)
-        if previous >= 0:
-            fresh += ((rank_of(piece[previous:stop]), previous),)
-    out, at = [], 0
-    while at < size:
-        out.append(ranks[piece[at : end[at]]])
-        at = end[at]
+        ids = array("I")
+        stop = at + len(piece)
+        while at < stop:
+            after = end[at]
+            ids.append(ranks[text[at:after]])
+            at = after
+        out.append(ids.tobytes())
     return out
 
 
@@ -108,35 +154,62 @@ class Codec(Remembered):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.count = max(self.ranks.values(), default=0) + 1
+        self.levels = no_ranks(self.count)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern)
 
-    def __missing__(self, stretch: str) -> bytes:
-        value = self.old.get(stretch)
-        if value is None:
-            pieces = self.pieces.findall(stretch)
-            if len(pieces) == 1:
-                value = array("I", merge(stretch.encode(), self.ranks, self.count)).tobytes()
-            else:
-                value = b"".join(map(self.__getitem__, pieces))
-        if len(stretch) <= 40:
-            self[stretch] = value
-        return value
+    def _learn(self, stretches: set[str]) -> list[str]:
+        """Encodes stretches that are not known yet; returns those too long to be remembered."""
+        old = self.old
+        self.update((s, old[s]) for s in stretches if s in old)
+        cut = {s: self.pieces.findall(s) for s in stretches if s not in old}
+        new = set(chain.from_iterable(cut.values())).difference(self)
+        self.update((p, old[p]) for p in new if p in old)
+        new = [p for p in new if p not in old]
+        at, long = 0, []
+        while at < len(new):
+            # A bounded number of characters at a time, one pre-token at least.
+            stop, size = at, 0
+            while stop < len(new) and (stop == at or size + len(new[stop]) <= MERGED_AT_ONCE):
+                size += len(new[stop])
+                stop += 1
+            some = new[at:stop]
+            self.update(zip(some, merge_all([p.encode() for p in some], self.ranks, self.levels)))
+            long += [p for p in some if len(p) > 40]
+            at = stop
+        for s, pieces in cut.items():
+            if len(pieces) != 1:
+                self[s] = b"".join(map(self.__getitem__, pieces))
+                if len(s) > 40:
+                    long.append(s)
+        return long
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers.
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers.
 
         A pre-token begins at every space that something other than white space
         follows, so a text is cut there, and equal stretches are looked up.
         """
         self.age()
+        cut = [self._stretches(t) for t in texts]
+        new = set().union(*cut).difference(self)
+        long = self._learn(new) if new else []
+        out = [b"".join(map(self.__getitem__, stretches)) for stretches in cut]
+        for s in long:
+            self.pop(s, None)
+        return out
+
+    def _stretches(self, text: str) -> list[str]:
         if not text:
-            return b""
+            return []
         if SPACED.search(text):
-            return b"".join(map(self.__getitem__, BEFORE_WORDS.split(text)))
+            return BEFORE_WORDS.split(text)
         first, *rest = text.split(" ")
-        rest = b"".join(map(self.__getitem__, [" " + r for r in rest]))
-        return self[first] + rest if first else rest
+        rest = [" " + r for r in rest]
+        return [first, *rest] if first else rest
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -165,7 +238,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *passed: str) ->
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 piece = batch.slice(part, 500)
-                ids = [own.encode(t or "") for t in piece.column(1).to_pylist()]
+                ids = own.encode_all([t or "" for t in piece.column(1).to_pylist()])
                 columns = [piece.column(0), pa.array(ids, pa.binary()), *piece.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", *passed])
 
@@ -199,7 +272,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *passed: str, remembere
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 piece = batch.slice(part, 500)
-                ids = [own.encode(t or "") for t in piece.column(1).to_pylist()]
+                ids = own.encode_all([t or "" for t in piece.column(1).to_pylist()])
                 data = [own.decode(np.frombuffer(i, "<u4")) for i in ids]
                 columns = [piece.column(0), pa.array(ids, pa.binary()), *piece.columns[2:], pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", *passed, "data"])

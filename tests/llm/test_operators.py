@@ -67,6 +67,32 @@ def test_bpe_is_the_library(spark, odd_rows):
     assert np.frombuffer(own.encode(piece), "<u4").tolist() == library.encode_ordinary(piece)
 
 
+def test_pre_tokens_share_a_queue():
+    """Whatever the order of ranks and the gaps in them, each pre-token is merged as if alone."""
+    rnd = random.Random(4)
+
+    def alone(piece, ranks):
+        parts = [piece] if piece in ranks else [bytes([b]) for b in piece]
+        while True:
+            found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
+            if not found:
+                return [ranks[x] for x in parts]
+            at = min(found)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    for _ in range(60):
+        tokens = {bytes([c]) for c in b"abc\0"}
+        for _ in range(rnd.randrange(1, 30)):
+            tokens.add(rnd.choice(sorted(tokens)) + rnd.choice(sorted(tokens)))
+        order = rnd.sample(sorted(tokens), len(tokens))
+        ranks = {token: i * 97 for i, token in enumerate(order)}
+        levels = bpe.no_ranks(max(ranks.values()) + 1)
+        pieces = [bytes(rnd.choice(b"abc\0") for _ in range(rnd.randrange(1, 30))) for _ in range(40)]
+        for _ in range(2):
+            got = [np.frombuffer(ids, "<u4").tolist() for ids in bpe.merge_all(pieces, ranks, levels)]
+            assert got == [alone(piece, ranks) for piece in pieces]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 2**16), st.integers(0, 2**64 - 1)), max_size=400))
 def test_simple8b_round_trip(values):
