@@ -183,6 +183,46 @@ def test_index_holds_no_text(spark):
     assert {r.hunk_pos: r.first_target_line for r in locate_hunks(hunks, f).collect()} == {i: i - 1 for i in range(1, 20)}
 
 
+def test_reports_move_no_text(spark):
+    """Hunks that are measured are located and reported on without their texts: no shuffle and no table holds these."""
+    from folioflow.operators import applying as A
+
+    files = {f"f{i}.py": "\n".join(f"{i} line {j}" for j in range(9)) for i in range(6)}
+    at = lambda i, j: ([f"{i} line {j - 1}"], [f"-{i} line {j}", "+new", "+more"], [f"{i} line {j + 1}"])
+    rows = [(1, 10 * i + j, "p", f"f{i}.py", at(i, j)) for i in range(6) for j in ((1, 4, 7) if i % 2 else (1, 3, 5))]
+    rows += [(1, 60, "p", "f1.py", (["gone"], ["-gone"], [])), (1, 61, "p", "none.py", ([], ["-x"], [])), (1, 62, "p", "new.py", ([], ["+x"], []))]
+    f = spark.createDataFrame([("p", path, text) for path, text in files.items()], FILE)
+    hunks = spark.createDataFrame([(r, n, p, path, h[1], h[0], h[2]) for r, n, p, path, h in rows], HUNKS)
+    whole = locate_hunks(hunks, f).cache()
+    assert not any("Exchange" in part and "hunk_lines" in part for part in plan_nodes(spark, locate_hunks(hunks, f).drop(*A.TEXTS)))
+    narrow = locate_hunks(A.measured(hunks), f).drop(*A.TEXTS).cache()
+    same = lambda make: sorted(map(str, make(whole).collect())) == sorted(map(str, make(narrow).collect()))
+    assert {r.status for r in apply_reports(narrow, f).collect()} == {"ok", "skipped_overlap", "skipped_unmatched", "failed_read"}
+    assert same(lambda located: apply_reports(located, f)) and same(A.lines_applied) and same(A.hunk_offsets)
+    assert same(overlap_check) and same(lambda located: overlap_check(located, "shifted"))
+
+
+def plan_nodes(spark, df) -> list[str]:
+    """The nodes of a plan as it is before it runs, each with its columns; no join is a broadcast for its size."""
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return spark._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "formatted").split("\n\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_places_keep_to_their_file(spark):
+    """A window's key names its file: equal lines of other files are no places, swapped and missing names included."""
+    names = [("a", "b"), ("b", "a"), ("ab", ""), ("a", None), (None, "a"), (None, None)]
+    f = spark.createDataFrame([(p, path, "\n".join(["same"] + ["x"] * i)) for i, (p, path) in enumerate(names)], FILE)
+    rows = [(i, 0, p, path, ["-same"], [], []) for i, (p, path) in enumerate(names)]
+    located = locate_hunks(spark.createDataFrame(rows, HUNKS), f).collect()
+    assert {r.response_id: (r.status, r.n_best, r.file_exists) for r in located} == {
+        i: ("matched", 1, True) if None not in name else ("unmatched", 0, False) for i, name in enumerate(names)
+    }
+
+
 def test_many_pieces_sought_in_one_file(spark, monkeypatch):
     """Few strings are sought in the lines one by one, many are listed: the same lines are found."""
     from folioflow.operators import lineindex
