@@ -258,9 +258,9 @@ def sequence_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def ratio(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda ls: best_window(["\x00other", *ls[1:]], list(ls), [0], 0.0)["ratio"])
+        return lines.map(lambda ls: None if ls is None else best_window(["\x00other", *ls[1:]], list(ls), [0], 0.0)["ratio"])
 
-    rows = fx.table(spark, folder, "documents").select("doc_id", X.split_lines(F.col("text")).alias("lines"))
+    rows = fx.table(spark, folder, "documents").select("doc_id", fx.some_lines(F.col("text")).alias("lines"))
     return rows.select("doc_id", F.round(ratio("lines"), 9).alias("ratio"))
 
 
