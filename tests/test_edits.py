@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators.applying import apply_hunk_lines, apply_proposed, apply_reports, overlap_check, verify_applied
+from folioflow.operators.applying import apply_hunk_lines, apply_proposed, apply_reports, apply_summary, overlap_check, verify_applied
 from folioflow.operators.extraction import extract_changes
 from folioflow.operators.locating import best_window, locate_hunks
 from folioflow.operators.review import annotate_hunk
@@ -582,3 +582,20 @@ def test_overlaps_random(spark, max_group_rows):
     huge = spark.sql("SELECT 1L AS response_id, 0 AS hunk_pos, 'p' AS project_id, 'a' AS rel_path, array_repeat('-x', 200000) AS hunk_lines, "
                      "cast(array() AS array<string>) AS context_before, cast(array() AS array<string>) AS context_after, 0L AS first_target_line, 'matched' AS status")
     assert overlap_check(huge).isEmpty()
+
+
+def test_summary_lists_files_per_outcome(spark):
+    rows = [
+        ("p", "z.py", "skipped_unmatched", "m", None), ("p", "b.py", "skipped_unmatched", "m", None), ("p", "o.py", "skipped_overlap", "m", None),
+        ("p", "e.py", "skipped_external_change", "m", None), ("p", "d.py", "applied_with_discrepancies", "m", None), ("p", "k.py", "ok", "m", 3),
+        ("p", "f.py", "failed", "no content", None), ("p", "c.py", "failed_read", "gone", None), ("p", "n.py", "no_action", "m", None), ("q", "k.py", "ok", "m", 2),
+    ]
+    reports = spark.createDataFrame(rows, "project_id string, rel_path string, status string, message string, lines_applied long")
+    p, q = (r.asDict() for r in apply_summary(reports).orderBy("project_id").collect())
+    assert p == {
+        "project_id": "p", "n_applicable": 9, "n_applied": 2, "lines_affected": 3,
+        "n_unmatched": 2, "n_external": 1, "n_overlap": 1, "n_discrepancies": 1, "n_failed": 2,
+        "unmatched_files": ["b.py", "z.py"], "external_files": ["e.py"], "overlap_files": ["o.py"], "discrepancies_files": ["d.py"],
+        "failed_files": ["c.py (gone)", "f.py (no content)"],
+    }
+    assert q["n_applied"] == 1 and all(q[c] == [] for c in q if c.endswith("_files"))
